@@ -9,8 +9,6 @@ from tenc.functions.cleaning import quoted
 from tenc.operators.encoders.stats import BINARY, MULTICLASS, REGRESSION
 from tenc.session import materialise
 
-_BUCKETS = 256
-
 SCORE_NAMES = {REGRESSION: "r2", BINARY: "av-prec", MULTICLASS: "accuracy"}
 # The names reports show for each task's score.
 SCORE_TYPES = {
@@ -43,42 +41,34 @@ def accuracy_score(
 
 
 def average_precision(
-    df: DataFrame, y: str, score: str, by: list[str] | None = None, buckets: int = _BUCKETS
+    df: DataFrame, y: str, score: str, by: list[str] | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Sum over distinct scores, highest first, of recall gain times precision.
 
-    Rows with equal scores are combined first. The distinct scores are then cut into even
-    ranges, so running totals are taken range by range and shifted by the totals of the ranges
-    above: no group is sorted in one task.
+    Rows with equal scores are combined first. The distinct scores are then written in ranges of
+    falling score, so running totals are taken range by range and shifted by the totals of the
+    ranges before: no group is sorted in one task.
     """
     by = by or []
-    points = materialise(
-        df.groupBy(*[quoted(c) for c in by], quoted(score).cast("double").alias("_score")).agg(
-            F.count(F.lit(1)).alias("_n"), F.sum(quoted(y).cast("double")).alias("_pos")
-        )
+    points = df.groupBy(*[quoted(c) for c in by], quoted(score).cast("double").alias("_score")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(quoted(y).cast("double")).alias("_pos")
     )
-    cuts = F.percentile_approx(
-        "_score", [i / buckets for i in range(1, buckets)], buckets * 8
-    ).alias("_cuts")
-    edges = materialise(points.groupBy(*by).agg(cuts))
-    placed = (
-        points.join(F.broadcast(edges), by)
-        if by
-        else points.withColumn("_cuts", edges.scalar())
+    n_ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(
+        points.repartitionByRange(n_ranges, *by, F.desc("_score")).withColumn(
+            "_range", F.spark_partition_id()
+        )
     )
-    ranged = placed.withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_score")))
-    ).drop("_cuts")
-    # At most ``buckets`` rows per group.
-    above = Window.partitionBy(*by).orderBy(F.desc("_range"))
+    # At most one row per range and group.
+    before = Window.partitionBy(*by).orderBy("_range")
     offsets = (
         ranged.groupBy(*by, "_range")
         .agg(F.sum("_n").alias("_rn"), F.sum("_pos").alias("_rp"))
         .select(
             *by,
             "_range",
-            (F.sum("_rn").over(above) - F.col("_rn")).alias("_n_above"),
-            (F.sum("_rp").over(above) - F.col("_rp")).alias("_pos_above"),
+            (F.sum("_rn").over(before) - F.col("_rn")).alias("_n_before"),
+            (F.sum("_rp").over(before) - F.col("_rp")).alias("_pos_before"),
         )
     )
     inside = Window.partitionBy(*by, "_range").orderBy(F.desc("_score"))
@@ -86,8 +76,8 @@ def average_precision(
         ranged.join(F.broadcast(offsets), [*by, "_range"])
         .withColumns(
             {
-                "_seen": F.col("_n_above") + F.sum("_n").over(inside),
-                "_hits": F.col("_pos_above") + F.sum("_pos").over(inside),
+                "_seen": F.col("_n_before") + F.sum("_n").over(inside),
+                "_hits": F.col("_pos_before") + F.sum("_pos").over(inside),
             }
         )
         .groupBy(*by)

@@ -21,6 +21,7 @@ from tenc.operators.encoders.stats import REGRESSION
 from tenc.session import materialise
 
 BLOCK_ROWS = 2048
+MAX_PIVOTS = 256
 _RINGS = 64
 
 
@@ -96,11 +97,12 @@ def _route(test: DataFrame, pivots: np.ndarray, rings: np.ndarray, k: int) -> Da
 
 def nearest(
     train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int = 5,
-    n_pivots: int = 64, block_rows: int = BLOCK_ROWS,
+    n_pivots: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``query, neighbour, label, dist, place``: the k nearest training rows of each test row.
 
-    Equal distances are settled by the smaller training key. Keys are whole numbers.
+    Equal distances are settled by the smaller training key. Keys are whole numbers. By default
+    there are as many pivots as full blocks of training rows, up to 256.
     """
     base = train.select(
         quoted(key).cast("long").alias("id"),
@@ -112,6 +114,8 @@ def nearest(
         quoted(vector).cast("array<double>").alias("vector"),
     )
     spark = train.sparkSession
+    if n_pivots is None:
+        n_pivots = min(max(base.count() // block_rows, 1), MAX_PIVOTS)
     pivots = _pivots(base, n_pivots)
     placed = _assign(base, pivots, _ring_width(pivots))
     # One row per pivot and ring: at most n_pivots * 64.
@@ -160,24 +164,20 @@ def nearest(
     )
 
     def closest(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(queries) and len(rows):
-            rows = rows.sort_values("id", ignore_index=True)
-            dist = _distances(_matrix(queries["vector"]), _matrix(rows["vector"]))
-            for i, query in enumerate(queries["id"]):
-                best = np.argsort(dist[i], kind="stable")[:k]
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "query": query,
-                            "neighbour": rows["id"].to_numpy()[best],
-                            "label": rows["label"].to_numpy()[best],
-                            "dist": dist[i][best],
-                        }
-                    )
-                )
-        columns = ["query", "neighbour", "label", "dist"]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=columns)
+        if not len(queries) or not len(rows):
+            return pd.DataFrame({"query": [], "neighbour": [], "label": [], "dist": []})
+        rows = rows.sort_values("id", ignore_index=True)
+        dist = _distances(_matrix(queries["vector"]), _matrix(rows["vector"]))
+        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+        width = best.shape[1]
+        return pd.DataFrame(
+            {
+                "query": np.repeat(queries["id"].to_numpy(), width),
+                "neighbour": rows["id"].to_numpy()[best].ravel(),
+                "label": rows["label"].to_numpy()[best].ravel(),
+                "dist": np.take_along_axis(dist, best, axis=1).ravel(),
+            }
+        )
 
     groups = ["ring", "train_block", "test_block"]
     candidates = (

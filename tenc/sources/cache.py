@@ -4,20 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished table is there: the success mark is written last."""
-    try:
-        return bool(
-            spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").take(1)
-        )
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
-            return False
-        raise
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def cache_or_build(

@@ -15,14 +15,27 @@ RESULT_FIELDS = (
     "training_time",
 )
 
-_NAMED = "struct<label: string, name: string, params: map<string, string>>"
-_ARRAYS = ", ".join(f"{f}: array<double>" for f in RESULT_FIELDS)
-RUN_SCHEMA: T.StructType = T.StructType.fromDDL(
-    "dataset string, n_splits int, test_size double, n_rows bigint, encoder string, "
-    f"str_preprocess boolean, clf {_NAMED}, ShuffleSplit array<string>, "
-    "scaler struct<name: string, params: map<string, string>>, sample_seed int, "
-    "shuffleseed int, col_action map<string, string>, clf_type string, "
-    f"results struct<{_ARRAYS}>"
+_TEXTS = T.MapType(T.StringType(), T.StringType())
+_NAMED = T.StructType().add("label", "string").add("name", "string").add("params", _TEXTS)
+_RESULTS = T.StructType(
+    [T.StructField(f, T.ArrayType(T.DoubleType())) for f in RESULT_FIELDS]
+)
+RUN_SCHEMA = (
+    T.StructType()
+    .add("dataset", "string")
+    .add("n_splits", "integer")
+    .add("test_size", "double")
+    .add("n_rows", "long")
+    .add("encoder", "string")
+    .add("str_preprocess", "boolean")
+    .add("clf", _NAMED)
+    .add("ShuffleSplit", T.ArrayType(T.StringType()))
+    .add("scaler", T.StructType().add("name", "string").add("params", _TEXTS))
+    .add("sample_seed", "integer")
+    .add("shuffleseed", "integer")
+    .add("col_action", _TEXTS)
+    .add("clf_type", "string")
+    .add("results", _RESULTS)
 )
 PARAMETERS = [f.name for f in RUN_SCHEMA.fields if f.name != "results"]
 
