@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tenc.suite.registry import ORACLES, QUERIES
 
-MODULES = ("encoding", "cleaning", "relations", "evaluation", "files")
+MODULES = ("encoding", "cleaning", "relations", "evaluation", "files", "modelling")
 
 
 def _load() -> None:
