@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenc.functions.hashing import SAMPLE_SEED, key_hash
+from tenc.session import materialise
 
 # Rows one sort bucket should hold at most, on average.
 ROWS_PER_BUCKET = 1_000_000
-# Hex digits of the bucket prefix used when only a cut position is needed.
-CUT_DIGITS = 4
 
 
 def prefix_digits(n_rows: int) -> int:
@@ -52,37 +51,50 @@ def hash_position(
     )
 
 
+def _hex_bound(share: Column) -> Column:
+    """The first eight hex digits of a share of the hash range; past the end, a larger text."""
+    scaled = F.floor(F.greatest(share, F.lit(0.0)) * F.lit(float(1 << 32))).cast("long")
+    return F.when(share >= 1, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(scaled)), 8, "0"))
+
+
 def hash_cuts(
-    hashed: DataFrame, groups: list[str], sizes: DataFrame, digest: str = "_hash",
-    digits: int = CUT_DIGITS,
+    hashed: DataFrame, groups: list[str], sizes: DataFrame, digest: str = "_hash"
 ) -> DataFrame:
     """Per group, the largest hash among its first ``take`` rows in hash order.
 
-    ``sizes`` holds the group columns and ``take``. Counting by prefix finds the bucket each cut
-    falls into; only the rows of that one bucket are ranked.
+    ``sizes`` is a small table with the groups, their ``n`` rows and ``take``. Hashes are
+    uniform, so the cut lies close to ``take / n`` of the hash range: one pass counts the rows
+    below a narrow window there and keeps the hashes inside it, about sqrt(n) of them. Should a
+    cut lie outside, the window grows until it covers the range, so the result is exact.
     """
-    prefix = F.substring(digest, 1, digits)
-    counts = hashed.groupBy(*groups, prefix.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(*groups).orderBy("_bucket")
-    reached = counts.withColumn("_upto", F.sum("_n").over(running))
-    if groups:
-        reached = reached.join(F.broadcast(sizes), groups)
-    else:
-        reached = reached.withColumn("take", sizes.scalar())
-    edges = reached.where(
-        (F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_n") < F.col("take"))
-    ).select(
-        *groups, "_bucket", (F.col("take") - F.col("_upto") + F.col("_n")).alias("_rest")
-    )
-    on_edge = hashed.withColumn("_bucket", prefix).join(
-        F.broadcast(edges), [*groups, "_bucket"]
-    )
-    order = Window.partitionBy(*groups, "_bucket").orderBy(digest)
-    return (
-        on_edge.withColumn("_pos", F.row_number().over(order))
-        .where(F.col("_pos") == F.col("_rest"))
-        .select(*groups, F.col(digest).alias("cut"))
-    )
+    wanted = sizes.where("take > 0")
+    n_wanted = wanted.count()
+    width = 6.0
+    while True:
+        share = F.col("take") / F.col("n")
+        half = F.sqrt(share * (1 - share) / F.col("n")) * width + F.lit(2 * width) / F.col("n")
+        bounds = wanted.select(
+            *groups, "take",
+            _hex_bound(share - half).alias("_lower"), _hex_bound(share + half).alias("_upper"),
+        )
+        place = F.when(F.col(digest) >= F.col("_lower"), F.col(digest)).alias("cut")
+        near = (
+            hashed.join(F.broadcast(bounds), groups)
+            .where(F.col(digest) < F.col("_upper"))
+            .groupBy(*groups, "take", place)
+            .agg(F.count(F.lit(1)).alias("_n"))
+        )
+        order = Window.partitionBy(*groups).orderBy(F.col("cut").asc_nulls_first())
+        reached = F.col("_upto") >= F.col("take")
+        before = F.col("_upto") - F.col("_n") < F.col("take")
+        found = materialise(
+            near.withColumn("_upto", F.sum("_n").over(order))
+            .where(reached & before & F.col("cut").isNotNull())
+            .select(*groups, "cut")
+        )
+        if found.count() == n_wanted or width > 1e9:
+            return found
+        width *= 64
 
 
 def first_by_hash(
@@ -92,11 +104,13 @@ def first_by_hash(
 
     The order is settled by one cut-off hash, so the rows themselves are only filtered.
     """
-    hashed = df.withColumn("_hash", key_hash(keys, seed))
-    if n >= df.count():
+    n_rows = df.count()
+    if n >= n_rows:
         return df
     if n <= 0:
         return df.limit(0)
-    take = df.sparkSession.range(1).select(F.lit(n).cast("long").alias("take"))
-    cut: Column = hash_cuts(hashed.select("_hash"), [], take).select("cut").scalar()
+    hashed = df.withColumn("_hash", key_hash(keys, seed))
+    size = df.sparkSession.createDataFrame([(0, n_rows, n)], "_g int, n long, take long")
+    marked = hashed.select("_hash", F.lit(0).alias("_g"))
+    cut = hash_cuts(marked, ["_g"], size).first()["cut"]
     return hashed.where(F.col("_hash") <= cut).select(*df.columns)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenc.functions.cleaning import quoted
 from tenc.functions.hashing import SPLIT_SEED, key_hash
 from tenc.operators.rank import hash_cuts
-from tenc.session import materialise
 
 
 def _with_folds(df: DataFrame, key: str | list[str], n_splits: int, seed: int) -> DataFrame:
@@ -35,11 +36,11 @@ def shuffle_split(
     """
     rows = _with_folds(df, key, n_splits, seed)
     n = df.count()
-    sizes = df.sparkSession.range(n_splits).select(
-        F.col("id").cast("int").alias("fold"),
-        F.ceil(F.lit(n) * F.lit(float(test_size)) - F.lit(1e-9)).alias("take"),
+    take = ceil(n * test_size - 1e-9)
+    sizes = df.sparkSession.createDataFrame(
+        [(fold, n, take) for fold in range(n_splits)], "fold int, n long, take long"
     )
-    cuts = materialise(hash_cuts(rows.select("fold", "_hash"), ["fold"], sizes))
+    cuts = hash_cuts(rows.select("fold", "_hash"), ["fold"], sizes)
     return _mark(rows, cuts, ["fold"], df.columns)
 
 
@@ -75,23 +76,24 @@ def stratified_split(
     """Like ``shuffle_split`` with the class shares kept in every fold."""
     named = df.withColumn("_class", quoted(y).cast("string"))
     rows = _with_folds(named, key, n_splits, seed)
-    per_class = materialise(class_sizes(df, y, test_size))
-    sizes = per_class.select(
-        F.col("class").alias("_class"), "take",
-        F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))).alias("fold"),
-    ).where("take > 0")
+    # One row per class reaches the driver.
+    per_class = class_sizes(df, y, test_size).collect()
+    sizes = df.sparkSession.createDataFrame(
+        [(fold, r["class"], r["n"], r["take"]) for fold in range(n_splits) for r in per_class],
+        "fold int, _class string, n long, take long",
+    )
     groups = ["fold", "_class"]
-    cuts = materialise(hash_cuts(rows.select(*groups, "_hash"), groups, sizes))
+    cuts = hash_cuts(rows.select(*groups, "_hash"), groups, sizes)
     return _mark(rows, cuts, groups, df.columns)
 
 
 def fold_target_stats(
-    df: DataFrame, split: DataFrame, column: str, y: str, n_splits: int
+    df: DataFrame, test: DataFrame, column: str, y: str, n_splits: int
 ) -> DataFrame:
     """``fold, category, n, s``: rows and sum of y over the training part of every fold.
 
-    ``split`` is ``df`` with its folds. Only test rows are aggregated fold by fold; the training
-    part is the category's total minus its test part.
+    ``test`` holds the test rows of all folds of ``df``. Only these are aggregated fold by fold;
+    the training part is the category's total minus its test part.
     """
     category = quoted(column).cast("string").alias("category")
     value = quoted(y).cast("double")
@@ -101,13 +103,11 @@ def fold_target_stats(
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
         .withColumn("fold", folds)
     )
-    test = (
-        split.where("is_test")
-        .groupBy("fold", category)
-        .agg(F.count(F.lit(1)).alias("_tn"), F.sum(value).alias("_ts"))
+    left_out = test.groupBy("fold", category).agg(
+        F.count(F.lit(1)).alias("_tn"), F.sum(value).alias("_ts")
     )
     return (
-        totals.join(test, ["fold", "category"], "left")
+        totals.join(left_out, ["fold", "category"], "left")
         .select(
             "fold",
             "category",

@@ -12,6 +12,7 @@ from tenc.operators.encoders.stats import MULTICLASS, REGRESSION
 from tenc.operators.similarity import ball_by_value, ball_counts
 from tenc.operators.splits import fold_target_stats, shuffle_split, stratified_split
 from tenc.operators.weights import add_class_weights
+from tenc.session import materialise
 from tenc.suite.bases import (
     RETURNS_SQL,
     digest_sql,
@@ -78,9 +79,9 @@ encoded AS (SELECT fold, category, n, (n * mean + prior * n_rows / k::DOUBLE)
                    / (n + n_rows / k::DOUBLE) AS enc FROM train JOIN totals USING (fold))"""
 
 
-def _fold_encoding(df: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _fold_encoding(df: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Encodings and priors of all folds at once."""
-    stats = fold_target_stats(df, split, "o_custkey", "o_totalprice", _FOLDS)
+    stats = materialise(fold_target_stats(df, test, "o_custkey", "o_totalprice", _FOLDS))
     totals = stats.groupBy("fold").agg(
         F.sum("n").alias("_rows"),
         F.count("category").alias("_k"),
@@ -100,7 +101,8 @@ def _fold_encoding(df: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFram
 )
 def fold_target_encode(spark: SparkSession, folder: str) -> DataFrame:
     df = _orders(spark, folder)
-    encoded, _ = _fold_encoding(df, shuffle_split(df, "o_orderkey", _FOLDS))
+    test = shuffle_split(df, "o_orderkey", _FOLDS).where("is_test")
+    encoded, _ = _fold_encoding(df, test)
     return rounded(encoded, "enc", digits=4)
 
 
@@ -118,10 +120,11 @@ FROM scored JOIN means USING (fold) GROUP BY 1""",
 def metric_r2(spark: SparkSession, folder: str) -> DataFrame:
     df = _orders(spark, folder)
     split = shuffle_split(df, "o_orderkey", _FOLDS)
-    encoded, totals = _fold_encoding(df, split)
-    test = split.where("is_test").withColumn("category", F.col("o_custkey").cast("string"))
+    test = materialise(split.where("is_test").drop("is_test"))
+    encoded, totals = _fold_encoding(df, test)
     scored = (
-        test.join(encoded, ["fold", "category"], "left")
+        test.withColumn("category", F.col("o_custkey").cast("string"))
+        .join(encoded, ["fold", "category"], "left")
         .join(F.broadcast(totals), "fold")
         .withColumn("prediction", F.coalesce("enc", "prior"))
     )
