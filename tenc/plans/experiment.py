@@ -78,7 +78,8 @@ def run_fold(
     features = fit_features(
         train, dataset.roles, encoder, dataset.task, y, dataset.key, settings.one_hot_limit
     )
-    train_x = materialise(features.transform(train, training=True))
+    used = [quoted(dataset.key), quoted(y), F.col(features.output)]
+    train_x = materialise(features.transform(train, training=True).select(*used))
     encoding_time = time.time() - start
 
     start = time.time()
@@ -93,7 +94,7 @@ def run_fold(
         "fold": float(fold),
         "n_train_samples": float(train_x.count()),
         "n_train_features": float(features.size),
-        "score": score(features.transform(test)),
+        "score": score(features.transform(test).select(*used)),
         "train_score": score(train_x),
         "encoding_time": encoding_time,
         "training_time": training_time,

@@ -8,13 +8,14 @@ from math import sqrt
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenc.functions.cleaning import quoted
 from tenc.functions.hashing import MODEL_SEED, SPLIT_SEED
 from tenc.operators.encoders.heldout import fold_of
 from tenc.operators.encoders.stats import BINARY, MULTICLASS, REGRESSION
@@ -90,11 +91,12 @@ def _linear(task: str, n_rows: int, label_deviation: float, parallelism: int, va
         logistic.setWeightCol(_WEIGHT)
     penalties = [1.0 / (c * n_rows) for c in values or LOGISTIC_CS]
     grid = ParamGridBuilder().addGrid(logistic.regParam, penalties).build()
-    if task == MULTICLASS:
-        # One binary search per class, against the rest.
-        binary = _search(logistic, grid, BINARY, parallelism)
-        return OneVsRest(classifier=binary, featuresCol=_FEATURES, labelCol=_LABEL)
-    return _search(logistic, grid, task, parallelism)
+    return _search(_each_class(logistic) if task == MULTICLASS else logistic, grid, task, parallelism)
+
+
+def _each_class(binary: Estimator) -> OneVsRest:
+    """One binary model per class, against the rest."""
+    return OneVsRest(classifier=binary, featuresCol=_FEATURES, labelCol=_LABEL)
 
 
 def _boosting(task: str, seed: int, trees: int, grid: dict | None, parallelism: int) -> Estimator:
@@ -102,17 +104,13 @@ def _boosting(task: str, seed: int, trees: int, grid: dict | None, parallelism:
     trees_model = kind(
         featuresCol=_FEATURES, labelCol=_LABEL, maxIter=trees, stepSize=0.1, maxDepth=3, seed=seed
     )
+    estimator = _each_class(trees_model) if task == MULTICLASS else trees_model
     if grid is None:
-        if task == MULTICLASS:
-            return OneVsRest(classifier=trees_model, featuresCol=_FEATURES, labelCol=_LABEL)
-        return trees_model
+        return estimator
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(trees_model.getParam(name), list(values))
-    if task == MULTICLASS:
-        binary = _search(trees_model, builder.build(), BINARY, parallelism)
-        return OneVsRest(classifier=binary, featuresCol=_FEATURES, labelCol=_LABEL)
-    return _search(trees_model, builder.build(), task, parallelism)
+    return _search(estimator, builder.build(), task, parallelism)
 
 
 @dataclass(frozen=True)
@@ -127,31 +125,33 @@ class FittedModel:
     key: str | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        if self.name == "KNN":
-            return self._predict_nearest(df)
-        out = self.model.transform(df)
-        score = _score_column(out, self.task)
+        """``df`` without its vector, plus ``prediction`` (the class-1 score for two classes).
+
+        Columns go through the model under plain names; raw names may hold dots.
+        """
         kept = [c for c in df.columns if c != _FEATURES]
+        plain = {c: f"c{i}" for i, c in enumerate(kept)}
+        x = df.select(_FEATURES, *[quoted(c).alias(p) for c, p in plain.items()])
+        if self.name == "KNN":
+            out = self._predict_nearest(x, plain[self.key])
+        else:
+            out = self.model.transform(x)
+            out = out.withColumn("prediction", _score_column(out, self.task))
+        prediction = F.col("prediction")
         if self.task == MULTICLASS:
-            text = IndexToString(
-                inputCol="prediction", outputCol="predicted", labels=list(self.labels)
-            )
-            return text.transform(out).select(*kept, F.col("predicted").alias("prediction"))
-        return out.select(*kept, score.alias("prediction"))
+            names = F.array(*[F.lit(c) for c in self.labels])
+            prediction = F.get(names, prediction.cast("int"))
+        return out.select(
+            *[F.col(p).alias(c) for c, p in plain.items()], prediction.alias("prediction")
+        )
 
-    def _predict_nearest(self, df: DataFrame) -> DataFrame:
+    def _predict_nearest(self, x: DataFrame, key: str) -> DataFrame:
         vectors = lambda d: d.withColumn("_v", vector_to_array(_FEATURES))
-        found = nearest(
-            vectors(self.train), vectors(df), self.key, "_v", _LABEL, N_NEIGHBOURS
-        )
+        train = vectors(self.train).withColumnRenamed("_key", key)
+        found = nearest(train, vectors(x), key, "_v", _LABEL, N_NEIGHBOURS)
         # For two classes the score is the share of neighbours in class 1: their mean.
         task = MULTICLASS if self.task == MULTICLASS else REGRESSION
-        votes = vote(found, task).withColumnRenamed("query", self.key)
-        joined = df.drop(_FEATURES).join(votes, self.key)
-        if self.task == MULTICLASS:
-            names = F.array(*[F.lit(c) for c in self.labels])
-            return joined.withColumn("prediction", F.get(names, F.col("prediction").cast("int")))
-        return joined
+        return x.join(vote(found, task).withColumnRenamed("query", key), key)
 
 
 def train_model(
@@ -163,20 +163,21 @@ def train_model(
     if name not in MODEL_NAMES:
         raise ValueError(f"unknown model {name!r}, expected one of {MODEL_NAMES}")
     labels: tuple[str, ...] = ()
+    rows = df.select(quoted(key).alias("_key"), quoted(y).alias("_y"), _FEATURES)
     if task == MULTICLASS:
-        text = df.withColumn("_text", F.col(f"`{y}`").cast("string"))
+        text = rows.withColumn("_y", F.col("_y").cast("string"))
         indexer = StringIndexer(
-            inputCol="_text", outputCol=_LABEL, stringOrderType="alphabetAsc"
+            inputCol="_y", outputCol=_LABEL, stringOrderType="alphabetAsc"
         ).fit(text)
         labels = tuple(indexer.labels)
-        rows = indexer.transform(text).drop("_text")
+        rows = indexer.transform(text)
     else:
-        rows = df.withColumn(_LABEL, F.col(f"`{y}`").cast("double"))
+        rows = rows.withColumn(_LABEL, F.col("_y").cast("double"))
     if name == "KNN":
         return FittedModel(name, task, None, labels, rows, key)
     if task == BINARY and name in (LINEAR, "LGBM"):
-        rows = add_class_weights(rows, y, _WEIGHT)
-    rows = rows.withColumn(_FOLD, fold_of(key, CV_FOLDS))
+        rows = add_class_weights(rows, _LABEL, _WEIGHT)
+    rows = rows.withColumn(_FOLD, fold_of("_key", CV_FOLDS))
     if name == LINEAR:
         size = rows.agg(
             F.count(F.lit(1)).alias("n"), F.var_pop(_LABEL).alias("v")

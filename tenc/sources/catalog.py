@@ -21,7 +21,7 @@ def load_roles(path: str) -> dict[str, dict]:
 
 def roles_table(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue as rows ``dataset, task, position, column, role``."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     datasets = whole.select(F.from_json("value", f"map<string, {_ENTRY}>").alias("entries"))
     entries = datasets.select(F.explode("entries").alias("dataset", "entry"))
     return entries.select(

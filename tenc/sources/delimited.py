@@ -74,8 +74,9 @@ def _skip_lines(
     running number starts anew at each block, so the cut needs no look at other blocks.
     """
     if names is None:
-        first = spark.read.option("wholetext", False).text(path)
-        header = first.limit(preamble + 1).collect()[preamble]["value"]
+        # Blank lines do not count, here as in the reader.
+        top = spark.read.text(path).where("trim(value) <> ''").limit(preamble + 1).collect()
+        header = top[preamble]["value"]
         one = spark.createDataFrame([(header,)], "value string")
         names = [
             c.strip()
