@@ -32,7 +32,7 @@ class EmpiricalBayesEncoding:
         joined = lookup(
             df, self.encoding.table(meta.name).withColumn("_enc", F.col("enc")),
             [quoted(meta.name).cast("string")], ["category"], ["_enc"],
-            meta.table_bytes, "n", meta.n_rows, broadcast_bytes,
+            meta.table_bytes, "n", meta.n_rows, meta.row_bytes, broadcast_bytes,
         )
         encoded = [F.get("_enc", F.lit(i)).alias(c) for i, c in enumerate(names)]
         out = joined.select(*[quoted(c) for c in df.columns], *encoded)

@@ -51,7 +51,7 @@ class LeaveOneOutEncoding:
             joined = lookup(
                 df, stats.table(meta.name).withColumn("_n", F.col("n")),
                 [quoted(meta.name).cast("string")], ["category"], ["_n", "sums"],
-                meta.table_bytes, "n", meta.n_rows, broadcast_bytes,
+                meta.table_bytes, "n", meta.n_rows, meta.row_bytes, broadcast_bytes,
             )
             kept = [quoted(c) for c in df.columns]
             encoded = []
@@ -134,6 +134,7 @@ def out_of_fold(
     size = parts.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.octet_length("category")).alias("bytes"),
+        F.max(F.octet_length("category")).alias("longest"),
         F.sum("n").alias("n"),
     ).first()
     # One prior per fold: at most n_folds rows.
@@ -149,7 +150,8 @@ def out_of_fold(
     )
     joined = lookup(
         folded, others, [value, F.col("_fold")], ["category", "fold"], ["_mean"],
-        (size["bytes"] or 0) + 80 * size["rows"], "n", size["n"] or 0, broadcast_bytes,
+        (size["bytes"] or 0) + 80 * size["rows"], "n", size["n"] or 0,
+        (size["longest"] or 0) + 80, broadcast_bytes,
     ).join(F.broadcast(priors), "_fold", "left")
     return joined.select(
         *[quoted(c) for c in df.columns],

@@ -27,7 +27,7 @@ class CountEncoding:
             joined = lookup(
                 df, self.stats.table(meta.name).withColumn("_n", F.col("n")),
                 [quoted(meta.name).cast("string")], ["category"], ["_n"],
-                meta.table_bytes, "n", meta.n_rows, broadcast_bytes,
+                meta.table_bytes, "n", meta.n_rows, meta.row_bytes, broadcast_bytes,
             )
             df = joined.select(
                 *[quoted(c) for c in df.columns],

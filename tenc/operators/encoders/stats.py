@@ -19,12 +19,13 @@ TASKS = (REGRESSION, BINARY, MULTICLASS)
 
 @dataclass(frozen=True)
 class FeatureMeta:
-    """Totals of one feature: rows, observed categories, and the table's estimated bytes."""
+    """Totals of one feature: rows, observed categories, bytes of its table and largest row."""
 
     name: str
     n_rows: int
     k: int
     table_bytes: int
+    row_bytes: int
 
 
 @dataclass(frozen=True)
@@ -114,6 +115,7 @@ def _describe(spark: SparkSession, path: str, columns: list[str], task: str) ->
         F.sum("n").alias("n_rows"),
         F.count("category").alias("k"),
         F.sum(F.octet_length("category")).alias("key_bytes"),
+        F.max(F.octet_length("category")).alias("longest"),
         *([] if task == MULTICLASS else [F.sum("s").alias("s")]),
     )
     rows = {r["feature"]: r for r in totals.collect()}
@@ -140,6 +142,7 @@ def _describe(spark: SparkSession, path: str, columns: list[str], task: str) ->
             n_rows,
             rows[i]["k"] if i in rows else 0,
             (rows[i]["key_bytes"] or 0) + width * rows[i]["k"] if i in rows else 0,
+            (rows[i]["longest"] or 0) + width if i in rows else 0,
         )
         for i, c in enumerate(columns)
     )

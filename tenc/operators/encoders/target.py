@@ -160,7 +160,7 @@ class TargetEncoding:
         table = self.table(column).select("category", "n", F.col("enc").alias("_enc"))
         joined = lookup(
             df, table, [quoted(column).cast("string")], ["category"], ["_enc"],
-            meta.table_bytes, "n", meta.n_rows, broadcast_bytes,
+            meta.table_bytes, "n", meta.n_rows, meta.row_bytes, broadcast_bytes,
         )
         encoded = [
             F.coalesce(F.get("_enc", F.lit(i)), F.lit(prior)).alias(name)

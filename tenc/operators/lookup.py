@@ -34,14 +34,16 @@ def lookup(
     table_bytes: int,
     weight: str,
     total: int,
+    row_bytes: int,
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add ``values`` of ``table`` to ``df`` where ``on`` equals ``keys``; null where absent.
 
     ``table`` has one row per key and ``weight`` says how many fitted rows that key had out of
-    ``total``. Within the byte bound the table is broadcast. Beyond it, only the hot keys (at
-    most ``HOT_SHARE`` of them, whatever the data) are broadcast; their rows are then spread
-    over the shuffle by a salt, while all other rows meet the rest of the table by key.
+    ``total``. Within the byte bound the table is broadcast. Beyond it, only the hot keys are
+    broadcast: at most ``HOT_SHARE`` of them whatever the data, and fewer if one row of the table
+    can take many bytes (``row_bytes``). Their rows are then spread over the shuffle by a salt,
+    while all other rows meet the rest of the table by key.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     right_keys = [f"_key{i}" for i in range(len(keys))]
@@ -55,7 +57,8 @@ def lookup(
         matches = [left == small[r] for left, r in zip(on, right_keys)]
         return df.join(small, matches, "left").select(*kept, *values)
 
-    bound = max(total // HOT_SHARE, 1)
+    most_hot = max(min(HOT_SHARE, BROADCAST_BYTES // max(row_bytes, 1)), 8)
+    bound = max(total // most_hot, 1)
     hot = slim.where(F.col("_w") > bound).select(
         *right_keys, F.struct(*values).alias("_hot"), F.lit(True).alias("_is_hot")
     )

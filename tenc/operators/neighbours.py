@@ -47,6 +47,18 @@ def _pivots(train: DataFrame, n: int) -> np.ndarray:
     return np.unique(np.asarray([r["vector"] for r in drawn], dtype=np.float64), axis=0)
 
 
+def _without_spare_copies(train: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors only the k smallest keys: no other copy can be among k neighbours.
+
+    The limit per group is applied before the shuffle already, so a vector with a third of all
+    rows sends k rows per task.
+    """
+    copies = Window.partitionBy("vector").orderBy("id")
+    return train.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k).drop(
+        "_copy"
+    )
+
+
 def _ring_width(pivots: np.ndarray) -> float:
     spread = _distances(pivots, pivots).max()
     return float(spread) / 16 if spread > 0 else 1.0
@@ -114,6 +126,7 @@ def nearest(
         quoted(vector).cast("array<double>").alias("vector"),
     )
     spark = train.sparkSession
+    base = _without_spare_copies(base, k)
     if n_pivots is None:
         n_pivots = min(max(base.count() // block_rows, 1), MAX_PIVOTS)
     pivots = _pivots(base, n_pivots)

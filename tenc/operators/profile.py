@@ -152,11 +152,13 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     counts = df.groupBy(quoted(target).cast("string").alias("class")).agg(
         F.count(F.lit(1)).alias("n")
     )
+    # One row per class.
+    whole = Window.partitionBy(F.lit(1))
     return counts.select(
         "class",
         "n",
-        (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("fraction"),
-        (F.col("n") == counts.agg(F.max("n")).scalar()).alias("most_frequent"),
+        (F.col("n") / F.sum("n").over(whole)).alias("fraction"),
+        (F.col("n") == F.max("n").over(whole)).alias("most_frequent"),
     )
 
 

@@ -41,7 +41,7 @@ def similar_pairs(values: DataFrame, threshold: float, size: int = 3) -> DataFra
     ).first()
     ranked = lookup(
         exploded, frequency, [F.col("gram")], ["gram"], ["freq"],
-        (extent["bytes"] or 0) + 64 * extent["k"], "n", extent["n"] or 0,
+        (extent["bytes"] or 0) + 64 * extent["k"], "n", extent["n"] or 0, 64 + 4 * size,
     )
     # One set per value again, its grams from rare to common.
     ordered = ranked.groupBy("value", "size").agg(

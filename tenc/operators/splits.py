@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenc.functions.cleaning import quoted
@@ -12,36 +13,78 @@ from tenc.functions.hashing import SPLIT_SEED, key_hash
 from tenc.operators.rank import hash_cuts
 
 
-def _with_folds(df: DataFrame, key: str | list[str], n_splits: int, seed: int) -> DataFrame:
-    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
-    return df.withColumn("fold", folds).withColumn("_hash", key_hash(key, seed, F.col("fold")))
+@dataclass(frozen=True)
+class SplitPlan:
+    """The cut-off hash of every fold (and class): a row is a test row up to that hash.
 
+    A few texts are all there is to keep. Rows are marked by an expression over their own key,
+    so a fold needs neither a join nor a copy of the data.
+    """
 
-def _mark(rows: DataFrame, cuts: DataFrame, groups: list[str], keep: list[str]) -> DataFrame:
-    """``cuts`` has one row per fold (and class), so it is small next to any data."""
-    test = F.coalesce(F.col("_hash") <= F.col("cut"), F.lit(False))
-    return rows.join(F.broadcast(cuts), groups, "left").select(
-        *[quoted(c) for c in keep], "fold", test.alias("is_test")
-    )
+    key: str | list[str]
+    seed: int
+    cuts: tuple[dict[str, str], ...]
+    y: str | None = None
 
+    @property
+    def n_splits(self) -> int:
+        return len(self.cuts)
 
-def shuffle_split(
+    def _cut(self, fold: int) -> Column:
+        cuts = self.cuts[fold]
+        if self.y is None:
+            return F.lit(cuts.get(""))
+        pairs = [F.lit(x) for item in sorted(cuts.items()) for x in item]
+        if not pairs:
+            return F.lit(None).cast("string")
+        return F.try_element_at(F.create_map(*pairs), quoted(self.y).cast("string"))
+
+    def is_test(self, fold: int) -> Column:
+        within = key_hash(self.key, self.seed, fold) <= self._cut(fold)
+        return F.coalesce(within, F.lit(False))
+
+    def mark(self, df: DataFrame, fold: int) -> DataFrame:
+        """``df`` with ``is_test`` for one fold."""
+        return df.withColumn("is_test", self.is_test(fold))
+
+    def all_folds(self, df: DataFrame) -> DataFrame:
+        """``df`` once per fold with ``fold`` and ``is_test``."""
+        marks = F.posexplode(F.array(*[self.is_test(i) for i in range(self.n_splits)]))
+        return df.select(*[quoted(c) for c in df.columns], marks.alias("fold", "is_test"))
+
+    def test_rows(self, df: DataFrame) -> DataFrame:
+        """The test rows of all folds, with ``fold``."""
+        return self.all_folds(df).where("is_test").drop("is_test")
+
+
+def _hashed(df: DataFrame, key: str | list[str], n_splits: int, seed: int) -> DataFrame:
+    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
+    return df.withColumn("fold", folds).withColumn("_hash", key_hash(key, seed, F.col("fold")))
+
+
+def plan_shuffle_split(
     df: DataFrame, key: str | list[str], n_splits: int = 20, test_size: float = 1 / 3,
     seed: int = SPLIT_SEED,
-) -> DataFrame:
-    """``df`` once per fold, with ``is_test`` on exactly ``ceil(n * test_size)`` rows.
-
-    Each fold's test rows are those up to one cut-off hash, so rows are marked by comparison
-    and never sorted or shuffled as a whole.
-    """
-    rows = _with_folds(df, key, n_splits, seed)
+) -> SplitPlan:
+    """Folds with exactly ``ceil(n * test_size)`` test rows."""
     n = df.count()
     take = ceil(n * test_size - 1e-9)
     sizes = df.sparkSession.createDataFrame(
         [(fold, n, take) for fold in range(n_splits)], "fold int, n long, take long"
     )
-    cuts = hash_cuts(rows.select("fold", "_hash"), ["fold"], sizes)
-    return _mark(rows, cuts, ["fold"], df.columns)
+    rows = _hashed(df, key, n_splits, seed).select("fold", "_hash")
+    found = {r["fold"]: r["cut"] for r in hash_cuts(rows, ["fold"], sizes).collect()}
+    return SplitPlan(
+        key, seed, tuple({"": found[i]} if i in found else {} for i in range(n_splits))
+    )
+
+
+def shuffle_split(
+    df: DataFrame, key: str | list[str], n_splits: int = 20, test_size: float = 1 / 3,
+    seed: int = SPLIT_SEED,
+) -> DataFrame:
+    """``df`` once per fold, with ``is_test`` on exactly ``ceil(n * test_size)`` rows."""
+    return plan_shuffle_split(df, key, n_splits, test_size, seed).all_folds(df)
 
 
 def class_sizes(df: DataFrame, y: str, test_size: float) -> DataFrame:
@@ -69,22 +112,31 @@ def class_sizes(df: DataFrame, y: str, test_size: float) -> DataFrame:
     return shares.select("class", "n", (F.col("n") - train).cast("long").alias("take"))
 
 
-def stratified_split(
+def plan_stratified_split(
     df: DataFrame, key: str | list[str], y: str, n_splits: int = 20, test_size: float = 1 / 3,
     seed: int = SPLIT_SEED,
-) -> DataFrame:
-    """Like ``shuffle_split`` with the class shares kept in every fold."""
-    named = df.withColumn("_class", quoted(y).cast("string"))
-    rows = _with_folds(named, key, n_splits, seed)
-    # One row per class reaches the driver.
+) -> SplitPlan:
+    """Folds that keep the class shares; a class is a label, so there are few of them."""
     per_class = class_sizes(df, y, test_size).collect()
     sizes = df.sparkSession.createDataFrame(
         [(fold, r["class"], r["n"], r["take"]) for fold in range(n_splits) for r in per_class],
         "fold int, _class string, n long, take long",
     )
     groups = ["fold", "_class"]
-    cuts = hash_cuts(rows.select(*groups, "_hash"), groups, sizes)
-    return _mark(rows, cuts, groups, df.columns)
+    named = df.withColumn("_class", quoted(y).cast("string"))
+    rows = _hashed(named, key, n_splits, seed).select(*groups, "_hash")
+    cuts: tuple[dict[str, str], ...] = tuple({} for _ in range(n_splits))
+    for r in hash_cuts(rows, groups, sizes).collect():
+        cuts[r["fold"]][r["_class"]] = r["cut"]
+    return SplitPlan(key, seed, cuts, y)
+
+
+def stratified_split(
+    df: DataFrame, key: str | list[str], y: str, n_splits: int = 20, test_size: float = 1 / 3,
+    seed: int = SPLIT_SEED,
+) -> DataFrame:
+    """Like ``shuffle_split`` with the class shares kept in every fold."""
+    return plan_stratified_split(df, key, y, n_splits, test_size, seed).all_folds(df)
 
 
 def fold_target_stats(

@@ -17,7 +17,7 @@ from tenc.operators.metrics import score_by_task
 from tenc.operators.prepare import ONE_HOT, prepare, resolve_roles
 from tenc.operators.profile import ONE_HOT_LIMIT
 from tenc.operators.relate import pending
-from tenc.operators.splits import shuffle_split, stratified_split
+from tenc.operators.splits import SplitPlan, plan_shuffle_split, plan_stratified_split
 from tenc.plans.features import fit_features
 from tenc.plans.models import train_model
 from tenc.session import materialise
@@ -58,21 +58,22 @@ class Settings:
     model: Mapping = field(default_factory=dict)
 
 
-def make_split(df: DataFrame, dataset: Dataset, settings: Settings) -> DataFrame:
+def make_split(df: DataFrame, dataset: Dataset, settings: Settings) -> SplitPlan:
     """Plain repeated splits for regression, stratified ones for classes."""
     if dataset.task == REGRESSION:
-        return shuffle_split(df, dataset.key, settings.n_splits, settings.test_size)
+        return plan_shuffle_split(df, dataset.key, settings.n_splits, settings.test_size)
     y = resolve_roles(dataset.roles).target
-    return stratified_split(df, dataset.key, y, settings.n_splits, settings.test_size)
+    return plan_stratified_split(df, dataset.key, y, settings.n_splits, settings.test_size)
 
 
 def run_fold(
-    split: DataFrame, fold: int, dataset: Dataset, encoder: str, model: str, settings: Settings
+    prepared: DataFrame, split: SplitPlan, fold: int, dataset: Dataset, encoder: str, model: str,
+    settings: Settings,
 ) -> dict[str, float]:
     """Encode, scale, train and score one fold; the clocks stop after the work is done."""
     y = resolve_roles(dataset.roles).target
-    rows = split.where(F.col("fold") == fold)
-    train, test = rows.where("not is_test"), rows.where("is_test")
+    train = prepared.where(~split.is_test(fold))
+    test = prepared.where(split.is_test(fold))
 
     start = time.time()
     features = fit_features(
@@ -159,22 +160,22 @@ def run_grid(
         for r in pending(grid, finished, keys).select("dataset", "encoder", "clf").collect()
     }
     outcome = []
-    splits: dict[str, DataFrame] = {}
+    ready: dict[str, tuple[DataFrame, SplitPlan]] = {}
     for dataset, encoder, model, parameters in combinations:
         label = (dataset.name, encoder, model)
         if label not in todo:
             outcome.append((*label, "stored", ""))
             continue
         try:
-            if dataset.name not in splits:
-                prepared = materialise(_prepared(spark, dataset, settings))
-                splits[dataset.name] = materialise(make_split(prepared, dataset, settings))
-            split = splits[dataset.name]
-            if _too_wide(split, dataset, encoder, settings):
+            if dataset.name not in ready:
+                prepared = materialise(prepare_rows(spark, dataset, settings))
+                ready[dataset.name] = prepared, make_split(prepared, dataset, settings)
+            prepared, split = ready[dataset.name]
+            if _too_wide(prepared, dataset, encoder, settings):
                 outcome.append((*label, "skipped", "too many categories for one-hot encoding"))
                 continue
             folds = [
-                run_fold(split, i, dataset, encoder, model, settings)
+                run_fold(prepared, split, i, dataset, encoder, model, settings)
                 for i in range(settings.n_splits)
             ]
             results = Row(*RESULT_FIELDS)(*[[f[c] for f in folds] for c in RESULT_FIELDS])
@@ -187,16 +188,16 @@ def run_grid(
     )
 
 
-def _prepared(spark: SparkSession, dataset: Dataset, settings: Settings) -> DataFrame:
+def prepare_rows(spark: SparkSession, dataset: Dataset, settings: Settings) -> DataFrame:
     return prepare(
         dataset.load(spark), dataset.roles, dataset.key, rows_used(dataset.name),
         settings.normalise,
     )
 
 
-def _too_wide(split: DataFrame, dataset: Dataset, encoder: str, settings: Settings) -> bool:
+def _too_wide(prepared: DataFrame, dataset: Dataset, encoder: str, settings: Settings) -> bool:
     special = resolve_roles(dataset.roles).special
     if encoder not in ONE_HOT or special is None:
         return False
-    distinct = split.where("fold = 0").select(quoted(special)).distinct().count()
+    distinct = prepared.select(quoted(special)).distinct().count()
     return distinct > settings.one_hot_limit

@@ -10,7 +10,12 @@ from tenc.functions.hashing import MODEL_SEED, SPLIT_SEED
 from tenc.operators import metrics, neighbours, profile, synth
 from tenc.operators.encoders.stats import MULTICLASS, REGRESSION
 from tenc.operators.similarity import ball_by_value, ball_counts
-from tenc.operators.splits import fold_target_stats, shuffle_split, stratified_split
+from tenc.operators.splits import (
+    fold_target_stats,
+    plan_shuffle_split,
+    shuffle_split,
+    stratified_split,
+)
 from tenc.operators.weights import add_class_weights
 from tenc.session import materialise
 from tenc.suite.bases import (
@@ -101,7 +106,7 @@ def _fold_encoding(df: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame
 )
 def fold_target_encode(spark: SparkSession, folder: str) -> DataFrame:
     df = _orders(spark, folder)
-    test = shuffle_split(df, "o_orderkey", _FOLDS).where("is_test")
+    test = plan_shuffle_split(df, "o_orderkey", _FOLDS).test_rows(df)
     encoded, _ = _fold_encoding(df, test)
     return rounded(encoded, "enc", digits=4)
 
@@ -119,8 +124,7 @@ FROM scored JOIN means USING (fold) GROUP BY 1""",
 )
 def metric_r2(spark: SparkSession, folder: str) -> DataFrame:
     df = _orders(spark, folder)
-    split = shuffle_split(df, "o_orderkey", _FOLDS)
-    test = materialise(split.where("is_test").drop("is_test"))
+    test = materialise(plan_shuffle_split(df, "o_orderkey", _FOLDS).test_rows(df))
     encoded, totals = _fold_encoding(df, test)
     scored = (
         test.withColumn("category", F.col("o_custkey").cast("string"))

@@ -283,26 +283,27 @@ def _thresholds(spark: SparkSession, folder: str) -> DataFrame:
     "score_curve",
     f"""
 WITH {_THRESHOLDS_SQL}
-SELECT encoder, threshold, round(avg(score), 6) AS mean,
-       round(avg(score) - 1.959963984540054::DOUBLE * stddev_samp(score) / sqrt(count(*)), 6) AS low,
-       round(avg(score) + 1.959963984540054::DOUBLE * stddev_samp(score) / sqrt(count(*)), 6) AS high,
+SELECT encoder, threshold, round(avg(score), 12) AS mean,
+       round(avg(score) - 1.959963984540054::DOUBLE * stddev_samp(score) / sqrt(count(*)), 12) AS low,
+       round(avg(score) + 1.959963984540054::DOUBLE * stddev_samp(score) / sqrt(count(*)), 12) AS high,
        count(*) AS n
 FROM curve GROUP BY 1, 2""",
 )
 def score_curve(spark: SparkSession, folder: str) -> DataFrame:
     curve = reports.score_curve(_thresholds(spark, folder), "encoder")
-    return rounded(curve, "mean", "low", "high")
+    return rounded(curve, "mean", "low", "high", digits=12)
 
 
 @query(
     "score_range",
     f"""
 WITH {_SCORES_SQL}
-SELECT min(score) AS lowest, max(score) AS highest, round(avg(score), 6) AS mean
+SELECT min(score) AS lowest, max(score) AS highest, round(avg(score), 12) AS mean
 FROM scored WHERE clf = 'F'""",
 )
 def score_range(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(reports.score_range(_scores(spark, folder).where("clf = 'F'")), "mean")
+    finished = _scores(spark, folder).where("clf = 'F'")
+    return rounded(reports.score_range(finished), "mean", digits=12)
 
 
 @query(

@@ -193,8 +193,9 @@ def run_fold(spark: SparkSession, folder: str) -> DataFrame:
     """One fold from encoding to scores, with its times."""
     dataset = _price_dataset(folder)
     settings = X.Settings(n_splits=1)
-    split = materialise(X.make_split(X._prepared(spark, dataset, settings), dataset, settings))
-    result = X.run_fold(split, 0, dataset, _BAYES, "L2RegularizedLinearModel", settings)
+    prepared = materialise(X.prepare_rows(spark, dataset, settings))
+    split = X.make_split(prepared, dataset, settings)
+    result = X.run_fold(prepared, split, 0, dataset, _BAYES, "L2RegularizedLinearModel", settings)
     return spark.createDataFrame([tuple(result.values())], [f"`{c}`" for c in result]).toDF(*result)
 
 
