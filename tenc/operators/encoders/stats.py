@@ -53,7 +53,8 @@ class CategoryStats:
     def table(self, name: str) -> DataFrame:
         """``category, n, sums`` of one feature; missing values are not a category."""
         index = [f.name for f in self.features].index(name)
-        raw = self.spark.read.parquet(f"{self.path}/feature={index}").where("category is not null")
+        files = self.spark.read.schema(_schema(self.task))
+        raw = files.parquet(f"{self.path}/feature={index}").where("category is not null")
         if self.task != MULTICLASS:
             return raw.select("category", "n", F.array("s").alias("sums"))
         filled = [
@@ -73,6 +74,11 @@ class CategoryStats:
         return F.array(*[F.lit(p) for p in self.priors])
 
 
+def _schema(task: str) -> str:
+    """Columns of the stored statistics; ``s`` is a sum, or rows by class."""
+    return f"category string, n bigint, s {'map<string,bigint>' if task == MULTICLASS else 'double'}"
+
+
 def fit_stats(
     df: DataFrame, columns: list[str], y: str, task: str = BINARY, path: str | None = None
 ) -> CategoryStats:
@@ -110,7 +116,7 @@ def fit_stats(
 
 def _describe(spark: SparkSession, path: str, columns: list[str], task: str) -> CategoryStats:
     """Read the totals back: one row per feature, and one row per class."""
-    written = spark.read.parquet(path)
+    written = spark.read.schema(_schema(task) + ", feature int").parquet(path)
     totals = written.groupBy("feature").agg(
         F.sum("n").alias("n_rows"),
         F.count("category").alias("k"),

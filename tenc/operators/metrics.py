@@ -65,15 +65,19 @@ def average_precision(
         ranged.groupBy(*by, "_range")
         .agg(F.sum("_n").alias("_rn"), F.sum("_pos").alias("_rp"))
         .select(
-            *by,
-            "_range",
+            *[quoted(c).alias(f"_by{i}") for i, c in enumerate(by)],
+            F.col("_range").alias("_same_range"),
             (F.sum("_rn").over(before) - F.col("_rn")).alias("_n_before"),
             (F.sum("_rp").over(before) - F.col("_rp")).alias("_pos_before"),
         )
     )
     inside = Window.partitionBy(*by, "_range").orderBy(F.desc("_score"))
+    # Null-safe, so that a group without a name keeps its score.
+    same = F.col("_range") == F.col("_same_range")
+    for i, c in enumerate(by):
+        same = same & quoted(c).eqNullSafe(F.col(f"_by{i}"))
     return (
-        ranged.join(F.broadcast(offsets), [*by, "_range"])
+        ranged.join(F.broadcast(offsets), same)
         .withColumns(
             {
                 "_seen": F.col("_n_before") + F.sum("_n").over(inside),

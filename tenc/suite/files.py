@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenc.functions.cleaning import quoted
+from tenc.operators.prepare import missing_fractions
 from tenc.operators.relate import pending
 from tenc.plans import reports
 from tenc.session import scratch_path
 from tenc.sources import runs as R
 from tenc.sources.cache import cache_or_build
+from tenc.sources.catalog import roles_table
 from tenc.sources.delimited import names_from_dictionary, read_delimited
 from tenc.suite.bases import rounded, table
 from tenc.suite.registry import query
@@ -37,8 +41,9 @@ def _cast(df: DataFrame, like: DataFrame) -> DataFrame:
     "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
 )
 def src_csv_header(spark: SparkSession, folder: str) -> DataFrame:
+    """A header line and compressed files."""
     orders = table(spark, folder, "orders").drop("o_orderdate")
-    return _cast(read_delimited(spark, _write(orders, "header")), orders)
+    return _cast(read_delimited(spark, _write(orders, "header", compression="gzip")), orders)
 
 
 @query(
@@ -108,14 +113,14 @@ def src_csv_preamble(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "src_csv_multiline",
-    """SELECT conv_id, turn, role, text AS "Reply
-Text" FROM conversations""",
+    "SELECT conv_id, turn, role, text AS reply_text FROM conversations",
 )
 def src_csv_multiline(spark: SparkSession, folder: str) -> DataFrame:
     """Line breaks inside quoted values and inside a column name."""
     turns = table(spark, folder, "conversations").withColumnRenamed("text", "Reply\nText")
     path = _write(turns, "multiline", quoteAll=True)
-    return _cast(read_delimited(spark, path, multiline=True, markers=None), turns)
+    back = _cast(read_delimited(spark, path, multiline=True, markers=None), turns)
+    return back.withColumnRenamed("Reply\nText", "reply_text")
 
 
 @query("src_key_column", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
@@ -143,6 +148,58 @@ def cache_or_build_query(spark: SparkSession, folder: str) -> DataFrame:
     return cache_or_build(spark, path, lambda: build().limit(0))
 
 
+_CATALOGUE = {
+    "orders": {
+        "clf_type": "regression",
+        "col_action": {"o_orderkey": "Delete", "o_orderpriority": "Special", "o_totalprice": "y"},
+    },
+    "labelled": {
+        "clf_type": "binary-clf",
+        "col_action": {"lang": "OneHotEncoderDense", "source": "Special", "quality": "y"},
+    },
+}
+_CATALOGUE_ROWS = ", ".join(
+    f"('{d}', '{entry['clf_type']}', {i}, '{c}', '{r}')"
+    for d, entry in _CATALOGUE.items()
+    for i, (c, r) in enumerate(entry["col_action"].items())
+)
+
+
+@query(
+    "role_catalog",
+    f"""
+WITH roles(dataset, task, position, "column", role) AS (VALUES {_CATALOGUE_ROWS}),
+t AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)),
+f(dataset, "column", fraction) AS (
+  SELECT 'orders', 'o_orderkey', avg((o_orderkey IS NULL)::INTEGER) FROM orders
+  UNION ALL SELECT 'orders', 'o_orderpriority', avg((o_orderpriority IS NULL)::INTEGER) FROM orders
+  UNION ALL SELECT 'orders', 'o_totalprice', avg((o_totalprice IS NULL)::INTEGER) FROM orders
+  UNION ALL SELECT 'labelled', 'lang', avg((lang IS NULL)::INTEGER) FROM t
+  UNION ALL SELECT 'labelled', 'source', avg((source IS NULL)::INTEGER) FROM t
+  UNION ALL SELECT 'labelled', 'quality', avg((quality IS NULL)::INTEGER) FROM t)
+SELECT dataset, task, position, "column", role, round(fraction, 6) AS missing
+FROM roles JOIN f USING (dataset, "column")""",
+)
+def role_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """A role catalogue read from JSON, with the share of missing values of each column."""
+    path = scratch_path(spark, "roles")
+    text = spark.createDataFrame([(json.dumps(_CATALOGUE),)], "value string")
+    text.coalesce(1).write.text(path)
+    roles = roles_table(spark, path)
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    tables = {
+        "orders": table(spark, folder, "orders"),
+        "labelled": documents.join(labels, "doc_id", "left"),
+    }
+    shares = None
+    for name, df in tables.items():
+        part = missing_fractions(df, list(_CATALOGUE[name]["col_action"])).select(
+            F.lit(name).alias("dataset"), "column", F.round("fraction", 6).alias("missing")
+        )
+        shares = part if shares is None else shares.unionByName(part)
+    return roles.join(shares, ["dataset", "column"])
+
+
 # Run records derived from the orders: one run per market segment, order priority and status,
 # its folds are the order years.
 _SCORES_SQL = """
