@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +20,26 @@ def character_set(c: Column) -> Column:
     return gram_set(c, 1)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def jaccard_of_sets(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    def score(sets: Column) -> Column:
+        total = F.size(sets["a"]) + F.size(sets["b"])
+        shared = F.size(F.array_intersect(sets["a"], sets["b"]))
+        return _once(shared, lambda n: n / (total - n))
+
+    return _once(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def sorensen_of_sets(a: Column, b: Column) -> Column:
-    return F.lit(2.0) * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    def score(sets: Column) -> Column:
+        total = F.size(sets["a"]) + F.size(sets["b"])
+        return F.lit(2.0) * F.size(F.array_intersect(sets["a"], sets["b"])) / total
+
+    return _once(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def gram_similarity(a: Column, b: Column, size: int = 3) -> Column:

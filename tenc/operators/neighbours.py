@@ -126,7 +126,7 @@ def nearest(
         quoted(vector).cast("array<double>").alias("vector"),
     )
     spark = train.sparkSession
-    base = _without_spare_copies(base, k)
+    base = materialise(_without_spare_copies(base, k))
     if n_pivots is None:
         n_pivots = min(max(base.count() // block_rows, 1), MAX_PIVOTS)
     pivots = _pivots(base, n_pivots)

@@ -50,8 +50,10 @@ def similar_pairs(values: DataFrame, threshold: float, size: int = 3) -> DataFra
         ).alias("sorted")
     )
     keep = F.col("size") - F.ceil(F.col("size") * threshold - _TOLERANCE).cast("int") + 1
-    heads = ordered.select(
-        "value", "size", F.posexplode(F.slice("sorted", F.lit(1), keep)).alias("pos", "gram")
+    heads = materialise(
+        ordered.select(
+            "value", "size", F.posexplode(F.slice("sorted", F.lit(1), keep)).alias("pos", "gram")
+        )
     )
 
     def side(prefix: str) -> DataFrame:

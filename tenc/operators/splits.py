@@ -93,8 +93,11 @@ def class_sizes(df: DataFrame, y: str, test_size: float) -> DataFrame:
     Training sizes are proportional; the rows lost to rounding go to the largest remainders
     (ties to the smaller class name).
     """
-    counts = df.groupBy(quoted(y).cast("string").alias("class")).agg(
-        F.count(F.lit(1)).alias("n")
+    label = quoted(y).cast("string")
+    counts = (
+        df.where(label.isNotNull())
+        .groupBy(label.alias("class"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
     # One row per class from here on.
     everything = Window.partitionBy(F.lit(1))
