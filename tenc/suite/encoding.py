@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tenc.functions.hashing import SPLIT_SEED
@@ -37,11 +37,17 @@ def _encoded_items(encoding, df: DataFrame, column: str) -> DataFrame:
     return rounded(out, "enc")
 
 
-def _single(name: str):
+def _single(name: str) -> Column:
     """Single precision, for means of cents that would often lie halfway between decimals."""
     return F.col(name).cast("float").alias("enc")
 
 
+def _narrow(value: Column | str, name: str = "enc") -> Column:
+    """A double with single precision: sums in another order do not change it."""
+    c = F.col(value) if isinstance(value, str) else value
+    return c.cast("float").cast("double").alias(name)
+
+
 def _items_sql(category: str, weight: str) -> str:
     return f"""
 WITH {RETURNS_SQL}, {encoding_sql("returns", category, "y")}
@@ -100,7 +106,7 @@ _EXP = "CASE WHEN s.n <= 1 THEN 0 ELSE 1 / (1 + exp(-(s.n - {k}) / 1.0::DOUBLE))
     "te_exp_1_1",
     f"""
 WITH {PRICES_SQL}, {encoding_sql("prices", "o_custkey", "o_totalprice")}
-SELECT o_orderkey, round(w * mean + (1 - w) * prior, 4) AS enc
+SELECT o_orderkey, (w * mean + (1 - w) * prior)::FLOAT::DOUBLE AS enc
 FROM (SELECT p.o_orderkey, s.mean, a.prior, {_EXP.format(k=1)} AS w
       FROM prices p JOIN stats s ON p.o_custkey = s.category CROSS JOIN stats_all a)""",
 )
@@ -109,8 +115,8 @@ def te_exp_1_1(spark: SparkSession, folder: str) -> DataFrame:
     encoding = fit(
         df, ["o_custkey"], "o_totalprice", REGRESSION, "exponential", k=1, f=1.0, unknown="ignore"
     )
-    out = encoding.apply(df).select("o_orderkey", F.col("o_custkey_enc").alias("enc"))
-    return rounded(out, "enc", digits=4)
+    out = encoding.apply(df).select("o_orderkey", _narrow("o_custkey_enc"))
+    return out
 
 
 @query("te_exp_5_1", _items_sql("l_partkey", _EXP.format(k=5)))
@@ -153,7 +159,7 @@ _COLUMNS = ["o_custkey", "c_mktsegment", "o_orderpriority"]
     f"""
 WITH {PRICES_SQL}, {", ".join(encoding_sql("prices", c, "o_totalprice", c + "_s") for c in _COLUMNS)}
 SELECT o_orderkey, {", ".join(
-    f"round(({c}_s.n * {c}_s.mean + {c}_s_all.prior) / ({c}_s.n + 1), 4) AS {c}_enc"
+    f"(({c}_s.n * {c}_s.mean + {c}_s_all.prior) / ({c}_s.n + 1))::FLOAT::DOUBLE AS {c}_enc"
     for c in _COLUMNS)}
 FROM prices {" ".join(f"JOIN {c}_s ON prices.{c} = {c}_s.category CROSS JOIN {c}_s_all"
     for c in _COLUMNS)}""",
@@ -162,7 +168,7 @@ def te_multi_column(spark: SparkSession, folder: str) -> DataFrame:
     df = prices(spark, folder)
     encoding = fit(df, _COLUMNS, "o_totalprice", REGRESSION, m=1, unknown="ignore")
     names = [c + "_enc" for c in _COLUMNS]
-    return rounded(encoding.apply(df).select("o_orderkey", *names), *names, digits=4)
+    return encoding.apply(df).select("o_orderkey", *[_narrow(c, c) for c in names])
 
 
 _PENDING = "(SELECT * FROM orders WHERE o_orderstatus = 'P')"
@@ -173,7 +179,7 @@ _PENDING = "(SELECT * FROM orders WHERE o_orderstatus = 'P')"
     f"""
 WITH {encoding_sql(_PENDING, "o_custkey", "o_totalprice")}
 SELECT o_orderkey, n IS NULL AS unseen,
-       round(coalesce((n * mean + prior * n_rows / k::DOUBLE) / (n + n_rows / k::DOUBLE), prior), 4)
+       (coalesce((n * mean + prior * n_rows / k::DOUBLE) / (n + n_rows / k::DOUBLE), prior))::FLOAT::DOUBLE
          AS enc
 FROM orders LEFT JOIN stats ON o_custkey = category CROSS JOIN stats_all""",
 )
@@ -188,7 +194,7 @@ def te_unknown_ignore(spark: SparkSession, folder: str) -> DataFrame:
     return marked.select(
         "o_orderkey",
         F.coalesce("unseen", F.lit(False)).alias("unseen"),
-        F.round("o_custkey_enc", 4).alias("enc"),
+        _narrow("o_custkey_enc"),
     )
 
 
@@ -200,9 +206,9 @@ _LISTED = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
     f"""
 WITH {encoding_sql("orders", "o_orderpriority", "o_totalprice")}
 SELECT o_orderkey,
-       round(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+       (CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
                   THEN (n * mean + prior * n_rows / k::DOUBLE) / (n + n_rows / k::DOUBLE)
-                  ELSE prior END, 4) AS enc
+                  ELSE prior END)::FLOAT::DOUBLE AS enc
 FROM orders JOIN stats ON o_orderpriority = category CROSS JOIN stats_all""",
 )
 def te_fixed_categories(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,8 +217,8 @@ def te_fixed_categories(spark: SparkSession, folder: str) -> DataFrame:
         df, ["o_orderpriority"], "o_totalprice", REGRESSION, m="n_avg", unknown="ignore",
         categories={"o_orderpriority": _LISTED},
     )
-    out = encoding.apply(df).select("o_orderkey", F.col("o_orderpriority_enc").alias("enc"))
-    return rounded(out, "enc", digits=4)
+    out = encoding.apply(df).select("o_orderkey", _narrow("o_orderpriority_enc"))
+    return out
 
 
 def split_sql(source: str, key: str, fold: int) -> str:
@@ -229,7 +235,7 @@ WITH marked AS ({split_sql("orders", "o_orderkey", 0)}),
 train AS (SELECT * FROM marked WHERE NOT is_test),
 {encoding_sql("train", "o_custkey", "o_totalprice")}
 SELECT o_orderkey, o_totalprice,
-       round(coalesce((n * mean + prior * n_rows / k::DOUBLE) / (n + n_rows / k::DOUBLE), prior), 4)
+       (coalesce((n * mean + prior * n_rows / k::DOUBLE) / (n + n_rows / k::DOUBLE), prior))::FLOAT::DOUBLE
          AS enc
 FROM (SELECT * FROM marked WHERE is_test) LEFT JOIN stats ON o_custkey = category
 CROSS JOIN stats_all""",
@@ -243,7 +249,7 @@ def te_train_test(spark: SparkSession, folder: str) -> DataFrame:
     )
     test = encoding.apply(split.where("is_test"))
     return test.select(
-        "o_orderkey", "o_totalprice", F.round("o_custkey_enc", 4).alias("enc")
+        "o_orderkey", "o_totalprice", _narrow("o_custkey_enc")
     )
 
 
@@ -255,7 +261,7 @@ matched AS (
   SELECT o_orderkey, w * mean + (1 - w) * prior AS enc
   FROM (SELECT o_orderkey, mean, prior, 1 / (1 + exp(-(n - 5) / 1.0::DOUBLE)) AS w
         FROM orders LEFT JOIN stats ON o_custkey = category CROSS JOIN stats_all))
-SELECT o_orderkey, round(coalesce(enc, (SELECT avg(enc) FROM matched)), 4) AS enc FROM matched""",
+SELECT o_orderkey, (coalesce(enc, (SELECT avg(enc) FROM matched)))::FLOAT::DOUBLE AS enc FROM matched""",
 )
 def hcc_bayes(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "orders")
@@ -263,8 +269,8 @@ def hcc_bayes(spark: SparkSession, folder: str) -> DataFrame:
         df.where("o_orderstatus = 'P'"), ["o_custkey"], "o_totalprice", REGRESSION, noise=0.0,
         fill="batch_mean",
     )
-    out = encoding.apply(df).select("o_orderkey", F.col("o_custkey_enc").alias("enc"))
-    return rounded(out, "enc", digits=4)
+    out = encoding.apply(df).select("o_orderkey", _narrow("o_custkey_enc"))
+    return out
 
 
 @query(
@@ -305,16 +311,15 @@ _NOISE_U1 = f"((('0x' || substr({_NOISE_DIGEST}, 1, 8))::BIGINT + 0.5::DOUBLE) /
     f"""
 WITH {encoding_sql("orders", "o_orderpriority", "o_totalprice")}
 SELECT o_orderkey,
-       round((n * mean + prior) / (n + 1) * (1 + 0.01::DOUBLE
-             * sqrt(-2 * ln({_NOISE_U1})) * cos({2 * math.pi!r} * {uniform_sql(_NOISE_DIGEST, 1)})),
-             4) AS enc
+       ((n * mean + prior) / (n + 1) * (1 + 0.01::DOUBLE
+             * sqrt(-2 * ln({_NOISE_U1})) * cos({2 * math.pi!r} * {uniform_sql(_NOISE_DIGEST, 1)})))::FLOAT::DOUBLE AS enc
 FROM orders JOIN stats ON o_orderpriority = category CROSS JOIN stats_all""",
 )
 def noise_encoding(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "orders")
     encoding = fit(df, ["o_orderpriority"], "o_totalprice", REGRESSION, m=1, unknown="ignore")
     noisy = heldout.add_noise(F.col("o_orderpriority_enc"), "o_orderkey", 0.01, SPLIT_SEED)
-    return encoding.apply(df).select("o_orderkey", F.round(noisy, 4).alias("enc"))
+    return encoding.apply(df).select("o_orderkey", _narrow(noisy))
 
 
 _FOLD = (
