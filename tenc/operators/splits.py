@@ -57,9 +57,15 @@ class SplitPlan:
         return self.all_folds(df).where("is_test").drop("is_test")
 
 
-def _hashed(df: DataFrame, key: str | list[str], n_splits: int, seed: int) -> DataFrame:
-    folds = F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1)))
-    return df.withColumn("fold", folds).withColumn("_hash", key_hash(key, seed, F.col("fold")))
+def _hashed(df: DataFrame, key: str | list[str], n_splits: int, seed: int, *keep: str) -> DataFrame:
+    """``keep``, ``fold`` and ``_hash`` for every fold; each hash is computed a single time."""
+    hashes = F.array(
+        *[
+            F.struct(F.lit(i).alias("fold"), key_hash(key, seed, i).alias("_hash"))
+            for i in range(n_splits)
+        ]
+    )
+    return df.select(*keep, F.inline(hashes))
 
 
 def plan_shuffle_split(
@@ -72,7 +78,7 @@ def plan_shuffle_split(
     sizes = df.sparkSession.createDataFrame(
         [(fold, n, take) for fold in range(n_splits)], "fold int, n long, take long"
     )
-    rows = _hashed(df, key, n_splits, seed).select("fold", "_hash")
+    rows = _hashed(df, key, n_splits, seed)
     found = {r["fold"]: r["cut"] for r in hash_cuts(rows, ["fold"], sizes).collect()}
     return SplitPlan(
         key, seed, tuple({"": found[i]} if i in found else {} for i in range(n_splits))
@@ -127,7 +133,7 @@ def plan_stratified_split(
     )
     groups = ["fold", "_class"]
     named = df.withColumn("_class", quoted(y).cast("string"))
-    rows = _hashed(named, key, n_splits, seed).select(*groups, "_hash")
+    rows = _hashed(named, key, n_splits, seed, "_class")
     cuts: tuple[dict[str, str], ...] = tuple({} for _ in range(n_splits))
     for r in hash_cuts(rows, groups, sizes).collect():
         cuts[r["fold"]][r["_class"]] = r["cut"]
