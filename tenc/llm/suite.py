@@ -7,16 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenc.llm import simhash
+from tenc.llm import licenses, mixing, multiset, packing, quality, simhash, tokens
 from tenc.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the installed package of public tokenizers keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint classes of all documents."""
     return simhash.fingerprint_classes(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_simhash": op1_simhash}
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents."""
+    return tokens.count_tokens(table(spark, folder, "documents"), tokenizer_path(), limit=2048)
+
+
+def op4_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return multiset.edited_fingerprints(table(spark, folder, "documents"))
+
+
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into windows of 4096 tokens; the ids themselves are left out."""
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path(), window=4096, end_id=2)
+    return packed.drop("ids")
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality measures and verdicts of all documents."""
+    return quality.measured(table(spark, folder, "documents"), keep=["doc_id"]).withColumn(
+        "failed_rules", F.array_join("failed_rules", ",")
+    )
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of all documents in a mixture that flattens the sources' sizes."""
+    return mixing.positions(table(spark, folder, "documents"))
+
+
+def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences of all pages: own notices, or those of the nearest directory of the address."""
+    address = F.regexp_extract("url", r"^[a-zA-Z]+://([^?#]+)", 1)
+    files = table(spark, folder, "pages").select(
+        F.col("page_id").alias("file_id"),
+        F.when(address != "", F.regexp_replace(address, "/+$", "")).alias("path"),
+        F.regexp_replace("html", "<[^>]*>", "\n").alias("text"),
+    )
+    return licenses.scan(files).withColumnRenamed("file_id", "page_id")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op3_token_counts, op4_multiset_hash, op5_packing, op6_quality, op7_mixing,
+        op9_licenses,
+    )
+}
 ORACLES: dict[str, str] = {}
