@@ -40,8 +40,8 @@ class Rule(NamedTuple):
 
 RULES = (
     Rule("word_length", "word_chars", "n_words", 2.0, 25.0),
-    Rule("symbols", "n_symbols", "n_words", None, 0.5),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.3),
+    Rule("symbols", "n_symbols", "n_words", None, 0.1),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.4),
     Rule("stop_words", "n_stop_words", "n_words", 0.01, None, 50),
 )
 

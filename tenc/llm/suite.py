@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenc.llm import licenses, mixing, multiset, packing, quality, simhash, tokens
+from tenc.llm import licenses, lm, mixing, multiset, packing, quality, simhash, tokens
 from tenc.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.fingerprint_classes(table(spark, folder, "documents"))
 
 
+def op2_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a bigram model of those whose key's CRC-32 modulo 7 is not 2."""
+    return lm.held_out_scores(table(spark, folder, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents."""
     return tokens.count_tokens(table(spark, folder, "documents"), tokenizer_path(), limit=2048)
@@ -69,7 +74,7 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_simhash, op3_token_counts, op4_multiset_hash, op5_packing, op6_quality, op7_mixing,
+        op1_simhash, op2_lm_score, op3_token_counts, op4_multiset_hash, op5_packing, op6_quality, op7_mixing,
         op9_licenses,
     )
 }
