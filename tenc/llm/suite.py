@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenc.llm import licenses, lm, mixing, multiset, packing, quality, simhash, tokens
+from tenc.llm import langid, licenses, lm, mixing, multiset, packing, quality, simhash, tokens, toxicity
 from tenc.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.positions(table(spark, folder, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from labels of rows whose key's CRC-32 modulo 4 is not 2."""
+    return toxicity.held_out_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     """Licences of all pages: own notices, or those of the nearest directory of the address."""
     address = F.regexp_extract("url", r"^[a-zA-Z]+://([^?#]+)", 1)
@@ -71,11 +76,16 @@ def op9_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(files).withColumnRenamed("file_id", "page_id")
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of all documents, learned from rows whose key's CRC-32 modulo 5 is not 0."""
+    return langid.held_out_languages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_lm_score, op3_token_counts, op4_multiset_hash, op5_packing, op6_quality, op7_mixing,
-        op9_licenses,
+        op8_toxicity, op9_licenses, op10_language_id,
     )
 }
 ORACLES: dict[str, str] = {}
