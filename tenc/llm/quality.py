@@ -133,3 +133,11 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] |
     return result.withColumn("base_failed", base).withColumn("failed_rules", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)
     )
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows and columns of ``docs`` that pass the base rule and all ``rules``."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    renamed = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    judged = measured(renamed, rules, keep=list(names.values()))
+    return judged.where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])

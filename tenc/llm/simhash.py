@@ -79,9 +79,10 @@ def majority(hashes: list[np.ndarray], word: int = 0) -> np.ndarray:
 
 
 def fingerprints(
-    docs: DataFrame, width: int = 4, words: int = 1, distinct: bool = False
+    docs: DataFrame, width: int = 4, words: int = 1, distinct: bool = False,
+    keep: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """``doc_id``, the number of shingles and ``words`` fingerprint words ``f0, f1, ...`` (long)."""
+    """``keep``, the number of shingles and ``words`` fingerprint words ``f0, f1, ...`` (long)."""
     names = [f"f{i}" for i in range(words)]
 
     def run(batches):
@@ -89,13 +90,14 @@ def fingerprints(
             hashes = [shingle_hashes(words_of(t), width) for t in texts]
             if distinct:
                 hashes = [np.unique(h) for h in hashes]
-            columns = [batch.column("doc_id"), pa.array([len(h) for h in hashes], pa.int64())]
+            columns = [batch.column(c) for c in keep]
+            columns.append(pa.array([len(h) for h in hashes], pa.int64()))
             columns += [pa.array(majority(hashes, i).view(np.int64)) for i in range(words)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", *names])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_shingles", *names])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", "n_shingles long", *(f"{n} long" for n in names)])
-    return map_texts(docs, ["doc_id"], schema, run)
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
+    schema = ", ".join([*kinds, "n_shingles long", *(f"{n} long" for n in names)])
+    return map_texts(docs, list(keep), schema, run)
 
 
 def _emitted(
@@ -150,6 +152,7 @@ def _keys_within_four(values: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarra
 def _forest(distance: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
     """A shortest spanning forest of the links up to ``limit``: ends and distance."""
     n = len(distance)
+    distance = distance.astype(np.int64)
     todo, best, link = np.ones(n, bool), np.full(n, limit + 1), np.full(n, -1)
     found = []
     for _ in range(n):
@@ -200,7 +203,7 @@ def _bucket_links(
         for group in _sorted_groups(batches, ["key", "pair", *columns]):
             if len(group["key"]) < 2:
                 continue
-            distance = np.zeros((len(group["key"]),) * 2, np.int64)
+            distance = np.zeros((len(group["key"]),) * 2, np.uint16)
             for name in names:
                 x = group[name].view(np.uint64)
                 distance += np.bitwise_count(x[:, None] ^ x[None, :])
@@ -274,3 +277,122 @@ def fingerprint_classes(docs: DataFrame, width: int = 4, block: int = BLOCK) ->
         F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         "n_shingles",
     )
+
+
+# Near-duplicates by similarity: shingles of five words, 128 bits in six segments.
+WIDTH, SIMILARITY = 5, 0.8
+_WORDS_WIDE = 2
+_SEGMENTS = ((0, 0, 21), (0, 21, 21), (0, 42, 22), (1, 0, 21), (1, 21, 21), (1, 42, 22))
+# Texts of similarity 0.8 differ in 19 of 128 bits on average; few pairs of them in more than this.
+WIDE_LIMIT = 28
+# A text's key where it is missing, so that every row has one.
+_NO_KEY = -(1 << 63)
+
+
+def _keys_by_segment(similarity: float):
+    """Golay keys of each segment, joined to the size class of the text and to the next one.
+
+    Sets of a similarity differ in size by no more than that factor, so their classes are equal or
+    neighbours.
+    """
+
+    def make(values):
+        size = np.floor(np.log(np.maximum(values["n_shingles"], 1)) / -np.log(similarity)).astype(np.int64)
+        rows = np.arange(len(size))
+        for tag, (word, start, length) in enumerate(_SEGMENTS):
+            bits = values[f"f{word}"].view(np.uint64) >> np.uint64(start)
+            slots, used = golay.keys((bits & np.uint64((1 << length) - 1)).astype(np.int64))
+            row = np.broadcast_to(rows[:, None], used.shape)[used]
+            for step in (0, 1):
+                yield ((np.int64(tag) << 40) | (size + step)[:, None] << 12 | slots)[used], row
+
+    return make
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``node`` and the hashes of the distinct shingles of each row of ``docs``."""
+
+    def run(batches):
+        for batch, texts in batches:
+            found = [np.unique(shingle_hashes(words_of(t), width)).view(np.int64) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"]
+            )
+
+    return map_texts(docs, ["node"], "node long, hashes array<long>", run)
+
+
+def similar_links(groups: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Candidate links ``u``, ``v`` of distinct fingerprints (``node``, ``f0``, ``f1``, ``n_shingles``)."""
+    names = [f"f{i}" for i in range(_WORDS_WIDE)]
+    keyed = _emitted(groups, ["node", "n_shingles", *names], _keys_by_segment(similarity))
+    large = saved(
+        keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "large-buckets"
+    )
+
+    def agree(group):
+        n = group["n_shingles"]
+        return np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n) - 1e-9
+
+    buckets = attach(keyed, large, ["key"]).withColumn("n", F.coalesce("n", F.lit(1)))
+    found = _bucket_links(buckets, names, WIDE_LIMIT, "node", block, agree)
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def without_near_duplicates(
+    docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = BLOCK
+) -> DataFrame:
+    """The rows of ``docs`` but for all but one of each class of near-duplicates.
+
+    Links are pairs whose sets of shingles have at least ``similarity`` (Jaccard), checked
+    exactly on candidates from the fingerprints. In every bucket the candidates are the
+    shortest forest of the close pairs. The row with the smallest key stays (a missing key is
+    the smallest), of equal rows one.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_KEY))
+    hashed = docs.withColumn("_key", key).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    names = [f"f{i}" for i in range(_WORDS_WIDE)]
+    prints = fingerprints(hashed, width, _WORDS_WIDE, distinct=True, keep=("_key", "_hash"))
+    prints = saved(prints.withColumn("node", F.xxhash64("n_shingles", *names)), "fingerprints")
+    groups = saved(
+        prints.groupBy("node", "n_shingles", *names).agg(
+            F.min(F.struct("_key", "_hash")).alias("first"), F.count("*").alias("copies")
+        ),
+        "groups",
+    )
+    links = saved(similar_links(groups, similarity, block), "candidates")
+    ends = saved(
+        links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+        .join(groups, "node").select("node", "first._key", "first._hash"),
+        "ends",
+    )
+    texts = attach(hashed.select("_key", "_hash", "text"), ends, ["_key", "_hash"], "inner")
+    sets = saved(_sets(texts, width).dropDuplicates(["node"]), "shingle-sets")
+    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    both = F.size("a") + F.size("b") - common
+    close = links.join(left, "u").join(right, "v").where(common >= similarity * both - 1e-9)
+    roots = components(saved(close.select("u", "v"), "links"))
+    named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = named.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("size"))
+    shared = saved(
+        named.join(best.where("size > 1"), "root").select("node", "best._key", "best._hash")
+        .toDF("node", "_best_key", "_best_hash"),
+        "classes",
+    )
+    dropped = saved(
+        attach(prints.select("node", "_key", "_hash"), shared, ["node"], "inner")
+        .where((F.col("_key") != F.col("_best_key")) | (F.col("_hash") != F.col("_best_hash")))
+        .select("_key", "_hash").distinct(),
+        "dropped",
+    )
+    kept = attach(hashed, dropped, ["_key", "_hash"], "left_anti")
+    repeated = saved(
+        prints.groupBy("_key", "_hash").agg(F.count("*").alias("n")).where("n > 1").select("_key", "_hash"),
+        "repeated",
+    )
+    if repeated.count():
+        once = attach(kept, repeated, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
+        kept = attach(kept, repeated, ["_key", "_hash"], "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
