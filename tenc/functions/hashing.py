@@ -22,9 +22,15 @@ def _as_column(c: Column | str) -> Column:
 
 
 def key_hash(keys: str | list[str], seed: int, *extra: Column | int | str) -> Column:
-    """Hex digest of ``key|...|seed|extra``."""
+    """Hex digest of ``key|seed|extra``; of several keys each part carries its length, or ``-``."""
     names = [keys] if isinstance(keys, str) else list(keys)
-    parts = [F.col(k).cast("string") for k in names] + [F.lit(str(seed))]
+    texts = [F.col(k).cast("string") for k in names]
+    if len(texts) > 1:
+        texts = [
+            F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-"))
+            for t in texts
+        ]
+    parts = texts + [F.lit(str(seed))]
     parts += [e.cast("string") if isinstance(e, Column) else F.lit(str(e)) for e in extra]
     return F.md5(F.concat_ws("|", *parts))
 

@@ -63,7 +63,8 @@ class LeaveOneOutEncoding:
                         if stats.task == MULTICLASS
                         else quoted(self.y).cast("double")
                     )
-                    value = F.when(n > 1, (total - own) / (n - 1))
+                    value = F.when(n > F.lit(1), (total - own) / (n - 1))
+                    value = F.when(quoted(self.y).isNull(), total / n).otherwise(value)
                 else:
                     value = total / n
                 encoded.append(value.alias(name))
@@ -114,10 +115,11 @@ def out_of_fold(
     """
     spark = df.sparkSession
     folded = df.withColumn("_fold", fold_of(key, n_folds, seed))
-    value = quoted(column).cast("string")
+    value, target = quoted(column).cast("string"), quoted(y).cast("double")
+    # Rows without a target take an encoding but add nothing to it.
     parts = materialise(
         folded.groupBy(value.alias("category"), "_fold").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(quoted(y).cast("double")).alias("s")
+            F.count(target).alias("n"), F.coalesce(F.sum(target), F.lit(0.0)).alias("s")
         )
     )
     totals = parts.groupBy("category").agg(F.sum("n").alias("_tn"), F.sum("s").alias("_ts"))

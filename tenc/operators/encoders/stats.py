@@ -86,7 +86,7 @@ def fit_stats(
 
     Rows are combined before the shuffle, so a category with a third of all rows travels as one
     partial sum per task. The result is written to shared storage: fitting ends here, and every
-    later use reads a table of one row per category.
+    later use reads a table of one row per category. Rows whose target is missing do not count.
     """
     if task not in TASKS:
         raise ValueError(f"unknown task {task!r}, expected one of {TASKS}")
@@ -99,7 +99,8 @@ def fit_stats(
             for i, c in enumerate(columns)
         ]
     )
-    long = df.select(target.alias("_y"), F.inline(pairs))
+    # A row without a target says nothing about its categories.
+    long = df.select(target.alias("_y"), F.inline(pairs)).where("_y is not null")
     if task == MULTICLASS:
         per_class = long.groupBy("feature", "category", "_y").agg(F.count(F.lit(1)).alias("n"))
         grouped = per_class.groupBy("feature", "category").agg(

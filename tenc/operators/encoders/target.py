@@ -143,10 +143,9 @@ class TargetEncoding:
     ) -> DataFrame:
         """Add the encoded columns of every feature, in feature order.
 
-        Unseen categories get the prior; with ``unknown='error'`` they raise instead.
+        Unseen categories get the prior. With ``unknown='error'`` the job fails at the first row
+        that has one, in the same pass, for streams too; ``require_known`` lists them beforehand.
         """
-        if self.unknown == "error" and not df.isStreaming:
-            self.require_known(df)
         for column in self.columns:
             df = self._apply_one(df, column, suffix, broadcast_bytes)
         return df
@@ -162,8 +161,13 @@ class TargetEncoding:
             df, table, [quoted(column).cast("string")], ["category"], ["_enc"],
             meta.table_bytes, "n", meta.n_rows, meta.row_bytes, broadcast_bytes,
         )
+        found = F.col("_enc")
+        if self.unknown == "error":
+            value = quoted(column).cast("string")
+            message = F.concat(F.lit(f"unknown category in column {column!r}: "), value)
+            found = F.when(value.isNotNull() & found.isNull(), F.raise_error(message)).otherwise(found)
         encoded = [
-            F.coalesce(F.get("_enc", F.lit(i)), F.lit(prior)).alias(name)
+            F.coalesce(F.get(found, F.lit(i)), F.lit(prior)).alias(name)
             for i, (name, prior) in enumerate(zip(names, stats.priors))
         ]
         return joined.select(*[quoted(c) for c in df.columns], *encoded)

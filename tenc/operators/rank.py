@@ -65,7 +65,8 @@ def hash_cuts(
     ``sizes`` is a small table with the groups, their ``n`` rows and ``take``. Hashes are
     uniform, so the cut lies close to ``take / n`` of the hash range: one pass counts the rows
     below a narrow window there and keeps the hashes inside it, about sqrt(n) of them. Should a
-    cut lie outside, the window grows until it covers the range, so the result is exact.
+    cut lie outside, the window grows until it covers the range, so the result is exact. Keys must be
+    unique: a cut between rows of one key raises.
     """
     wanted = sizes.where("take > 0")
     n_wanted = wanted.count()
@@ -90,10 +91,14 @@ def hash_cuts(
         found = materialise(
             near.withColumn("_upto", F.sum("_n").over(order))
             .where(reached & before & F.col("cut").isNotNull())
-            .select(*groups, "cut")
+            .select(*groups, "cut", (F.col("_upto") > F.col("take")).alias("_tied"))
         )
-        if found.count() == n_wanted or width > 1e9:
-            return found
+        if found.where("_tied").count():
+            raise ValueError("rows share a key: their order is not settled, so no exact cut exists")
+        if found.count() == n_wanted:
+            return found.drop("_tied")
+        if width > 1e9:
+            raise ValueError("more rows were asked for than there are keys")
         width *= 64
 
 

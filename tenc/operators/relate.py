@@ -50,17 +50,11 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 def first_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Of the rows that agree on ``keys``, the one with the smallest ``order`` (a unique column).
 
-    An aggregate rather than a window: hot keys shrink before the shuffle.
+    Only the order column is aggregated, so hot keys shrink before the shuffle and no wide row is
+    held or sorted; the rows are then picked by their order, which is unique.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.min_by(F.struct(*[quoted(c) for c in rest]), quoted(order)).alias("_first")
-    picked = df.groupBy(*[quoted(k) for k in keys]).agg(best)
-    return picked.select(
-        *[
-            quoted(c) if c in keys else F.col("_first")["`" + c + "`" if "." in c else c].alias(c)
-            for c in df.columns
-        ]
-    )
+    firsts = df.groupBy(*[quoted(k) for k in keys]).agg(F.min(quoted(order)).alias("_first"))
+    return df.join(firsts.select("_first"), quoted(order).eqNullSafe(F.col("_first")), "left_semi")
 
 
 def unseen_values(df: DataFrame, known: DataFrame, column: str) -> DataFrame:

@@ -15,7 +15,7 @@ from tenc.functions.hashing import SAMPLE_SEED, SPLIT_SEED
 from tenc.operators.encoders.stats import REGRESSION
 from tenc.operators.metrics import score_by_task
 from tenc.operators.prepare import ONE_HOT, prepare, resolve_roles
-from tenc.operators.profile import ONE_HOT_LIMIT
+from tenc.operators.rank import first_by_hash
 from tenc.operators.relate import pending
 from tenc.operators.splits import SplitPlan, plan_shuffle_split, plan_stratified_split
 from tenc.plans.features import fit_features
@@ -23,21 +23,6 @@ from tenc.plans.models import train_model
 from tenc.session import materialise
 from tenc.sources.runs import RESULT_FIELDS, RUN_SCHEMA, parameter_key, read_runs, write_runs
 
-# Datasets of which only so many rows are used.
-ROW_CAP = 100_000
-CAPPED = (
-    "open_payments", "docs_payments", "traffic_violations", "federal_election",
-    "medical_charge", "beer_reviews", "road_safety", "public_procurement", "crime_data",
-    "met_objects", "drug_directory", "consumer_complaints", "intrusion_detection",
-    "kickstarter_projects", "building_permits", "wine_reviews", "firefighter_interventions",
-)
-
-
-def rows_used(dataset: str) -> int:
-    """Rows a run draws from a dataset; -1 means all."""
-    return ROW_CAP if dataset in CAPPED else -1
-
-
 @dataclass(frozen=True)
 class Dataset:
     """A cleaned table with its roles, task and row key."""
@@ -54,7 +39,11 @@ class Settings:
     n_splits: int = 20
     test_size: float = 1 / 3
     normalise: bool = True
-    one_hot_limit: int = ONE_HOT_LIMIT
+    # Above so many categories a one-hot run is skipped; None never skips.
+    one_hot_limit: int | None = None
+    # Training rows of a fold that the model is fitted on; None means all. Encodings, scores and
+    # splits always use all rows.
+    fit_rows: int | None = None
     model: Mapping = field(default_factory=dict)
 
 
@@ -84,7 +73,10 @@ def run_fold(
     encoding_time = time.time() - start
 
     start = time.time()
-    fitted = train_model(train_x, model, dataset.task, y, dataset.key, **settings.model)
+    fitted_on = train_x
+    if settings.fit_rows is not None:
+        fitted_on = first_by_hash(train_x, dataset.key, settings.fit_rows)
+    fitted = train_model(fitted_on, model, dataset.task, y, dataset.key, **settings.model)
     training_time = time.time() - start
 
     def score(x: DataFrame) -> float:
@@ -109,7 +101,7 @@ def _parameters(dataset: Dataset, encoder: str, model: str, settings: Settings)
         "dataset": dataset.name,
         "n_splits": settings.n_splits,
         "test_size": float(settings.test_size),
-        "n_rows": rows_used(dataset.name),
+        "n_rows": -1 if settings.fit_rows is None else settings.fit_rows,
         "encoder": encoder,
         "str_preprocess": settings.normalise,
         "clf": Row(label=model, name=model, params=text),
@@ -190,14 +182,13 @@ def run_grid(
 
 def prepare_rows(spark: SparkSession, dataset: Dataset, settings: Settings) -> DataFrame:
     return prepare(
-        dataset.load(spark), dataset.roles, dataset.key, rows_used(dataset.name),
-        settings.normalise,
+        dataset.load(spark), dataset.roles, dataset.key, normalise=settings.normalise
     )
 
 
 def _too_wide(prepared: DataFrame, dataset: Dataset, encoder: str, settings: Settings) -> bool:
     special = resolve_roles(dataset.roles).special
-    if encoder not in ONE_HOT or special is None:
+    if settings.one_hot_limit is None or encoder not in ONE_HOT or special is None:
         return False
     distinct = prepared.select(quoted(special)).distinct().count()
     return distinct > settings.one_hot_limit

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from tenc.functions.cleaning import quoted
 from tenc.operators.encoders.plain import one_hot_stages
 from tenc.operators.prepare import DELETE, ONE_HOT, resolve_roles
-from tenc.operators.profile import ONE_HOT_LIMIT, one_hot_guard
+from tenc.operators.profile import one_hot_guard
 from tenc.operators.scaling import fit_vector_scaling
 from tenc.plans.registry import ENCODERS, Encoding, resolve
 
@@ -57,7 +57,7 @@ class FeatureModel:
 
 def fit_features(
     df: DataFrame, roles: Mapping[str, str], encoder: str, task: str, y: str, key: str,
-    one_hot_limit: int = ONE_HOT_LIMIT, output: str = "features",
+    one_hot_limit: int | None = None, output: str = "features",
 ) -> FeatureModel:
     """Fit every column's action on training rows, then the scaling of the whole vector."""
     columns = resolve_roles(roles)
@@ -70,7 +70,7 @@ def fit_features(
         *[quoted(c) for c in df.columns], *[quoted(c).alias(x) for c, x in inputs.items()]
     )
     hot = [inputs[c] for c, a in used.items() if a in ONE_HOT]
-    if hot:
+    if hot and one_hot_limit is not None:
         wide = one_hot_guard(named, hot, one_hot_limit).where("skip_one_hot").collect()
         if wide:
             raise ValueError(f"too many categories for one-hot encoding: {[r[0] for r in wide]}")

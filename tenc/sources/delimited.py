@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,7 +57,7 @@ def read_delimited(
         .option("multiLine", multiline)
     )
     if preamble:
-        df = _skip_lines(spark, reader, path, preamble, names)
+        df = _skip_lines(spark, reader, path, preamble, names, sep, encoding)
     elif names:
         df = reader.schema(text_schema(names)).csv(path)
     else:
@@ -65,37 +65,67 @@ def read_delimited(
     return null_markers_to_null(df, markers) if markers is not None else df
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with each row's file, the start of its block and its running number in the task."""
+    return df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+
+
+def _header_names(
+    spark: SparkSession, path: str | list[str], preamble: int, sep: str, encoding: str
+) -> list[str]:
+    """The column names in the first line after the preamble, which must agree in all files."""
+    # Whole lines, in the encoding of the data; blank lines do not count, as in the reader.
+    lines = (
+        spark.read.option("sep", "\u0001").option("quote", "").option("encoding", encoding)
+        .schema("value string").csv(path)
+    )
+    top = _numbered(lines).where("_start = 0")
+    first = top.groupBy("_file").agg(F.min("_at").alias("_first"))
+    # One row per file goes on; of equal headers one reaches the driver, of different ones two.
+    headers = (
+        top.join(first, "_file").where(F.col("_at") == F.col("_first") + preamble)
+        .select("value").distinct().limit(2).collect()
+    )
+    if len(headers) != 1:
+        raise ValueError("the files have different headers" if headers else "no header line")
+    header = headers[0]["value"]
+    width = header.count(sep) + 1
+    cells = (
+        spark.createDataFrame([(header,)], "value string")
+        .select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {
+            "sep": sep, "quote": '"', "escape": '"', "nullValue": "",
+        }).alias("r")).first()["r"]
+    )
+    found = list(cells)
+    # Separators inside quotes make the count too high; the cells beyond the last are empty.
+    quoted_away = header.count(sep) - _separators(header, sep)
+    found = found[: width - quoted_away]
+    return [(c or "").strip() or f"_c{i}" for i, c in enumerate(found)]
+
+
+def _separators(line: str, sep: str) -> int:
+    """Separators of a line outside of quotes."""
+    return sum(part.count(sep) for part in line.split('"')[::2])
+
+
 def _skip_lines(
-    spark: SparkSession, reader, path: str | list[str], preamble: int, names: list[str] | None
+    spark: SparkSession, reader, path: str | list[str], preamble: int, names: list[str] | None,
+    sep: str, encoding: str,
 ) -> DataFrame:
     """Drop the first lines of each file by their position in the file's first block.
 
-    Positions are only ranked among the rows of that block that can fall in the preamble: their
-    running number starts anew at each block, so the cut needs no look at other blocks.
+    Positions are only ranked among the rows of that block: their running number starts anew at
+    each block, so the cut needs no look at other blocks.
     """
+    lines = preamble
     if names is None:
-        # Blank lines do not count, here as in the reader.
-        top = spark.read.text(path).where("trim(value) <> ''").limit(preamble + 1).collect()
-        header = top[preamble]["value"]
-        one = spark.createDataFrame([(header,)], "value string")
-        names = [
-            c.strip()
-            for c in one.select(
-                F.from_csv("value", ", ".join(f"c{i} string" for i in range(header.count(",") + 1)))
-                .alias("r")
-            ).first()["r"]
-            if c is not None
-        ]
-        lines = preamble + 1
-    else:
-        lines = preamble
-    rows = reader.schema(text_schema(names)).csv(path)
-    numbered = rows.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
-    )
+        names, lines = _header_names(spark, path, preamble, sep, encoding), preamble + 1
+    numbered = _numbered(reader.schema(text_schema(names)).csv(path))
     first_row = (
         numbered.where("_start = 0").groupBy("_file").agg(F.min("_at").alias("_first"))
     )
@@ -112,14 +142,21 @@ def names_from_dictionary(dictionary: DataFrame, column: str = "Column Name") ->
     return [r[0] for r in dictionary.select(quoted(column)).collect()]
 
 
-def with_row_key(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Add a unique number per row and fix it by writing the table once.
+def with_row_key(df: DataFrame, name: str = "row_id", index: str | None = None) -> DataFrame:
+    """Add a key per row that does not depend on how the input was cut into tasks.
 
-    The number depends on how the input was cut into tasks, so it must not be computed twice.
+    The key is the text of the ``index`` column where there is one. Otherwise it is a hash of the
+    row's contents and, among rows that are equal in all columns and so interchangeable, their number.
     """
-    from tenc.session import materialise
-
-    return materialise(df.withColumn(name, F.monotonically_increasing_id()))
+    if index is not None:
+        return df.withColumn(name, quoted(index).cast("string"))
+    digest = F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    within = Window.partitionBy("_digest").orderBy("_digest")
+    return (
+        df.withColumn("_digest", digest)
+        .withColumn(name, F.concat_ws("-", "_digest", F.row_number().over(within)))
+        .drop("_digest")
+    )
 
 
 __all__ = [

@@ -37,6 +37,9 @@ RUN_SCHEMA = (
     .add("clf_type", "string")
     .add("results", _RESULTS)
 )
+# Stored records may also say how columns were reduced; it is read but is no parameter of our runs.
+_REDUCTION = T.StructType().add("method", "string").add("size", "integer")
+_STORED = T.StructType([*RUN_SCHEMA.fields, T.StructField("dimension_reduction", _REDUCTION)])
 PARAMETERS = [f.name for f in RUN_SCHEMA.fields if f.name != "results"]
 
 
@@ -49,9 +52,9 @@ def write_runs(runs: DataFrame, path: str, mode: str = "append") -> None:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run records with the name of the file each came from."""
-    raw = spark.read.schema(RUN_SCHEMA).json(path)
+    raw = spark.read.schema(_STORED).json(path)
     return raw.select(
-        *[f.name for f in RUN_SCHEMA.fields], F.col("_metadata.file_name").alias("results_file")
+        *_STORED.names, F.col("_metadata.file_name").alias("results_file")
     )
 
 

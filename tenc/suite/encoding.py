@@ -388,3 +388,45 @@ def scale_no_mean(spark: SparkSession, folder: str) -> DataFrame:
     out = fit_scaling(df, ["o_totalprice", "c_acctbal"]).apply(df)
     names = ["o_totalprice_scaled", "c_acctbal_scaled"]
     return rounded(out.select("o_orderkey", *names), *names)
+
+
+@query(
+    "te_null_target",
+    """
+WITH rated AS (SELECT d.doc_id, d.source, l.quality::DOUBLE AS y FROM documents d LEFT JOIN labels l USING (doc_id)),
+stats AS (SELECT source, count(y) AS n, avg(y) AS mean FROM rated WHERE y IS NOT NULL GROUP BY source),
+prior AS (SELECT avg(y) AS p FROM rated)
+SELECT doc_id, round(coalesce((n * mean + p) / (n + 1), p), 6) AS enc
+FROM rated LEFT JOIN stats USING (source) CROSS JOIN prior""",
+)
+def te_null_target(spark: SparkSession, folder: str) -> DataFrame:
+    """Most documents have no label: they are encoded but not learned from."""
+    df = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id", "left")
+    out = fit(df, ["source"], "quality", m=1, unknown="ignore").apply(df)
+    return rounded(out.select("doc_id", F.col("source_enc").alias("enc")), "enc")
+
+
+@query(
+    "te_multiclass_null",
+    """
+WITH rated AS (
+  SELECT d.doc_id, d.source, CASE WHEN l.doc_id IS NOT NULL THEN d.lang END AS y
+  FROM documents d LEFT JOIN labels l USING (doc_id)),
+known AS (SELECT * FROM rated WHERE y IS NOT NULL),
+stats AS (SELECT source, count(*) AS n, avg((y = 'de')::INT) AS de, avg((y = 'en')::INT) AS en FROM known GROUP BY source),
+prior AS (SELECT avg((y = 'de')::INT) AS pde, avg((y = 'en')::INT) AS pen FROM known)
+SELECT doc_id, round(coalesce((n * de + pde) / (n + 1), pde), 6) AS enc_de,
+       round(coalesce((n * en + pen) / (n + 1), pen), 6) AS enc_en
+FROM rated LEFT JOIN stats USING (source) CROSS JOIN prior""",
+)
+def te_multiclass_null(spark: SparkSession, folder: str) -> DataFrame:
+    """A class target that most rows lack."""
+    labels = table(spark, folder, "labels").select("doc_id", F.lit(True).alias("_rated"))
+    df = table(spark, folder, "documents").join(labels, "doc_id", "left").withColumn(
+        "y", F.when(F.col("_rated"), F.col("lang"))
+    )
+    out = fit(df, ["source"], "y", MULTICLASS, m=1, unknown="ignore").apply(df)
+    return rounded(
+        out.select("doc_id", F.col("source_enc_de").alias("enc_de"), F.col("source_enc_en").alias("enc_en")),
+        "enc_de", "enc_en",
+    )

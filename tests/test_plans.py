@@ -136,7 +136,7 @@ def test_grid_resumes_skips_and_isolates_failures(spark, tmp_path):
 
 
 def test_row_caps():
-    assert X.rows_used("crime_data") == 100_000 and X.rows_used("adult") == -1
+    assert X.Settings().fit_rows is None and X.Settings().one_hot_limit is None
 
 
 def physical(df):

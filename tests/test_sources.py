@@ -275,3 +275,29 @@ def test_datasets_without_roles_are_refused(tmp_path):
     with pytest.raises(ValueError, match="unknown"):
         recipes.get_dataset("nothing", str(tmp_path))
     assert len(recipes.RECIPES) == 29
+
+
+def test_preamble_with_separator_encoding_and_blank_cell(spark, tmp_path):
+    for i in range(2):
+        folder = tmp_path / "p"
+        folder.mkdir(exist_ok=True)
+        (folder / f"{i}.csv").write_bytes("Bericht\nköpfe;;\"b;c\"\n1;ä;x\n".encode("latin1"))
+    df = read_delimited(spark, str(tmp_path / "p"), sep=";", encoding="ISO-8859-1", preamble=1)
+    assert df.columns == ["köpfe", "_c1", "b;c"]
+    assert [tuple(r) for r in df.collect()] == [("1", "ä", "x")] * 2
+    (tmp_path / "p" / "2.csv").write_text("other\na;b;c\n1;2;3\n")
+    with pytest.raises(ValueError, match="different headers"):
+        read_delimited(spark, str(tmp_path / "p"), sep=";", encoding="ISO-8859-1", preamble=1)
+
+
+def test_row_keys_do_not_depend_on_partitions(spark):
+    rows = spark.range(300).select((F.col("id") % 70).alias("v"), F.lit(None).cast("string").alias("w"))
+    one, seven = (sorted(map(tuple, with_row_key(rows.repartition(n)).collect())) for n in (1, 7))
+    assert one == seven and len({k for *_, k in one}) == 300
+    assert with_row_key(rows, index="v").first()["row_id"] is not None
+
+
+def test_stored_runs_can_be_filtered_by_reduction(spark, tmp_path):
+    path = str(tmp_path / "reduced")
+    R.write_runs(spark.createDataFrame([record("one", "e1")], R.RUN_SCHEMA), path)
+    assert reports.filter_runs(R.read_runs(spark, path), {"reduction_method": "pca", "n_components": 3}).count() == 0

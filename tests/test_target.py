@@ -48,9 +48,13 @@ def test_unseen_and_missing_values_get_the_prior(spark, golden):
 
 def test_unseen_values_raise_on_request(spark, golden):
     encoding = fit(golden, ["c"], "y", unknown="error")
-    encoding.apply(golden)
+    assert encoding.apply(golden).count() == golden.count()
+    unseen = spark.createDataFrame([("z",), ("y",), ("a",)], "c string")
     with pytest.raises(ValueError, match=r"\['y', 'z'\]"):
-        encoding.apply(spark.createDataFrame([("z",), ("y",), ("a",)], "c string"))
+        encoding.require_known(unseen)
+    with pytest.raises(Exception, match="unknown category in column 'c'"):
+        encoding.apply(unseen).collect()
+    encoding.apply(spark.createDataFrame([("a",), (None,)], "c string")).collect()
 
 
 def test_settings_are_checked(golden):
