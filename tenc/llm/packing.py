@@ -45,22 +45,25 @@ def sentence_ids(text: str) -> np.ndarray:
     return table
 
 
-def _candidates(n: int, documents: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where cuts may lie, from 0 to ``n``, and their costs."""
+def _candidates(
+    n: int, documents: np.ndarray, sentences: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Where cuts may lie, from 0 to ``n``, and their costs; neighbours lie within a window."""
+    stride = min(STRIDE, window)
     cost = np.full(n + 1, -1, np.int64)
     cost[sentences] = SENTENCE_COST
     cost[documents] = 0
     cost[0] = cost[n] = 0
     known = np.flatnonzero(cost >= 0)
-    for i in np.flatnonzero(np.diff(known) > STRIDE):
-        cost[known[i] + STRIDE : known[i + 1] : STRIDE] = INSIDE_COST
+    for i in np.flatnonzero(np.diff(known) > stride):
+        cost[known[i] + stride : known[i + 1] : stride] = INSIDE_COST
     places = np.flatnonzero(cost >= 0)
     return places, cost[places]
 
 
 def cut_points(n: int, documents: np.ndarray, sentences: np.ndarray, window: int) -> list[int]:
     """The cheapest cuts of a stream of ``n`` tokens, without 0 and with ``n``."""
-    places, costs = _candidates(n, documents, sentences)
+    places, costs = _candidates(n, documents, sentences, window)
     at = np.full(n + 1, -1, np.int64)
     at[places] = np.arange(len(places))
     exact: dict[int, list[int]] = {}

@@ -108,20 +108,20 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: list[str] |
 
     Measures replace columns of the same name in the result.
     """
-    text = F.coalesce(F.col("_text"), F.lit(""))
+    text = F.coalesce(F.col("__text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     names = docs.columns if keep is None else keep
-    found = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text"))
-    found = found.withColumns({"_words": words(text), "_lines": lines})
+    found = docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("__text"))
+    found = found.withColumns({"__words": words(text), "__lines": lines})
     measures = {
-        "n_words": F.size("_words").cast("long"),
+        "n_words": F.size("__words").cast("long"),
         "word_chars": F.char_length(F.translate(text, _SPACES, "")).cast("long"),
         "n_symbols": (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
+        "n_lines": F.size("__lines").cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("__words")).cast("long"),
         "n_stop_words": F.size(
-            F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))
+            F.filter("__words", lambda w: F.lower(w).isin(STOP_WORDS))
         ).cast("long"),
     }
     kept = [F.col(f"`{c}`") for c in names if c not in measures]

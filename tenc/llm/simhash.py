@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenc.llm import golay
-from tenc.llm.common import attach, map_texts, saved, words_of
+from tenc.llm.common import attach, map_texts, saved, unused, words_of
 from tenc.llm.graph import components
 
 SEED = 42
@@ -95,7 +95,7 @@ def fingerprints(
             columns += [pa.array(majority(hashes, i).view(np.int64)) for i in range(words)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "n_shingles", *names])
 
-    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     schema = ", ".join([*kinds, "n_shingles long", *(f"{n} long" for n in names)])
     return map_texts(docs, list(keep), schema, run)
 
@@ -350,23 +350,24 @@ def without_near_duplicates(
     the smallest), of equal rows one.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_KEY))
-    hashed = docs.withColumn("_key", key).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    k, h = unused(docs, "key", "hash")
+    hashed = docs.withColumn(k, key).withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
     names = [f"f{i}" for i in range(_WORDS_WIDE)]
-    prints = fingerprints(hashed, width, _WORDS_WIDE, distinct=True, keep=("_key", "_hash"))
+    prints = fingerprints(hashed, width, _WORDS_WIDE, distinct=True, keep=(k, h))
     prints = saved(prints.withColumn("node", F.xxhash64("n_shingles", *names)), "fingerprints")
     groups = saved(
         prints.groupBy("node", "n_shingles", *names).agg(
-            F.min(F.struct("_key", "_hash")).alias("first"), F.count("*").alias("copies")
+            F.min(F.struct(k, h)).alias("first"), F.count("*").alias("copies")
         ),
         "groups",
     )
     links = saved(similar_links(groups, similarity, block), "candidates")
     ends = saved(
         links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-        .join(groups, "node").select("node", "first._key", "first._hash"),
+        .join(groups, "node").select("node", f"first.{k}", f"first.{h}"),
         "ends",
     )
-    texts = attach(hashed.select("_key", "_hash", "text"), ends, ["_key", "_hash"], "inner")
+    texts = attach(hashed.select(k, h, "text"), ends, [k, h], "inner")
     sets = saved(_sets(texts, width).dropDuplicates(["node"]), "shingle-sets")
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
@@ -377,22 +378,22 @@ def without_near_duplicates(
     named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("size"))
     shared = saved(
-        named.join(best.where("size > 1"), "root").select("node", "best._key", "best._hash")
+        named.join(best.where("size > 1"), "root").select("node", f"best.{k}", f"best.{h}")
         .toDF("node", "_best_key", "_best_hash"),
         "classes",
     )
     dropped = saved(
-        attach(prints.select("node", "_key", "_hash"), shared, ["node"], "inner")
-        .where((F.col("_key") != F.col("_best_key")) | (F.col("_hash") != F.col("_best_hash")))
-        .select("_key", "_hash").distinct(),
+        attach(prints.select("node", k, h), shared, ["node"], "inner")
+        .where((F.col(k) != F.col("_best_key")) | (F.col(h) != F.col("_best_hash")))
+        .select(k, h).distinct(),
         "dropped",
     )
-    kept = attach(hashed, dropped, ["_key", "_hash"], "left_anti")
+    kept = attach(hashed, dropped, [k, h], "left_anti")
     repeated = saved(
-        prints.groupBy("_key", "_hash").agg(F.count("*").alias("n")).where("n > 1").select("_key", "_hash"),
+        prints.groupBy(k, h).agg(F.count("*").alias("n")).where("n > 1").select(k, h),
         "repeated",
     )
     if repeated.count():
-        once = attach(kept, repeated, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
-        kept = attach(kept, repeated, ["_key", "_hash"], "left_anti").unionByName(once)
+        once = attach(kept, repeated, [k, h], "left_semi").dropDuplicates([k, h])
+        kept = attach(kept, repeated, [k, h], "left_anti").unionByName(once)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
