@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenc.llm import langid, licenses, lm, mixing, multiset, packing, quality, simhash, tokens, toxicity
+from tenc.llm import langid, licenses, lm, mixing, multiset, oracles, packing, quality, simhash, tokens, toxicity
 from tenc.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,4 +88,4 @@ QUERIES: dict[str, Query] = {
         op8_toxicity, op9_licenses, op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
