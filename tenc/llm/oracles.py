@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tenc.llm import licenses, quality
+from tenc.llm import licenses, mixing, quality
 
 
 def _listed(words) -> str:
@@ -93,4 +93,38 @@ SELECT page_id, path, coalesce(n_notices, 0)::BIGINT AS n_notices, coalesce(lice
 FROM judged LEFT JOIN inherited USING (r)"""
 
 
-ORACLES = {"op6_quality": quality_sql(), "op9_licenses": licenses_sql()}
+def mixing_sql() -> str:
+    """One period by a recursive query, and running totals by one window a source."""
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(length(text), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+weights AS (SELECT source, pow(greatest(sum(size), 1), {mixing.TEMPERATURE}) AS weight, ceil(sum(size) / {mixing.BLOCK_CHARS})::BIGINT AS blocks FROM docs GROUP BY source),
+shares AS (
+  SELECT source, blocks, greatest(round(weight / sum(weight) OVER () * {mixing.PERIOD}), 1)::BIGINT AS slots FROM weights),
+listed AS (SELECT list(source ORDER BY source) AS names, list(slots ORDER BY source) AS slots, sum(slots)::BIGINT AS period FROM shares),
+edf AS (
+  SELECT -1::BIGINT AS t, list_transform(slots, lambda s: 0::BIGINT) AS done, NULL::BIGINT AS pick, names, slots, period FROM listed
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: d + CASE WHEN i = p THEN 1 ELSE 0 END), p, names, slots, period
+  FROM (
+    SELECT *, list_sort(list_filter(list_transform(range(1, len(slots) + 1), lambda k: {{
+        'deadline': ceil((done[k] + 1) * period / slots[k]), 'k': k,
+        'ready': done[k] < slots[k] AND floor(done[k] * period / slots[k]) <= t + 1}}), lambda c: c.ready))[1].k AS p
+    FROM edf WHERE t + 1 < period)),
+turns AS (
+  SELECT names[pick] AS source, slots[pick] AS slots, period, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS turn
+  FROM edf WHERE t >= 0),
+lasts AS (
+  SELECT min(floor(s.blocks / t.slots)::BIGINT * t.period + t.slot) AS last FROM shares s JOIN turns t ON s.source = t.source AND t.turn = s.blocks % t.slots),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size, r ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before FROM docs),
+cut AS (SELECT *, floor(before / {mixing.BLOCK_CHARS})::BIGINT AS block FROM placed)
+SELECT doc_id, c.source, size, before, block, floor(block * t.period / t.slots)::BIGINT AS release,
+       ceil((block + 1) * t.period / t.slots)::BIGINT AS deadline,
+       floor(block / t.slots)::BIGINT * t.period + t.slot AS slot,
+       floor(block / t.slots)::BIGINT * t.period + t.slot < last AS balanced
+FROM cut c JOIN turns t ON c.source = t.source AND t.turn = c.block % t.slots CROSS JOIN lasts"""
+
+
+ORACLES = {"op6_quality": quality_sql(), "op7_mixing": mixing_sql(), "op9_licenses": licenses_sql()}
