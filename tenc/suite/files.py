@@ -275,10 +275,36 @@ def results_long(spark: SparkSession, folder: str) -> DataFrame:
     return R.long_results(_stored(spark, folder)).drop("results_file")
 
 
-@query("results_sink_roundtrip")
+@query(
+    "results_sink_roundtrip",
+    f"""
+WITH {_SCORES_SQL}
+SELECT dataset, count(*)::INTEGER AS n_splits, round(1 / 3.0::DOUBLE, 6) AS test_size, -1::BIGINT AS n_rows, encoder,
+       true AS str_preprocess, clf AS clf_label, clf AS clf_name, 'ShuffleSplit' AS split,
+       'StandardScaler' AS scaler, 5 AS sample_seed, 32 AS shuffleseed, 'o_totalprice=y' AS roles,
+       'regression' AS clf_type, count(*)::INTEGER AS n_folds, sum(fold) AS folds,
+       sum(n_train_samples) AS n_train_samples, count(*)::DOUBLE AS n_train_features,
+       round(sum(score), 6) AS score, max(train_score) AS train_score,
+       0.5::DOUBLE * count(*) AS encoding_time, 2.0::DOUBLE * count(*) AS training_time, true AS from_json
+FROM scored GROUP BY dataset, encoder, clf""",
+)
 def results_sink_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Nested records as they come back from the sink, with their file name."""
-    return _stored(spark, folder)
+    """Every field of the nested records as they come back from the sink; folds are added up."""
+
+    def total(name):
+        return F.aggregate(f"results.{name}", F.lit(0.0), lambda acc, x: acc + x).alias(name)
+
+    roles = F.transform(F.map_entries("col_action"), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return _stored(spark, folder).select(
+        "dataset", "n_splits", F.round("test_size", 6).alias("test_size"), "n_rows", "encoder", "str_preprocess",
+        F.col("clf.label").alias("clf_label"), F.col("clf.name").alias("clf_name"),
+        F.array_join("ShuffleSplit", ",").alias("split"), F.col("scaler.name").alias("scaler"),
+        "sample_seed", "shuffleseed", F.array_join(roles, ",").alias("roles"), "clf_type",
+        F.size("results.fold").alias("n_folds"), total("fold").alias("folds"), total("n_train_samples"),
+        total("n_train_features"), F.round(total("score"), 6).alias("score"),
+        F.array_max("results.train_score").alias("train_score"), total("encoding_time"), total("training_time"),
+        F.col("results_file").endswith(".json").alias("from_json"),
+    )
 
 
 @query(

@@ -163,12 +163,10 @@ def model_gbt(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("model_gbt_multiclass")
 def model_gbt_multiclass(spark: SparkSession, folder: str) -> DataFrame:
-    """Boosted trees per class against the rest; twenty trees each."""
+    """Boosted trees per class against the rest; one hundred trees each."""
     df = table(spark, folder, "orders")
     x = _fitted_features(df, STATUS_ROLES, MULTICLASS, "o_orderstatus", "o_orderkey")
-    model = train_model(
-        x, "GradientBoosting", MULTICLASS, "o_orderstatus", "o_orderkey", trees=20
-    )
+    model = train_model(x, "GradientBoosting", MULTICLASS, "o_orderstatus", "o_orderkey")
     return model.predict(x)
 
 
