@@ -13,7 +13,7 @@ from tenc.session import scratch_path
 # A table of at most so many rows may be broadcast when its rows are a few numbers wide.
 BROADCAST_ROWS = 1_000_000
 # Characters of text a Python worker handles at a time; a longer text is a batch of its own.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 2_000_000
 
 _ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 

@@ -19,6 +19,7 @@ Repeated rows are scored each by itself, and learned from as often as they come.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -42,7 +43,7 @@ SHARD_NGRAMS = 2_000_000
 SLICE_BYTES = 160_000_000
 # Words whose exact counts are broadcast for the base score; rarer ones are joined.
 HEAD_WORDS = 100_000
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ class _Words(dict):
 
     def __init__(self, logs: dict[bytes, float]):
         super().__init__()
-        self.logs, self.hashes, self.values = logs, [], []
+        self.logs, self.hashes, self.values = logs, array("Q"), array("d")
 
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
@@ -68,9 +69,9 @@ class _Words(dict):
         """Hashes and log counts (NaN if not known here) of words in a row."""
         if len(self) > _CACHE_WORDS:
             self.clear()
-            self.hashes, self.values = [], []
+            self.hashes, self.values = array("Q"), array("d")
         at = np.fromiter(map(self.__getitem__, flat), np.int64, len(flat))
-        return np.array(self.hashes, np.uint64)[at], np.array(self.values)[at]
+        return np.array(self.hashes)[at], np.array(self.values)[at]
 
 
 def _ngrams(hashes: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -190,7 +191,7 @@ def build_filter(docs: DataFrame, order: int, n_tokens: int) -> tuple[DataFrame,
             for gram in _ngrams(hashes, starts, order):
                 held.append(_merged(gram, np.ones(len(gram), np.int64)))
                 size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield sent(held)
                 held, size = [], 0
         if held:
@@ -220,16 +221,17 @@ def build_filter(docs: DataFrame, order: int, n_tokens: int) -> tuple[DataFrame,
 class Slice:
     """The shards from ``first`` on, side by side in one array of bytes."""
 
-    def __init__(self, rows, first: int, last: int, power: int):
+    def __init__(self, sizes: dict[int, int], first: int, last: int, power: int):
         self.first, self.last, self.power = first, last, power
         self.n_bits = np.zeros(last - first, np.int64)
-        self.begin = np.zeros(last - first, np.int64)
-        parts, at = [], 0
-        for row in sorted(rows, key=lambda r: r["shard"]):
-            self.n_bits[row["shard"] - first], self.begin[row["shard"] - first] = row["n_bits"], at
-            parts.append(bytes(row["bits"]))
-            at += len(parts[-1])
-        self.data = b"".join(parts)
+        for shard, n_bits in sizes.items():
+            self.n_bits[shard - first] = n_bits
+        self.begin = np.cumsum(self.n_bits // 8) - self.n_bits // 8
+        self.data = bytearray(int(self.n_bits.sum() // 8))
+
+    def put(self, shard: int, bits: bytes) -> None:
+        start = int(self.begin[shard - self.first])
+        self.data[start : start + len(bits)] = bits
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """The level up to which each n-gram is in the slice; zero for n-grams of other slices."""
@@ -290,16 +292,22 @@ def scores(
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = words.where(F.col("word") == F.lit(END)).first()
     n_texts = ends["n"] if ends else 0
-    head = words.orderBy(F.desc("n"), "word").limit(head_words).collect()
-    logs = spark.sparkContext.broadcast({bytes(r["word"]): math.log10(r["n"] + 1) for r in head})
+    head = words.orderBy(F.desc("n"), "word").limit(head_words)
+    logs = spark.sparkContext.broadcast(
+        {bytes(r["word"]): math.log10(r["n"] + 1) for r in head.toLocalIterator()}
+    )
     filter_, power = build_filter(learned, order, n)
     runs = slices(filter_, power, slice_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
     base_columns = f"row long, doc_id {kind}, trained boolean, n_tokens long, head_known long, head_sum double"
 
     def sliced(first, last):
-        rows = filter_.where((F.col("shard") >= first) & (F.col("shard") < last)).collect()
-        return spark.sparkContext.broadcast(Slice(rows, first, last, power))
+        wanted = filter_.where((F.col("shard") >= first) & (F.col("shard") < last))
+        sizes = {r["shard"]: r["n_bits"] for r in wanted.select("shard", "n_bits").collect()}
+        slice_ = Slice(sizes, first, last, power)
+        for row in wanted.select("shard", "bits").toLocalIterator():
+            slice_.put(row["shard"], row["bits"])
+        return spark.sparkContext.broadcast(slice_)
 
     def passed(slice_, only: bool):
         """One pass: with ``only`` the score itself, else the levels, to be put together later."""

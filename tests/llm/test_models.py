@@ -71,8 +71,9 @@ def test_filter_levels_are_never_too_low():
     for level in range(1, levels.max() + 1):
         for at in lm._positions(hashes[levels >= level], level, np.uint64(len(bits))):
             bits[at] = True
-    row = {"shard": 0, "n_bits": len(bits), "bits": np.packbits(bits, bitorder="little").tobytes()}
-    assert (lm.Slice([row], 0, 1, 0).levels(hashes) >= levels).all()
+    slice_ = lm.Slice({0: len(bits)}, 0, 1, 0)
+    slice_.put(0, np.packbits(bits, bitorder="little").tobytes())
+    assert (slice_.levels(hashes) >= levels).all()
     assert (np.abs(lm.count_of()[levels] / counts - 1) < 0.25).all()
 
 
