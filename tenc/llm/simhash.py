@@ -180,14 +180,8 @@ def _sorted_groups(batches, columns: list[str]) -> Iterator[dict[str, np.ndarray
         yield held
 
 
-def _bucket_links(
-    buckets: DataFrame, names: list[str], limit: int, node: str, block: int,
-    agree: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None,
-) -> DataFrame:
-    """Links ``u``, ``v``, ``bits`` within buckets of at least three fingerprints.
-
-    ``buckets`` has ``key``, the bucket's size ``n``, ``node`` and fingerprint words ``names``.
-    """
+def _block_pairs(buckets: DataFrame, names: list[str], node: str, block: int) -> DataFrame:
+    """The rows of ``buckets`` in every pair of blocks of their ``key`` that they belong to."""
     columns = list(dict.fromkeys([node, *names])) + [
         c for c in buckets.columns if c not in {"key", "n", node, *names}
     ]
@@ -197,19 +191,43 @@ def _bucket_links(
         F.sequence(F.lit(0), blocks - 1),
         lambda j: F.shiftleft(F.least(own, j.cast("long")), 32) + F.greatest(own, j.cast("long")),
     )
-    spread = buckets.select("key", F.explode(pairs).alias("pair"), *columns)
+    return buckets.select("key", F.explode(pairs).alias("pair"), *columns)
+
+
+def _by_group(spread: DataFrame) -> DataFrame:
+    return spread.repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+
+def _distances(
+    group: dict[str, np.ndarray], names: list[str], limit: int,
+    agree: Callable[[dict[str, np.ndarray]], np.ndarray] | None,
+) -> np.ndarray:
+    """Differing bits of each two of a group; more than ``limit`` on the diagonal and where they do not agree."""
+    distance = np.zeros((len(group["key"]),) * 2, np.uint16)
+    for name in names:
+        x = group[name].view(np.uint64)
+        distance += np.bitwise_count(x[:, None] ^ x[None, :])
+    if agree is not None:
+        distance[~agree(group)] = limit + 1
+    np.fill_diagonal(distance, limit + 1)
+    return distance
+
+
+def _bucket_links(
+    spread: DataFrame, names: list[str], limit: int, node: str,
+    agree: Callable[[dict[str, np.ndarray]], np.ndarray] | None = None,
+) -> DataFrame:
+    """A shortest forest of links ``u``, ``v``, ``bits`` of each group ``key``, ``pair`` of ``spread``.
+
+    ``spread`` also has ``node`` and fingerprint words ``names``.
+    """
+    columns = [c for c in spread.columns if c not in {"key", "pair"}]
 
     def run(batches):
         for group in _sorted_groups(batches, ["key", "pair", *columns]):
             if len(group["key"]) < 2:
                 continue
-            distance = np.zeros((len(group["key"]),) * 2, np.uint16)
-            for name in names:
-                x = group[name].view(np.uint64)
-                distance += np.bitwise_count(x[:, None] ^ x[None, :])
-            if agree is not None:
-                distance[~agree(group)] = limit + 1
-            np.fill_diagonal(distance, limit + 1)
+            distance = _distances(group, names, limit, agree)
             live = np.flatnonzero((distance <= limit).any(axis=1))
             if not len(live):
                 continue
@@ -217,12 +235,14 @@ def _bucket_links(
             ids = group[node][live]
             u, v, bits = (np.array(x) for x in zip(*found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[u]), pa.array(ids[v]), pa.array(bits.astype(np.int32))],
-                ["u", "v", "bits"],
+                [
+                    pa.array(group["key"][: len(u)]), pa.array(group["pair"][: len(u)]),
+                    pa.array(ids[u]), pa.array(ids[v]), pa.array(bits.astype(np.int32)),
+                ],
+                ["key", "pair", "u", "v", "bits"],
             )
 
-    dealt = spread.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(run, "u long, v long, bits int")
+    return _by_group(spread).mapInArrow(run, "key long, pair long, u long, v long, bits int")
 
 
 def links_within_four(prints: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -248,7 +268,7 @@ def links_within_four(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         "large-buckets",
     )
     members = attach(keyed, large, ["key"], "inner")
-    more = _bucket_links(members, ["f0"], limit, "f0", block)
+    more = _bucket_links(_block_pairs(members, ["f0"], "f0", block), ["f0"], limit, "f0")
     return two.union(more.select("u", "v")).distinct()
 
 
@@ -289,6 +309,10 @@ WIDE_LIMIT = 30
 _NO_KEY = -(1 << 63)
 
 
+def _size_class(n_shingles: np.ndarray, similarity: float) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n_shingles, 1)) / -np.log(similarity)).astype(np.int64)
+
+
 def _keys_by_segment(similarity: float):
     """Golay keys of each segment, joined to the size class of the text and to the next one.
 
@@ -297,7 +321,7 @@ def _keys_by_segment(similarity: float):
     """
 
     def make(values):
-        size = np.floor(np.log(np.maximum(values["n_shingles"], 1)) / -np.log(similarity)).astype(np.int64)
+        size = _size_class(values["n_shingles"], similarity)
         rows = np.arange(len(size))
         for tag, (word, start, length) in enumerate(_SEGMENTS):
             bits = values[f"f{word}"].view(np.uint64) >> np.uint64(start)
@@ -322,21 +346,113 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return map_texts(docs, ["node"], "node long, hashes array<long>", run)
 
 
-def similar_links(groups: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """Candidate links ``u``, ``v`` of distinct fingerprints (``node``, ``f0``, ``f1``, ``n_shingles``)."""
+def _agreeing(similarity: float) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
+    """Which two of a group can reach the similarity by their sizes, and belong to the group's key.
+
+    Two texts of one size class share two keys; they count under that of their own class.
+    """
+
+    def agree(group):
+        n = group["n_shingles"]
+        size = _size_class(n, similarity)
+        own = (group["key"][0] >> 12) & ((1 << 28) - 1)
+        near = np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n) - 1e-9
+        return near & (np.maximum.outer(size, size) == own)
+
+    return agree
+
+
+def _wide_groups(groups: DataFrame, similarity: float, block: int) -> DataFrame:
+    """``key``, ``pair`` and the columns of ``groups``: the groups in which fingerprints are compared."""
     names = [f"f{i}" for i in range(_WORDS_WIDE)]
     keyed = _emitted(groups, ["node", "n_shingles", *names], _keys_by_segment(similarity))
     large = saved(
         keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "large-buckets"
     )
+    buckets = attach(keyed, large, ["key"]).withColumn("n", F.coalesce("n", F.lit(1)))
+    return _block_pairs(buckets, names, "node", block)
 
-    def agree(group):
-        n = group["n_shingles"]
-        return np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n) - 1e-9
 
-    buckets = attach(keyed, large, ["key"]).withColumn("n", F.coalesce("n", F.lit(1)))
-    found = _bucket_links(buckets, names, WIDE_LIMIT, "node", block, agree)
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+def similar_links(spread: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``key``, ``pair`` and candidate links ``u``, ``v``: the shortest forest of each group's close pairs."""
+    names = [f"f{i}" for i in range(_WORDS_WIDE)]
+    found = _bucket_links(spread, names, WIDE_LIMIT, "node", _agreeing(similarity))
+    return found.select("key", "pair", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _in_common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many hashes each two of ``sets`` have in common."""
+    n = len(sets)
+    rows = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    kept = (count > 1)[column]
+    rows, column = rows[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    total = np.zeros((n, n), np.int64)
+    last = int(column[-1]) if len(column) else -1
+    for start in range(0, last + 1, width):
+        a, b = np.searchsorted(column, (start, start + width))
+        marks = np.zeros((n, min(width, last + 1 - start)), np.float32)
+        marks[rows[a:b], column[a:b] - start] = 1
+        total += (marks @ marks.T).astype(np.int64)
+    return total
+
+
+def missed_links(
+    spread: DataFrame, links: DataFrame, close: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float
+) -> DataFrame | None:
+    """Links ``u``, ``v`` of similar texts that the forests ``links`` passed by, or None if there can be none.
+
+    A forest joins all close fingerprints of its group, so a similar pair is only missed where a
+    link of the forest was not ``close`` and its ends are still apart in ``roots``. In these groups every
+    pair across classes is checked exactly; a group gives back a forest of the similar ones.
+    """
+    names = [f"f{i}" for i in range(_WORDS_WIDE)]
+    agree = _agreeing(similarity)
+    root_of = roots.select("node", "root")
+    apart = links.select("u", "v").distinct().join(close, ["u", "v"], "left_anti")
+    for end in ("u", "v"):
+        apart = attach(apart, root_of.toDF(end, f"root_{end}"), [end]).withColumn(
+            f"root_{end}", F.coalesce(f"root_{end}", end)
+        )
+    apart = saved(apart.where("root_u != root_v").select("u", "v"), "apart")
+    doubtful = saved(attach(links, apart, ["u", "v"], "left_semi").select("key", "pair").distinct(), "doubtful")
+    if not doubtful.count():
+        return None
+    again = attach(spread, doubtful, ["key", "pair"], "left_semi")
+    again = attach(again, root_of, ["node"]).withColumn("root", F.coalesce("root", "node"))
+    columns = ["key", "pair", "node", "n_shingles", *names, "root"]
+
+    def candidates(group):
+        distance = _distances(group, names, WIDE_LIMIT, agree)
+        return (distance <= WIDE_LIMIT) & (group["root"][:, None] != group["root"][None, :])
+
+    def crossing(batches):
+        for group in _sorted_groups(batches, columns):
+            live = candidates(group).any(axis=1)
+            if live.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group[c][live]) for c in columns], columns)
+
+    def verified(batches):
+        for group in _sorted_groups(batches, [*columns, "hashes"]):
+            common = _in_common(list(group["hashes"]))
+            n = np.array([len(x) for x in group["hashes"]])
+            similar = candidates(group) & (common >= similarity * (n[:, None] + n[None, :] - common) - 1e-9)
+            found = _forest(np.where(similar, 0, 1), 0)
+            if found:
+                u, v, _ = (np.array(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group["node"][u]), pa.array(group["node"][v])], ["u", "v"]
+                )
+
+    live = saved(
+        _by_group(again.select(*columns)).mapInArrow(crossing, ", ".join(f"{c} long" for c in columns)),
+        "across",
+    )
+    found = _by_group(live.join(sets, "node").select(*columns, "hashes")).mapInArrow(verified, "u long, v long")
+    return saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "missed")
 
 
 def without_near_duplicates(
@@ -345,8 +461,8 @@ def without_near_duplicates(
     """The rows of ``docs`` but for all but one of each class of near-duplicates.
 
     Links are pairs whose sets of shingles have at least ``similarity`` (Jaccard), checked
-    exactly on candidates from the fingerprints. In every bucket the candidates are the
-    shortest forest of the close pairs. The row with the smallest key stays (a missing key is
+    exactly on candidates from the fingerprints. In every bucket the shortest forest of the
+    close pairs is checked first, then all pairs that a link below the similarity leaves apart. The row with the smallest key stays (a missing key is
     the smallest), of equal rows one.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_KEY))
@@ -361,7 +477,9 @@ def without_near_duplicates(
         ),
         "groups",
     )
-    links = saved(similar_links(groups, similarity, block), "candidates")
+    spread = _wide_groups(groups, similarity, block)
+    forests = saved(similar_links(spread, similarity), "candidates")
+    links = forests.select("u", "v").distinct()
     ends = saved(
         links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
         .join(groups, "node").select("node", f"first.{k}", f"first.{h}"),
@@ -374,7 +492,11 @@ def without_near_duplicates(
     common = F.size(F.array_intersect("a", "b"))
     both = F.size("a") + F.size("b") - common
     close = links.join(left, "u").join(right, "v").where(common >= similarity * both - 1e-9)
-    roots = components(saved(close.select("u", "v"), "links"))
+    close = saved(close.select("u", "v"), "links")
+    roots = components(close)
+    missed = missed_links(spread, forests, close, roots, sets, similarity)
+    if missed is not None:
+        roots = components(saved(close.union(missed), "all-links"))
     named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("size"))
     shared = saved(
