@@ -5,7 +5,9 @@ deadline that follow from its number and the source's target weight; in every sl
 released block with the earliest deadline runs. At any slot the blocks a source has had then
 differ from its weight's share by less than one, as long as no source is used up.
 
-Weights become whole numbers of slots in a period. The schedule of one period, a small table, is
+``mixed`` takes release times and deadlines from the exact weights: the driver schedules all blocks,
+a number of some bytes each, and documents join the order of their block. ``positions`` rounds: there,
+weights become whole numbers of slots in a period. The schedule of one period, a small table, is
 found by folding over its slots and repeats itself, so a document's slot is arithmetic on its
 running total. Running totals are taken bucket by bucket in the order of a hash of the key, and
 shifted by bucket offsets; a source of any size is spread over many tasks.
@@ -16,6 +18,12 @@ count as empty texts. No row is dropped: when a source is used up, its slots sta
 
 from __future__ import annotations
 
+import heapq
+import math
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +99,37 @@ def schedule(slots: DataFrame) -> DataFrame:
     return picked.withColumn("turn", (F.row_number().over(order) - 1).cast("long"))
 
 
+def exact_order(weights: list[float], blocks: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Source and number of every block, by earliest deadline first under the exact ``weights``.
+
+    Sources without a weight above zero come after all others, in equal parts.
+    """
+    some = [i for i, w in enumerate(weights) if w > 0] or list(range(len(weights)))
+    exact = {i: Fraction(weights[i]) if weights[i] > 0 else Fraction(1) for i in some}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {i: int(x * unit) for i, x in exact.items()}
+    total = sum(parts.values())
+    waiting, ready = [(0, i, 0) for i in some if blocks[i]], []
+    n, t = sum(blocks[i] for i in some), 0
+    source, number = np.empty(n, np.int32), np.empty(n, np.int64)
+    for at in range(n):
+        if not ready:
+            t = max(t, waiting[0][0])
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * total // parts[i]), i, k))
+        _, source[at], number[at] = _, i, k = heapq.heappop(ready)
+        if k + 1 < blocks[i]:
+            heapq.heappush(waiting, ((k + 1) * total // parts[i], i, k + 1))
+        t += 1
+    rest = [i for i in range(len(weights)) if i not in exact]
+    if rest:
+        more, numbers = exact_order([1.0] * len(rest), [blocks[i] for i in rest])
+        source = np.concatenate([source, np.array(rest, np.int32)[more]])
+        number = np.concatenate([number, numbers])
+    return source, number
+
+
 def _hash_digits(n: int) -> int:
     """Hex digits that cut ``n`` keys into about as many buckets as a bucket has keys."""
     digits = 1
@@ -99,25 +138,18 @@ def _hash_digits(n: int) -> int:
     return digits
 
 
-def positions(
-    docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BLOCK_CHARS,
-    period: int = PERIOD, carry: list[str] | None = None,
-) -> DataFrame:
-    """``doc_id``, ``source`` and ``carry`` with each row's place in the mixture.
-
-    ``before`` is the size of the source's documents ahead of this one, ``block`` the number of
-    the block it begins in, with its ``release``, ``deadline`` and ``slot``; ``balanced`` tells
-    whether every source still has blocks at that slot. Sources without a weight above zero
-    get the smallest share.
-    """
-    carry = [c for c in (carry or []) if c not in {"doc_id", "source"}]
-    rows = sized(docs)
+def _weighted(docs: DataFrame, weights: DataFrame | None) -> DataFrame:
+    """``source`` and ``weight`` (zero at least) of every source of ``docs``."""
     if weights is None:
         weights = default_weights(docs)
-    named = rows.select("source").distinct().join(weights, "source", "left").select(
+    return sized(docs).select("source").distinct().join(weights, "source", "left").select(
         "source", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight")
     )
-    plan = saved(schedule(slots_of(named, period)), "schedule")
+
+
+def _in_blocks(docs: DataFrame, block_chars: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``before`` and ``block``, and sums by source and bucket."""
+    rows = sized(docs)
     digits = _hash_digits(docs.count())
     hashed = rows.select("doc_id", "source", "size", *[F.col(f"`{c}`") for c in carry]).withColumn(
         "_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -135,6 +167,23 @@ def positions(
     placed = attach(summed, offsets, ["source", "_bucket"], "inner").withColumn(
         "before", F.col("_offset") + F.col("_within")
     ).withColumn("block", F.floor(F.col("before") / block_chars))
+    return placed, sums
+
+
+def positions(
+    docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BLOCK_CHARS,
+    period: int = PERIOD, carry: list[str] | None = None,
+) -> DataFrame:
+    """``doc_id``, ``source`` and ``carry`` with each row's place in the mixture.
+
+    ``before`` is the size of the source's documents ahead of this one, ``block`` the number of
+    the block it begins in, with its ``release``, ``deadline`` and ``slot``; ``balanced`` tells
+    whether every source still has blocks at that slot. Sources without a weight above zero
+    get the smallest share.
+    """
+    carry = [c for c in (carry or []) if c not in {"doc_id", "source"}]
+    plan = saved(schedule(slots_of(_weighted(docs, weights), period)), "schedule")
+    placed, sums = _in_blocks(docs, block_chars, carry)
 
     turns = plan.groupBy("source", "slots", "period").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("turn", "slot"))), lambda x: x["slot"]).alias("_turns")
@@ -162,13 +211,30 @@ def positions(
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows and columns of ``docs`` in the order of the mixture, dealt to partitions by slot."""
+    """The rows and columns of ``docs`` in the order of the mixture, dealt to partitions by place.
+
+    Blocks follow the exact weights. Sources without a weight above zero come last.
+    """
     own = [F.col(f"`{c}`").alias(f"_own_{i}") for i, c in enumerate(docs.columns)]
     renamed = docs.select("doc_id", "source", "text", *own)
     names = [f"_own_{i}" for i in range(len(docs.columns))]
     # The text is carried once, as one of the own columns.
-    placed = positions(renamed, weights, block_chars, carry=names)
+    placed, sums = _in_blocks(renamed, block_chars, names)
+    # An empty text at the very end begins in a block of its own.
+    blocks = sums.groupBy("source").agg((F.floor(F.sum("_sum") / block_chars) + 1).alias("blocks"))
+    sources = sorted(_weighted(renamed, weights).join(blocks, "source").collect())
+    source, number = exact_order([r["weight"] for r in sources], [r["blocks"] for r in sources])
+    spark = docs.sparkSession
+    listed = pa.DictionaryArray.from_arrays(pa.array(source), pa.array([r["source"] for r in sources], pa.string()))
+    order = saved(
+        spark.createDataFrame(pa.table({
+            "source": listed.cast(pa.string()), "block": pa.array(number),
+            "place": pa.array(np.arange(len(number))),
+        })),
+        "order",
+    )
     return (
-        placed.repartitionByRange("slot", "before").sortWithinPartitions("slot", "source", "before", "doc_id")
+        attach(placed, order, ["source", "block"], "inner")
+        .repartitionByRange("place", "before").sortWithinPartitions("place", "before", "doc_id")
         .select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
     )

@@ -1,6 +1,8 @@
+import random
 import hashlib
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +179,35 @@ def test_lines_without_an_anchor_cannot_be_notices():
     for number in range(len(licenses.TEMPLATES)):
         rest = sum(w * w for n, _, word, w in rows if n == number and word not in anchors)
         assert rest**0.5 < licenses.THRESHOLD
+
+
+def assert_under_one_block(weights, blocks):
+    source, number = mixing.exact_order(weights, blocks)
+    assert len(source) == sum(blocks) == len(set(zip(source.tolist(), number.tolist())))
+    total = sum(map(Fraction, weights))
+    shares = [Fraction(w) / total for w in weights]
+    end = min(n / w for n, w in zip(blocks, shares) if w)
+    for at, (i, k) in enumerate(zip(source.tolist(), number.tolist())):
+        if shares[i] and at < end:
+            assert k // shares[i] <= at < -(-(k + 1) // shares[i])
+    return source
+
+
+def test_exact_weights_stay_under_one_block_off():
+    rng = random.Random(8)
+    few = [1 / 3] + [2 / 90] * 30
+    assert_under_one_block(few, [int(w * 60_000) + 2 for w in few])
+    many = [1 / 3] + [2 / 15_000] * 5_000
+    source = assert_under_one_block(many, [5_001] + [2] * 5_000)
+    assert abs((source[:12_000] == 0).sum() - 4_000) <= 1
+    odd = [rng.random() ** 4 for _ in range(50)] + [0.0]
+    source = assert_under_one_block(odd, [int(w * 3_000) + 1 for w in odd[:-1]] + [7])
+    assert (source[-7:] == 50).all()
+
+
+def test_mixed_follows_unrounded_weights(spark):
+    rows = [(i, "hot" if i < 400 else f"s{i % 400}", "x" * 10) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = spark.createDataFrame([("hot", 1 / 3)] + [(f"s{i}", 2 / 1200) for i in range(400)], "source string, weight double")
+    order = [r["source"] for r in mixing.mixed(docs, weights, block_chars=10).collect()]
+    assert all(abs(order[:t].count("hot") - t / 3) < 1.000001 for t in range(1201))
