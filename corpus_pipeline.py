@@ -37,8 +37,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents as pieces of training sequences, with their token ids."""
-    return packing.pack(docs, tokenizer_path())
+    """All documents as pieces of training sequences, with their token ids, in the order of the mixture."""
+    return packing.pack(docs, tokenizer_path(), ordered=True)
 
 
 STAGES = [

@@ -37,6 +37,24 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def as_written(df: DataFrame) -> DataFrame:
+    """The rows of a table read from Parquet, in the order of its files and of the rows in them.
+
+    Partitions ascend in that order; Spark itself deals files to tasks by size. Files are ordered by the
+    number of the task that wrote them. Anything but a table as read is given back as it is.
+    """
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return df
+    task, file, row = unused(df, "task", "file", "row")
+    meta = df.metadataColumn("_metadata")
+    placed = df.select("*", meta["file_name"].alias(file), meta["row_index"].alias(row)).withColumn(
+        task, F.regexp_extract(file, r"^part-(\d+)", 1).try_cast("long")
+    )
+    return placed.repartitionByRange(task, file, row).sortWithinPartitions(task, file, row).select(
+        *[F.col(f"`{c}`") for c in df.columns]
+    )
+
+
 def attach(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
     limit: int = BROADCAST_ROWS,

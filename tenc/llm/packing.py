@@ -8,7 +8,7 @@ penalties: padding is linear in the cut before, so the best one within reach is
 monotone queue.
 
 The stream is cut in blocks; what the last two windows of a block hold is cut again with the
-next block. Nothing is shuffled, and a task holds one block and the ids of its longest
+next block. Nothing is shuffled, unless rows are first dealt in the order of their files, and a task holds one block and the ids of its longest
 document. A retried task gives the same sequences. Missing texts are packed as their end id.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tenc.llm.common import map_texts
+from tenc.llm.common import as_written, map_texts
 from tenc.llm.tokens import Lookup
 
 BLOCK = 1 << 18
@@ -157,12 +157,14 @@ class _Packer:
 
 
 def pack(
-    docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, block: int = BLOCK
+    docs: DataFrame, path: str, window: int = 4096, end_id: int = 2, block: int = BLOCK,
+    ordered: bool = False,
 ) -> DataFrame:
     """A row for each piece of a document: ``doc_id``, ``start``, ``length``, ``ids_crc32``,
     ``doc_tokens``, ``sequence_id``, ``offset`` and the piece's ``ids`` (little-endian, 4 bytes each).
 
-    Repeated rows are packed as often as they come. Sequence numbers are unique, not gapless.
+    Repeated rows are packed as often as they come. Sequence numbers are unique, not gapless. With
+    ``ordered`` they ascend in the order in which the files of ``docs`` were written.
     """
     lookup = Lookup(docs, path)
     with open(path, encoding="utf-8") as file:
@@ -197,4 +199,4 @@ def pack(
         yield rows(packer.windows(last=True), number)
 
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:-1]) + ", ids binary"
-    return map_texts(docs, ["doc_id"], schema, run)
+    return map_texts(as_written(docs) if ordered else docs, ["doc_id"], schema, run)

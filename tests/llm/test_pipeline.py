@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from tenc.llm import simhash, suite, toxicity
+from tenc.llm import mixing, simhash, suite, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -33,6 +33,23 @@ def test_stages_take_odd_rows_and_empty_tables(spark, edges, nothing):
         assert stage(spark, edges, FOLDER).count() > 0, name
 
 
+def test_sequences_follow_the_mixture_over_files_of_different_sizes(spark, tmp_path):
+    rows = [(i, f"s{i % 7}", f"word{i} " * (1 + i % 9 * i // 4)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    path = str(tmp_path / "mixed")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = [r["doc_id"] for r in mixing.mixed(docs, block_chars=512).select("doc_id").collect()]
+        mixing.mixed(docs, block_chars=512).write.parquet(path)
+        files = sorted(p.stat().st_size for p in (tmp_path / "mixed").glob("part-*.parquet"))
+        assert len(files) > 4 and files[0] < files[-1]
+        packed = corpus_pipeline.packed(spark, spark.read.parquet(path), FOLDER)
+        found = packed.select("doc_id", "sequence_id", "offset", "start").orderBy("sequence_id", "offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [p["doc_id"] for p in found if p["start"] == 0] == order
+
+
 def test_queries_are_the_eleven():
     assert sorted(int(n[2:].split("_")[0]) for n in suite.QUERIES) == list(range(1, 11))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "mixing", "packing"]
