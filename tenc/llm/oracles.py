@@ -127,4 +127,81 @@ SELECT doc_id, c.source, size, before, block, floor(block * t.period / t.slots):
 FROM cut c JOIN turns t ON c.source = t.source AND t.turn = c.block % t.slots CROSS JOIN lasts"""
 
 
-ORACLES = {"op6_quality": quality_sql(), "op7_mixing": mixing_sql(), "op9_licenses": licenses_sql()}
+def phrases_sql() -> str:
+    """All phrases of one to three words counted, cut and compared with each longer phrase."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+cut AS (
+  SELECT lang, w FROM (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces)
+  WHERE len(w) > 0),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut CROSS JOIN (VALUES (1), (2), (3)) AS sizes(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS a FROM grams GROUP BY lang, k, 3),
+totals AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM f WHERE k >= 2 AND a >= 10),
+inside AS (
+  SELECT lang, array_to_string(unnest([g[1:2], g[2:3]]), ' ') AS phrase, a FROM candidates WHERE k = 3),
+most AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(g[1:cut], ' ') AS head, array_to_string(g[cut + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, h.a AS l, t.a AS r,
+         ((1000000::HUGEINT * c.a * c.a) // (h.a::HUGEINT * t.a))::BIGINT AS score
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
+def negatives_sql() -> str:
+    """All rows ranked for every anchor."""
+    return """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+def embedding_dedup_sql() -> str:
+    """All pairs compared, and classes by following links."""
+    return """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reached AS (
+  SELECT vec_id AS u, vec_id AS v FROM embeddings
+  UNION
+  SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u),
+classes AS (SELECT u AS vec_id, min(v) AS component_id FROM reached GROUP BY u),
+counts AS (SELECT u AS vec_id, count(*) AS n_links FROM links GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM classes LEFT JOIN counts USING (vec_id)"""
+
+
+ORACLES = {
+    "op6_quality": quality_sql(), "op7_mixing": mixing_sql(), "op9_licenses": licenses_sql(), "op11_phrases": phrases_sql(),
+    "op12_hard_negatives": negatives_sql(), "op13_embedding_dedup": embedding_dedup_sql(),
+}

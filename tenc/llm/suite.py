@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenc.llm import langid, licenses, lm, mixing, multiset, oracles, packing, quality, simhash, tokens, toxicity
+from tenc.llm import (
+    langid, licenses, lm, mixing, multiset, negatives, oracles, packing, phrases, pq, quality, simhash, tokens, toxicity,
+)
 from tenc.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,11 +83,27 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.held_out_languages(table(spark, folder, "documents"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language of all documents."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten negatives for each of the first five positives of every hundredth embedding, against all rows."""
+    rows = negatives.from_embeddings(table(spark, folder, "embeddings"))
+    return negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+def op13_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and classes of all embeddings by cosine 0.95."""
+    return pq.near_duplicates(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_lm_score, op3_token_counts, op4_multiset_hash, op5_packing, op6_quality, op7_mixing,
-        op8_toxicity, op9_licenses, op10_language_id,
+        op8_toxicity, op9_licenses, op10_language_id, op11_phrases, op12_hard_negatives, op13_embedding_dedup,
     )
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
