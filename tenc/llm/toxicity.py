@@ -2,8 +2,9 @@
 
 A word is the bag of its character n-grams and itself, hashed to buckets with an embedding each; a
 text is the mean of its words. Embeddings and softmax are trained jointly in numpy, in one task,
-on a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each label, the first in the
-order of a hash of their keys. All texts are scored. The softmax is linear, so a word's part in
+on a bounded sample of labelled rows: at most ``SAMPLE_ROWS`` of each label and ``SAMPLE_CHARS`` characters of
+whole texts, the first in the order of a hash of their keys (a text that no longer fits is passed over, so
+memory has a bound however long texts are). All texts are scored. The softmax is linear, so a word's part in
 the score is a number, which workers compute once and keep.
 
 Missing texts count as empty; texts without words get the score of the bias. Without labels of
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from tenc.llm.common import crc_of_id, map_texts
 
 SAMPLE_ROWS = 2_000
+SAMPLE_CHARS = 8_000_000
 BITS, DIMENSIONS = 18, 4
 SHORTEST, LONGEST = 3, 6
 # The share of label 1 that texts are taken to have, whatever its share of the sample.
@@ -35,6 +37,7 @@ PADDING = 30
 MIN_COUNT = 5
 EPOCHS, RATE, MOMENTUM, SHRINKAGE, SEED = 100, 1.0, 0.9, 2e-5, 42
 _CACHE_WORDS = 400_000
+_COUNT_BITS = 22
 
 _PLAIN = bytes(
     ord(" ") if chr(b) in string.punctuation or chr(b) in string.whitespace else (b + 32 if 65 <= b <= 90 else b)
@@ -59,21 +62,32 @@ def grams_of(word: bytes) -> list[int]:
 
 def fit(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
     """A number for each bucket and a bias; a text's log-odds are the bias plus the padded mean over its words."""
-    counted = [Counter(words_of(t)) for t in texts]
+    y = np.array(labels)
+    # A table of hash counts first tells which words can be frequent enough, so that rare ones are never held.
+    seen_hashes = np.zeros(1 << _COUNT_BITS, np.int64)
+    for t in texts:
+        hashes = np.fromiter(map(zlib.crc32, words_of(t)), np.uint32)
+        seen_hashes += np.bincount(hashes >> np.uint32(32 - _COUNT_BITS), minlength=len(seen_hashes))
     total: Counter = Counter()
-    for c in counted:
-        total.update(c)
+    for t in texts:
+        total.update(w for w in words_of(t) if seen_hashes[zlib.crc32(w) >> 32 - _COUNT_BITS] >= MIN_COUNT)
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in total.items() if n >= MIN_COUNT))}
+    del total, seen_hashes
     grams = [grams_of(w) for w in vocabulary]
-    rows = [
-        (i, vocabulary[w], k / (c.total() + PADDING))
-        for i, c in enumerate(counted) for w, k in sorted(c.items()) if w in vocabulary
-    ]
-    y = np.array(labels)
-    if not rows or len(set(labels)) < 2:
+    # Twelve bytes for each distinct word of each text.
+    doc, word, share = [], [], []
+    for i, t in enumerate(texts):
+        found = words_of(t)
+        n = len(found) + PADDING
+        known = np.fromiter((vocabulary[w] for w in found if w in vocabulary), np.int32)
+        kinds, times = np.unique(known, return_counts=True)
+        doc.append(np.full(len(kinds), i, np.int32))
+        word.append(kinds)
+        share.append((times / n).astype(np.float32))
+    doc, word, share = (np.concatenate(x) if x else np.empty(0) for x in (doc, word, share))
+    if not len(doc) or len(set(labels)) < 2:
         return np.zeros(1 << BITS, np.float32), -math.inf
-    doc, word, share = (np.array(x) for x in zip(*rows))
-    share = share.astype(np.float32)[:, None]
+    share = share[:, None]
     lengths = np.array([len(g) for g in grams])
     gram = np.concatenate([np.array(g) for g in grams])
     used, gram = np.unique(gram, return_inverse=True)
@@ -152,21 +166,36 @@ def log_odds(text: str | None, scores: _WordScores, bias: float) -> float:
     return bias + sum(map(scores.__getitem__, found)) / (len(found) + PADDING)
 
 
-def train(docs: DataFrame, labels: DataFrame, learned: Column, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
-    """Fit on at most ``rows`` labelled rows of each kind; a key with several labels counts as its largest."""
+def train(
+    docs: DataFrame, labels: DataFrame, learned: Column, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
+) -> tuple[np.ndarray, float]:
+    """Fit on at most ``rows`` labelled rows and ``chars`` characters of each kind.
+
+    A key with several labels counts as its largest; of several texts under one key the smallest is learned.
+    """
     marks = (
         labels.where(learned & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    present = docs.select("doc_id").where("text is not null").join(marks, "doc_id").distinct()
+    present = (
+        docs.where("text is not null").groupBy("doc_id").agg(F.max(F.char_length("text")).alias("size"))
+        .join(marks, "doc_id")
+    )
     drawn = present.where("toxic = 0").orderBy(order, "doc_id").limit(rows).union(
         present.where("toxic = 1").orderBy(order, "doc_id").limit(rows)
     )
-    chosen = drawn.collect()
+    chosen, used = [], Counter()
+    for r in drawn.orderBy("toxic", order, "doc_id").collect():
+        if used[r["toxic"]] + r["size"] <= chars:
+            used[r["toxic"]] += r["size"]
+            chosen.append((r["doc_id"], r["toxic"]))
     spark = docs.sparkSession
-    ids = spark.createDataFrame([tuple(r) for r in chosen], drawn.schema)
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    ids = spark.createDataFrame(chosen, drawn.select("doc_id", "toxic").schema)
+    sample = (
+        docs.where("text is not null").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    )
 
     def run(batches):
         found = [
