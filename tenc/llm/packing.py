@@ -166,15 +166,14 @@ def pack(
     Repeated rows are packed as often as they come. Sequence numbers are unique, not gapless. With
     ``ordered`` they ascend in the order in which the files of ``docs`` were written.
     """
-    lookup = Lookup(docs, path)
+    lookup = Lookup(docs, path, ids=True)
     with open(path, encoding="utf-8") as file:
         ends_sentence = sentence_ids(file.read())
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     end = end_id.to_bytes(4, "little")
 
-    def rows(windows, number: list[int]):
+    def rows(windows, number: list[int], key: pa.DataType):
         first = TaskContext.get().partitionId() << 40
         out: list[list] = [[] for _ in names]
         for spans in windows:
@@ -186,17 +185,19 @@ def pack(
                     column.append(value)
                 offset += len(ids)
             number[0] += 1
-        kinds = [arrow_kind, *[pa.int64()] * 6, pa.binary()]
+        kinds = [key, *[pa.int64()] * 6, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     def run(batches):
-        _, ids_of = lookup.open()
-        packer, number = _Packer(window, block, ends_sentence), [0]
+        ids_of = lookup.ids()
+        packer, number, key = _Packer(window, block, ends_sentence), [0], None
         for batch, texts in batches:
+            key = batch.column("doc_id").type
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
                 packer.add(doc_id, np.frombuffer(ids_of(text or "") + end, "<u4"))
-            yield rows(packer.windows(last=False), number)
-        yield rows(packer.windows(last=True), number)
+            yield rows(packer.windows(last=False), number, key)
+        if key is not None:
+            yield rows(packer.windows(last=True), number, key)
 
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:-1]) + ", ids binary"
     return map_texts(as_written(docs) if ordered else docs, ["doc_id"], schema, run)

@@ -1,8 +1,10 @@
 """Token counts and ids of whole texts by a map-side, two-tier lookup of pre-tokens.
 
-Tier one is a table of frequent pre-tokens with their encodings, made once and broadcast; its
-size is a parameter. Tier two is each worker's own cache: a pre-token outside the table is
-encoded once and kept, and the cache is emptied when it is full. Pre-tokens are never shuffled.
+Tier one is made once and broadcast; its size is a parameter. For counts it is a compact hash table of frequent
+pre-tokens with their lengths in tokens: sorted hashes, two bytes for each length, and the texts themselves,
+against which a hit is checked. For ids it holds the encodings. Tier two is each task's own cache: a pre-token
+outside the table is encoded once and kept; the cache is emptied when it is full and when the task
+ends. Pre-tokens are never shuffled.
 
 The result is always the tokenizer's own. The lookup serves texts whose characters are printable
 ASCII, Latin letters, common punctuation and ordinary white space, with the tokenizers that cut
@@ -15,12 +17,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
-from functools import partial
+from collections import Counter, defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ from tenc.llm.common import map_texts
 # Entries of the broadcast table, and documents it is chosen from. Both affect speed only.
 FREQUENT = 65_536
 SAMPLE_DOCS = 4_000
-# Pre-tokens a worker keeps before it starts its cache afresh.
-CACHE_WORDS = 400_000
+# Bytes of pre-tokens and encodings that a task keeps before it starts its cache afresh.
+CACHE_BYTES = 32 << 20
 # Characters that a long text is cut to, at white space, before it is split.
 PIECE_CHARS = 1 << 20
 
@@ -64,17 +67,53 @@ def _lookup_pattern(spec: dict) -> str | None:
 
 
 class _Cache(dict):
-    """Encodings by pre-token; misses are encoded on the way."""
+    """Encodings by pre-token; misses are encoded on the way. Holds a bounded number of bytes."""
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    def __init__(self, encode, primed: dict | None = None):
+        self.encode, self.primed, self.held = encode, primed or {}, 0
+        super().__init__(self.primed)
 
     def __missing__(self, piece: str):
-        value = self[piece] = self.encode(piece)
+        # A dictionary entry and its two objects take some 150 bytes beside their contents.
+        value = self.encode(piece)
+        self.held += 150 + len(piece) + (len(value) if isinstance(value, bytes) else 0)
+        if self.held > CACHE_BYTES:
+            self.clear()
+            self.update(self.primed)
+            self.held = 0
+        self[piece] = value
         return value
 
 
+class LengthTable:
+    """Tier one for counts: lengths of frequent pre-tokens by hash, a few arrays."""
+
+    def __init__(self, pieces: list[str], lengths: list[int]):
+        raw = [p.encode() for p in pieces]
+        kept = [i for i, n in enumerate(lengths) if n < 1 << 16]
+        hashes = np.array([xxhash.xxh64_intdigest(raw[i]) for i in kept], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.lengths = np.array([lengths[i] for i in kept], np.uint16)[order]
+        texts = [raw[kept[i]] for i in order]
+        self.ends = np.cumsum([len(t) for t in texts]).astype(np.uint32)
+        self.texts = b"".join(texts)
+
+    def find(self, pieces: list[str]) -> np.ndarray:
+        """Lengths of ``pieces``, -1 for those that are not in the table."""
+        found = np.full(len(pieces), -1, np.int64)
+        if not len(self.hashes):
+            return found
+        raw = [p.encode() for p in pieces]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        for i in np.flatnonzero(self.hashes[at] == hashes).tolist():
+            end, size = int(self.ends[at[i]]), len(raw[i])
+            if self.texts[max(end - size, 0) : end] == raw[i] and end - size == (int(self.ends[at[i] - 1]) if at[i] else 0):
+                found[i] = self.lengths[at[i]]
+        return found
+
+
 class Encoder:
     """A tokenizer of the ``tokenizers`` library, read from its JSON text."""
 
@@ -90,7 +129,6 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.tokenize = self.library.model.tokenize
         self.letters = _byte_letters()
-        self.caches = {"n": _Cache(self.length), "ids": _Cache(self.id_bytes)}
 
     def _pieces(self, piece: str):
         return self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
@@ -102,15 +140,6 @@ class Encoder:
         """The ids of a pre-token as little-endian unsigned 32-bit numbers."""
         return b"".join(t.id.to_bytes(4, "little") for t in self._pieces(piece))
 
-    def cache(self, kind: str, frequent: list[str]) -> _Cache:
-        """The worker's cache of one kind, primed with the broadcast table."""
-        found = self.caches[kind]
-        if not found or len(found) > CACHE_WORDS + len(frequent):
-            found.clear()
-            for piece in frequent:
-                found[piece]
-        return found
-
     def cut(self, text: str):
         """Lists of pre-tokens of ``text``, or None if the library has to take it whole."""
         if self.pattern is None or _UNUSUAL.search(text) or any(s in text for s in self.special):
@@ -128,20 +157,6 @@ class Encoder:
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def count(self, text: str, frequent: list[str]) -> int:
-        parts = self.cut(text)
-        if parts is None:
-            return len(self.whole(text))
-        lengths = self.cache("n", frequent)
-        return sum(sum(map(lengths.__getitem__, part)) for part in parts)
-
-    def ids(self, text: str, frequent: list[str]) -> bytes:
-        parts = self.cut(text)
-        if parts is None:
-            return np.array(self.whole(text), "<u4").tobytes()
-        known = self.cache("ids", frequent)
-        return b"".join(b"".join(map(known.__getitem__, part)) for part in parts)
-
 
 def encoder(text: str) -> Encoder:
     """The encoder of this worker; it is built once in each process."""
@@ -152,8 +167,10 @@ def encoder(text: str) -> Encoder:
     return _loaded[name]
 
 
-def frequent_pieces(docs: DataFrame, text: str, size: int = FREQUENT, sample: int = SAMPLE_DOCS) -> list[str]:
-    """At most ``size`` frequent pre-tokens of about ``sample`` documents.
+def frequent_pieces(
+    docs: DataFrame, text: str, size: int = FREQUENT, sample: int = SAMPLE_DOCS
+) -> list[tuple[str, bytes]]:
+    """At most ``size`` frequent pre-tokens of about ``sample`` documents, with their ids.
 
     The sample goes to two tasks, each of which sends no more than ``size`` candidates, so what
     reaches the driver is bounded.
@@ -171,30 +188,69 @@ def frequent_pieces(docs: DataFrame, text: str, size: int = FREQUENT, sample: in
                     found.update(part)
         top = found.most_common(size)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([p for p, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())],
-            ["piece", "n"],
+            [
+                pa.array([p for p, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64()),
+                pa.array([tool.id_bytes(p) for p, _ in top], pa.binary()),
+            ],
+            ["piece", "n", "ids"],
         )
 
-    total: Counter = Counter()
-    for row in map_texts(drawn, [], "piece string, n long", run).collect():
+    total, ids = Counter(), {}
+    for row in map_texts(drawn, [], "piece string, n long, ids binary", run).collect():
         total[row["piece"]] += row["n"]
-    return [p for p, c in total.most_common(size) if c > 1]
+        ids[row["piece"]] = bytes(row["ids"])
+    return [(p, ids[p]) for p, c in total.most_common(size) if c > 1]
 
 
 class Lookup:
     """What workers need: the tokenizer's JSON and the frequent pre-tokens, broadcast."""
 
-    def __init__(self, docs: DataFrame, path: str, frequent: int = FREQUENT):
+    def __init__(self, docs: DataFrame, path: str, frequent: int = FREQUENT, ids: bool = False):
         with open(path, encoding="utf-8") as file:
             text = file.read()
         context = docs.sparkSession.sparkContext
-        self._shared = context.broadcast((text, frequent_pieces(docs, text, frequent)))
+        found = frequent_pieces(docs, text, frequent)
+        known = dict(found) if ids else LengthTable([p for p, _ in found], [len(i) // 4 for _, i in found])
+        self._shared = context.broadcast((text, known))
 
-    def open(self) -> tuple:
-        """On a worker: functions from a text to its number of tokens and to its ids as bytes."""
-        text, frequent = self._shared.value
+    def ids(self):
+        """In a task: a function from a text to its ids as bytes. Its cache ends with the task."""
+        text, known = self._shared.value
         tool = encoder(text)
-        return partial(tool.count, frequent=frequent), partial(tool.ids, frequent=frequent)
+        cache = _Cache(tool.id_bytes, known)
+
+        def of(value: str) -> bytes:
+            parts = tool.cut(value)
+            if parts is None:
+                return np.array(tool.whole(value), "<u4").tobytes()
+            return b"".join(b"".join(map(cache.__getitem__, part)) for part in parts)
+
+        return of
+
+    def counter(self):
+        """In a task: a function from some texts to their numbers of tokens."""
+        text, known = self._shared.value
+        tool = encoder(text)
+        cache = _Cache(tool.length)
+
+        def of(values: list[str]) -> np.ndarray:
+            numbers = defaultdict(count().__next__)
+            places: list[list[np.ndarray] | int] = []
+            for value in values:
+                parts = tool.cut(value)
+                places.append(
+                    len(tool.whole(value)) if parts is None
+                    else [np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)) for part in parts]
+                )
+            pieces = list(numbers)
+            lengths = known.find(pieces)
+            for i in np.flatnonzero(lengths < 0).tolist():
+                lengths[i] = cache[pieces[i]]
+            return np.array(
+                [p if isinstance(p, int) else sum(int(lengths[part].sum()) for part in p) for p in places], np.int64
+            )
+
+        return of
 
 
 def count_tokens(
@@ -207,14 +263,14 @@ def count_tokens(
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        count, _ = lookup.open()
+        counted = lookup.counter()
         for batch, texts in batches:
             values = [t or "" for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(v.encode()) for v in values], pa.int64()),
-                    pa.array([count(v) for v in values], pa.int64()),
+                    pa.array(counted(values), pa.int64()),
                 ],
                 ["doc_id", "n_bytes", "n_tokens"],
             )

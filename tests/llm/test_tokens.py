@@ -46,7 +46,32 @@ def test_long_texts_are_cut_at_white_space(library, monkeypatch):
     with open(tokenizer_path(), encoding="utf-8") as file:
         tool = tokens.Encoder(file.read())
     for text in [t for t in ODD if t]:
-        assert np.frombuffer(tool.ids(text, []), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        parts = tool.cut(text)
+        found = tool.whole(text) if parts is None else [
+            i for part in parts for piece in part for i in np.frombuffer(tool.id_bytes(piece), "<u4").tolist()
+        ]
+        assert found == library.encode(text, add_special_tokens=False).ids
+
+
+def test_table_of_lengths_tells_hits_from_misses_by_text():
+    table = tokens.LengthTable(["the", " of", "é", "", "long"], [1, 2, 3, 4, 70_000])
+    assert table.find([" of", "the", "x", "é", "", "long", "of"]).tolist() == [2, 1, -1, 3, 4, -1, -1]
+    # A text of the same hash is no hit.
+    table.texts = b"?" * len(table.texts)
+    assert table.find([" of", "the"]).tolist() == [-1, -1]
+    assert tokens.LengthTable([], []).find(["a"]).tolist() == [-1]
+
+
+def test_cache_stays_within_its_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+    cache = tokens._Cache(len, {"kept": 4})
+    for i in range(1000):
+        assert cache[f"piece {i}"] == len(f"piece {i}") and cache["kept"] == 4 and len(cache) < 20
+
+
+def test_any_type_of_key_is_packed(spark):
+    docs = spark.sql("select cast(7 as smallint) as doc_id, 'some text' as text union all select null, 'more'")
+    assert {r["doc_id"] for r in packing.pack(docs, tokenizer_path()).collect()} == {7, None}
 
 
 def test_other_tokenizers_go_to_the_library(spark):
