@@ -1,6 +1,9 @@
 import math
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +11,8 @@ import pytest
 from tenc.llm import langid, lm, toxicity
 from tenc.llm.common import words_of
 
+ROOT = Path(__file__).resolve().parents[2]
+
 
 def corpus(spark, n=200, seed=8):
     rng = np.random.default_rng(seed)
@@ -109,6 +114,89 @@ def test_toxic_words_are_learned_with_their_misspellings(spark, edges, nothing):
     assert len(unlabelled) == 600 and all(r["score"] == 0 for r in unlabelled)
 
 
+def dense_fit(texts, labels):
+    """The same training with plain matrices: texts by words, words by buckets."""
+    counted = [Counter(toxicity.words_of(t)) for t in texts]
+    total = sum(counted, Counter())
+    words = sorted(w for w, n in total.items() if n >= toxicity.MIN_COUNT)
+    shares = np.array([[c[w] / (c.total() + toxicity.PADDING) for w in words] for c in counted])
+    grams = [toxicity.grams_of(w) for w in words]
+    used = sorted({g for own in grams for g in own})
+    parts = np.array([[own.count(g) / len(own) for g in used] for own in grams])
+    bags = shares @ parts
+    seen = shares.any(axis=1)
+    size = toxicity.DIMENSIONS
+    random = np.random.default_rng(toxicity.SEED)
+    e, o = random.uniform(-1 / size, 1 / size, (len(used), size)), random.uniform(-1 / size, 1 / size, (size, 2))
+    b, speeds = np.zeros(2), [0, 0, 0]
+    target = np.eye(2)[np.array(labels)] * seen[:, None]
+    balance = target @ (np.array([1 - toxicity.PRIOR, toxicity.PRIOR]) / np.maximum(target.sum(axis=0), 1))
+    presence = balance @ bags
+    for _ in range(toxicity.EPOCHS):
+        means = bags @ e
+        p = np.exp(means @ o + b)
+        error = (p / p.sum(axis=1, keepdims=True) - target) * balance[:, None]
+        slopes = (
+            bags.T @ (error @ o.T) / (presence[:, None] + toxicity.SHRINKAGE),
+            means.T @ error / ((balance[:, None] * means * means).sum() + 1), error.sum(axis=0),
+        )
+        speeds = [toxicity.MOMENTUM * v - s for v, s in zip(speeds, slopes)]
+        e, o, b = (x + toxicity.RATE * v for x, v in zip((e, o, b), speeds))
+    table = np.zeros(1 << toxicity.BITS)
+    table[used] = e @ (o[:, 1] - o[:, 0])
+    return table, b[1] - b[0]
+
+
+def test_toxicity_training_equals_plain_matrices():
+    rng = np.random.default_rng(12)
+    words = ["bana", "loto", "misi", "grump", "zwack", "rare"]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 30)), p=[0.3, 0.3, 0.29, 0.05, 0.05, 0.01])) for _ in range(80)]
+    labels = [int("grump" in t or "zwack" in t) for t in texts]
+    table, bias = toxicity.fit([*texts, None], [*labels, 0])
+    expected, expected_bias = dense_fit([*texts, None], [*labels, 0])
+    assert np.allclose(table, expected, rtol=1e-2, atol=1e-3) and bias == pytest.approx(expected_bias, abs=1e-3)
+    assert np.abs(expected).max() > 0.1
+
+
+def test_toxicity_sample_is_bounded_by_characters(spark):
+    rows = [(i, f"{'sharp' if i % 2 else 'soft'} word {i} " * 200, i % 2) for i in range(200)] + [(777, "sharp " * 50_000, 1)]
+    rows += [(4, "soft word of a second text", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    marks = docs.select("doc_id", "toxic").distinct()
+    seen = []
+    for chars in (30_000, toxicity.SAMPLE_CHARS):
+        models = [toxicity.train(d, marks, marks.doc_id >= 0, chars=chars) for d in (docs, docs.repartition(5))]
+        # Neither the cut of the table nor the order of two texts under one key changes the model.
+        assert (models[0][0] == models[1][0]).all() and models[0][1] == models[1][1]
+        seen.append(np.count_nonzero(models[0][0]))
+    assert 0 < seen[0] < seen[1]
+
+
+def test_toxicity_training_takes_bounded_memory():
+    """As many characters as a sample can have, mostly rare words, in a process of its own."""
+    code = (
+        "import resource, random\n"
+        "import sys; sys.path.insert(0, '.')\n"
+        "from tenc.llm import toxicity\n"
+        "rng = random.Random(1)\n"
+        "texts = [' '.join(f'w{rng.randrange(10**6)}' if rng.random() < .5 else f'v{rng.randrange(3000)}' for _ in range(14_000)) for _ in range(160)]\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "toxicity.EPOCHS = 3\n"
+        "toxicity.fit(texts, [i % 2 for i in range(160)])\n"
+        "print(sum(map(len, texts)), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=ROOT, check=True)
+    chars, grown = map(int, done.stdout.split())
+    assert chars > 13_000_000 and grown < 400
+
+
+@pytest.mark.parametrize("text", ["½ ²", "① Ⅷ ³", "123 ٣ ५", "\u0301\u0308", "_ _", "😀"])
+def test_numbers_and_marks_are_no_letters(spark, text):
+    rows = [(i, "das haus und der hund", "de") for i in range(10)] + [(100, text, "de"), (101, text + " ª", "de")]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.held_out_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (found[100], found[101]) == ("und", "de") and not any(c.isalpha() for c in text)
+
+
 def test_languages_against_brute_force(spark, edges, nothing):
     samples = {
         "en": "the house and the dog of this morning with that river", "de": "das haus und der hund an diesem morgen mit dem fluss",
