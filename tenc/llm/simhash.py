@@ -299,213 +299,32 @@ def fingerprint_classes(docs: DataFrame, width: int = 4, block: int = BLOCK) ->
     )
 
 
-# Near-duplicates by similarity: shingles of five words, 128 bits in six segments.
-WIDTH, SIMILARITY = 5, 0.8
-_WORDS_WIDE = 2
-_SEGMENTS = ((0, 0, 21), (0, 21, 21), (0, 42, 22), (1, 0, 21), (1, 21, 21), (1, 42, 22))
-# Texts of similarity 0.8 differ in 19 of 128 bits on average; three pairs in a thousand in more than this.
-WIDE_LIMIT = 30
-# A text's key where it is missing, so that every row has one.
+# A key where it is missing, so that every row has one.
 _NO_KEY = -(1 << 63)
 
 
-def _size_class(n_shingles: np.ndarray, similarity: float) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n_shingles, 1)) / -np.log(similarity)).astype(np.int64)
+def without_near_duplicates(docs: DataFrame, width: int = 4, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` but for all but one of each class of ``fingerprint_classes``.
 
-
-def _keys_by_segment(similarity: float):
-    """Golay keys of each segment, joined to the size class of the text and to the next one.
-
-    Sets of a similarity differ in size by no more than that factor, so their classes are equal or
-    neighbours.
-    """
-
-    def make(values):
-        size = _size_class(values["n_shingles"], similarity)
-        rows = np.arange(len(size))
-        for tag, (word, start, length) in enumerate(_SEGMENTS):
-            bits = values[f"f{word}"].view(np.uint64) >> np.uint64(start)
-            slots, used = golay.keys((bits & np.uint64((1 << length) - 1)).astype(np.int64))
-            row = np.broadcast_to(rows[:, None], used.shape)[used]
-            for step in (0, 1):
-                yield ((np.int64(tag) << 40) | (size + step)[:, None] << 12 | slots)[used], row
-
-    return make
-
-
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``node`` and the hashes of the distinct shingles of each row of ``docs``."""
-
-    def run(batches):
-        for batch, texts in batches:
-            found = [np.unique(shingle_hashes(words_of(t), width)).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "hashes"]
-            )
-
-    return map_texts(docs, ["node"], "node long, hashes array<long>", run)
-
-
-def _agreeing(similarity: float) -> Callable[[dict[str, np.ndarray]], np.ndarray]:
-    """Which two of a group can reach the similarity by their sizes, and belong to the group's key.
-
-    Two texts of one size class share two keys; they count under that of their own class.
-    """
-
-    def agree(group):
-        n = group["n_shingles"]
-        size = _size_class(n, similarity)
-        own = (group["key"][0] >> 12) & ((1 << 28) - 1)
-        near = np.minimum.outer(n, n) >= similarity * np.maximum.outer(n, n) - 1e-9
-        return near & (np.maximum.outer(size, size) == own)
-
-    return agree
-
-
-def _wide_groups(groups: DataFrame, similarity: float, block: int) -> DataFrame:
-    """``key``, ``pair`` and the columns of ``groups``: the groups in which fingerprints are compared."""
-    names = [f"f{i}" for i in range(_WORDS_WIDE)]
-    keyed = _emitted(groups, ["node", "n_shingles", *names], _keys_by_segment(similarity))
-    large = saved(
-        keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "large-buckets"
-    )
-    buckets = attach(keyed, large, ["key"]).withColumn("n", F.coalesce("n", F.lit(1)))
-    return _block_pairs(buckets, names, "node", block)
-
-
-def similar_links(spread: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``key``, ``pair`` and candidate links ``u``, ``v``: the shortest forest of each group's close pairs."""
-    names = [f"f{i}" for i in range(_WORDS_WIDE)]
-    found = _bucket_links(spread, names, WIDE_LIMIT, "node", _agreeing(similarity))
-    return found.select("key", "pair", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-
-
-def _in_common(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """How many hashes each two of ``sets`` have in common."""
-    n = len(sets)
-    rows = np.repeat(np.arange(n), [len(x) for x in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.cumsum(count > 1) - 1
-    kept = (count > 1)[column]
-    rows, column = rows[kept], place[column[kept]]
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    total = np.zeros((n, n), np.int64)
-    last = int(column[-1]) if len(column) else -1
-    for start in range(0, last + 1, width):
-        a, b = np.searchsorted(column, (start, start + width))
-        marks = np.zeros((n, min(width, last + 1 - start)), np.float32)
-        marks[rows[a:b], column[a:b] - start] = 1
-        total += (marks @ marks.T).astype(np.int64)
-    return total
-
-
-def missed_links(
-    spread: DataFrame, links: DataFrame, close: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float
-) -> DataFrame | None:
-    """Links ``u``, ``v`` of similar texts that the forests ``links`` passed by, or None if there can be none.
-
-    A forest joins all close fingerprints of its group, so a similar pair is only missed where a
-    link of the forest was not ``close`` and its ends are still apart in ``roots``. In these groups every
-    pair across classes is checked exactly; a group gives back a forest of the similar ones.
-    """
-    names = [f"f{i}" for i in range(_WORDS_WIDE)]
-    agree = _agreeing(similarity)
-    root_of = roots.select("node", "root")
-    apart = links.select("u", "v").distinct().join(close, ["u", "v"], "left_anti")
-    for end in ("u", "v"):
-        apart = attach(apart, root_of.toDF(end, f"root_{end}"), [end]).withColumn(
-            f"root_{end}", F.coalesce(f"root_{end}", end)
-        )
-    apart = saved(apart.where("root_u != root_v").select("u", "v"), "apart")
-    doubtful = saved(attach(links, apart, ["u", "v"], "left_semi").select("key", "pair").distinct(), "doubtful")
-    if not doubtful.count():
-        return None
-    again = attach(spread, doubtful, ["key", "pair"], "left_semi")
-    again = attach(again, root_of, ["node"]).withColumn("root", F.coalesce("root", "node"))
-    columns = ["key", "pair", "node", "n_shingles", *names, "root"]
-
-    def candidates(group):
-        distance = _distances(group, names, WIDE_LIMIT, agree)
-        return (distance <= WIDE_LIMIT) & (group["root"][:, None] != group["root"][None, :])
-
-    def crossing(batches):
-        for group in _sorted_groups(batches, columns):
-            live = candidates(group).any(axis=1)
-            if live.any():
-                yield pa.RecordBatch.from_arrays([pa.array(group[c][live]) for c in columns], columns)
-
-    def verified(batches):
-        for group in _sorted_groups(batches, [*columns, "hashes"]):
-            common = _in_common(list(group["hashes"]))
-            n = np.array([len(x) for x in group["hashes"]])
-            similar = candidates(group) & (common >= similarity * (n[:, None] + n[None, :] - common) - 1e-9)
-            found = _forest(np.where(similar, 0, 1), 0)
-            if found:
-                u, v, _ = (np.array(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(group["node"][u]), pa.array(group["node"][v])], ["u", "v"]
-                )
-
-    live = saved(
-        _by_group(again.select(*columns)).mapInArrow(crossing, ", ".join(f"{c} long" for c in columns)),
-        "across",
-    )
-    found = _by_group(live.join(sets, "node").select(*columns, "hashes")).mapInArrow(verified, "u long, v long")
-    return saved(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "missed")
-
-
-def without_near_duplicates(
-    docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, block: int = BLOCK
-) -> DataFrame:
-    """The rows of ``docs`` but for all but one of each class of near-duplicates.
-
-    Links are pairs whose sets of shingles have at least ``similarity`` (Jaccard), checked
-    exactly on candidates from the fingerprints. In every bucket the shortest forest of the
-    close pairs is checked first, then all pairs that a link below the similarity leaves apart. The row with the smallest key stays (a missing key is
-    the smallest), of equal rows one.
+    The row with the smallest key stays (a missing key is the smallest), of equal rows one.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_KEY))
     k, h = unused(docs, "key", "hash")
     hashed = docs.withColumn(k, key).withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    names = [f"f{i}" for i in range(_WORDS_WIDE)]
-    prints = fingerprints(hashed, width, _WORDS_WIDE, distinct=True, keep=(k, h))
-    prints = saved(prints.withColumn("node", F.xxhash64("n_shingles", *names)), "fingerprints")
+    prints = saved(fingerprints(hashed, width, keep=(k, h)), "fingerprints")
     groups = saved(
-        prints.groupBy("node", "n_shingles", *names).agg(
-            F.min(F.struct(k, h)).alias("first"), F.count("*").alias("copies")
-        ),
-        "groups",
+        prints.groupBy("f0").agg(F.min(F.struct(k, h)).alias("first"), F.count("*").alias("copies")), "groups"
     )
-    spread = _wide_groups(groups, similarity, block)
-    forests = saved(similar_links(spread, similarity), "candidates")
-    links = forests.select("u", "v").distinct()
-    ends = saved(
-        links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
-        .join(groups, "node").select("node", f"first.{k}", f"first.{h}"),
-        "ends",
-    )
-    texts = attach(hashed.select(k, h, "text"), ends, [k, h], "inner")
-    sets = saved(_sets(texts, width).dropDuplicates(["node"]), "shingle-sets")
-    left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    both = F.size("a") + F.size("b") - common
-    close = links.join(left, "u").join(right, "v").where(common >= similarity * both - 1e-9)
-    close = saved(close.select("u", "v"), "links")
-    roots = components(close)
-    missed = missed_links(spread, forests, close, roots, sets, similarity)
-    if missed is not None:
-        roots = components(saved(close.union(missed), "all-links"))
-    named = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = components(links_within_four(groups.select("f0"), block))
+    named = groups.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
     best = named.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("size"))
     shared = saved(
-        named.join(best.where("size > 1"), "root").select("node", f"best.{k}", f"best.{h}")
-        .toDF("node", "_best_key", "_best_hash"),
+        named.join(best.where("size > 1"), "root").select("f0", f"best.{k}", f"best.{h}")
+        .toDF("f0", "_best_key", "_best_hash"),
         "classes",
     )
     dropped = saved(
-        attach(prints.select("node", k, h), shared, ["node"], "inner")
+        attach(prints.select("f0", k, h), shared, ["f0"], "inner")
         .where((F.col(k) != F.col("_best_key")) | (F.col(h) != F.col("_best_hash")))
         .select(k, h).distinct(),
         "dropped",

@@ -1,7 +1,14 @@
+import itertools
+import math
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from tenc.llm import mixing, simhash, suite, toxicity
+from tenc.llm import mixing, quality, suite, toxicity
+from test_simhash import brute_print
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -50,7 +57,50 @@ def test_sequences_follow_the_mixture_over_files_of_different_sizes(spark, tmp_p
     assert [p["doc_id"] for p in found if p["start"] == 0] == order
 
 
-def test_queries_are_the_eleven():
-    assert sorted(int(n[2:].split("_")[0]) for n in suite.QUERIES) == list(range(1, 11))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "mixing", "packing"]
-    assert simhash.WIDTH == 5 and simhash.SIMILARITY == 0.8 and toxicity.SAMPLE_ROWS == 2000
+def test_queries_are_the_thirteen():
+    assert sorted(int(n[2:].split("_")[0]) for n in suite.QUERIES) == list(range(1, 14))
+    names = ["toxicity", "quality", "simhash_near_dedup", "mixing", "packing"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == names
+    assert toxicity.SAMPLE_ROWS == 2000
+
+
+def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Which documents leave and in which order the rest is packed, worked out in plain Python from each stage's input."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    learned = functions.pmod(functions.crc32(functions.col("doc_id").cast("string").cast("binary")), functions.lit(4)) != 2
+    model = toxicity.train(docs, labels, learned)
+    kept = {}
+    for k, t in rows.items():
+        words = toxicity.words_of(t)
+        odds = model[1] + sum(
+            sum(float(model[0][g]) for g in toxicity.grams_of(w)) / len(toxicity.grams_of(w)) for w in words
+        ) / (len(words) + toxicity.PADDING)
+        if 1 / (1 + math.exp(-odds)) < 0.3:
+            kept[k] = t
+    left = docs.where(functions.col("doc_id").isin(list(kept)))
+    good = {r["doc_id"] for r in quality.measured(left, keep=["doc_id"]).where("kept").collect()}
+    kept = {k: t for k, t in kept.items() if k in good}
+    prints = {k: brute_print(t) for k, t in kept.items()}
+    least = {k: k for k in kept}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(sorted(kept), 2):
+            if least[a] != least[b] and (prints[a] ^ prints[b]).bit_count() <= 4:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    kept = {k for k in kept if least[k] == k}
+    packed = corpus_pipeline.run(spark, FOLDER).collect()
+    assert {r["doc_id"] for r in packed} == kept
+    library = Tokenizer.from_file(suite.tokenizer_path())
+    pieces = {}
+    for r in packed:
+        pieces.setdefault(r["doc_id"], []).append((r["start"], bytes(r["ids"])))
+    for k, found in pieces.items():
+        ids = np.frombuffer(b"".join(b for _, b in sorted(found)), "<u4").tolist()
+        assert ids == [*library.encode(rows[k] or "", add_special_tokens=False).ids, 2]
+    mixed = [r["doc_id"] for r in mixing.mixed(docs.where(functions.col("doc_id").isin(list(kept)))).select("doc_id").collect()]
+    firsts = sorted((r["sequence_id"], r["offset"], r["doc_id"]) for r in packed if r["start"] == 0)
+    assert [k for *_, k in firsts] == mixed

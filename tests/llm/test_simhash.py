@@ -96,65 +96,27 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 150)}}
 
 
-def jaccard(a, b, width=5):
-    sets = []
-    for t in (a, b):
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))})
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def test_one_of_each_group_of_near_copies_stays(spark, edges):
+def test_one_of_each_class_stays(spark, edges):
     rng = random.Random(5)
     rows = []
-    for i in range(40):
-        words = [f"w{rng.randrange(3000)}" for _ in range(150)]
-        rows.append((2 * i, " ".join(words)))
-        changed = list(words)
-        for _ in range(i % 5 * 4):
-            changed[rng.randrange(150)] = f"x{rng.randrange(3000)}"
-        rows.append((2 * i + 1, " ".join(changed)))
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        for copy in range(3):
+            rows.append((len(rows), " ".join(words)))
+            words[rng.randrange(400)] = f"x{i}"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
+    label = brute_classes([(k, brute_print(t)) for k, t in rows])
+    expected = sorted(k for (k, _), least in zip(rows, label.values()) if k == least)
+    assert 60 <= len(expected) < 180
     for block in (simhash.BLOCK, 8):
-        kept = {r["doc_id"] for r in simhash.without_near_duplicates(docs, block=block).collect()}
-        for (a, x), (b, y) in zip(rows[::2], rows[1::2]):
-            assert a in kept
-            assert (b in kept) == (jaccard(x, y) < 0.8)
+        kept = simhash.without_near_duplicates(docs, block=block)
+        assert sorted(r["doc_id"] for r in kept.collect()) == expected
     left = simhash.without_near_duplicates(edges)
     assert left.columns == edges.columns
+    # Missing, empty and blank texts are copies of each other; of equal rows one stays.
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(["1", "3", "5", "None", "7", "8", "9"])
 
 
-def test_copies_nearer_to_each_other_in_bits_still_find_their_original(spark):
-    rng = random.Random(6)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
-    rows = [(0, " ".join(base))]
-    for i in range(1, 1001):
-        words = list(base)
-        for at in rng.sample(range(8), 1) + [20, 60, 100]:
-            words[at + rng.randrange(20)] = f"x{rng.randrange(10**9)}"
-        rows.append((i, " ".join(words)))
-    near = [i for i, t in rows if jaccard(base_text := rows[0][1], t) >= 0.8]
-    apart = sum(jaccard(rows[i][1], rows[i + 1][1]) < 0.8 for i in range(1, 1000))
-    assert len(near) == 1001 and apart > 900 and base_text == " ".join(base)
-    for block in (simhash.BLOCK, 64):
-        kept = {
-            r["doc_id"]
-            for r in simhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
-        }
-        # One pair in a hundred or so is no candidate by its fingerprints.
-        assert 0 in kept and len(kept) <= 25
-
-
-def test_common_hashes_are_counted_exactly():
-    rng = np.random.default_rng(7)
-    sets = [np.unique(rng.integers(0, 300, rng.integers(0, 80))) for _ in range(40)]
-    expected = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
-    found = simhash._in_common(sets, width=16)
-    off = ~np.eye(40, dtype=bool)
-    assert (found[off] == np.array(expected)[off]).all()
-
-
 def test_empty_table(nothing):
     assert simhash.fingerprint_classes(nothing).count() == 0
     assert simhash.without_near_duplicates(nothing).count() == 0
