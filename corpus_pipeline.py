@@ -27,8 +27,8 @@ def of_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five words, similarity 0.8 or more."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each class of fingerprints of four-word shingles that differ in four bits or fewer."""
+    return simhash.without_near_duplicates(docs, width=4)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", without_toxic),
     ("quality", of_quality),
-    ("near_duplicates", without_copies),
+    ("simhash_near_dedup", without_copies),
     ("mixing", mixed),
     ("packing", packed),
 ]
