@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import sqrt
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, OneVsRest
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +21,10 @@ from tenc.operators.encoders.stats import BINARY, MULTICLASS, REGRESSION
 from tenc.operators.metrics import score_by_task
 from tenc.operators.neighbours import nearest, vote
 from tenc.operators.weights import add_class_weights
+from tenc.plans.foldcube import FoldRows
+from tenc.plans.linear import LOGISTIC_CS, RIDGE_ALPHAS, LinearFit, fit_logistic, fit_ridge
 
 # The searched settings.
-RIDGE_ALPHAS = (0.1, 1.0, 10.0)
-LOGISTIC_CS = tuple(10 ** (-4 + 8 * i / 9) for i in range(10))
 LGBM_GRID = {"stepSize": (0.1, 0.05, 0.5), "maxDepth": (3, 4, 5)}
 XGB_GRID = {"stepSize": (0.1, 0.05, 0.3), "maxDepth": (3, 6, 9)}
 CV_FOLDS = 3
@@ -50,7 +49,9 @@ class TaskEvaluator(Evaluator):
         scored = dataset.select(
             F.col(_LABEL), _score_column(dataset, self.task).alias("_p")
         )
-        return score_by_task(scored, self.task, _LABEL, "_p").first()["score"] or 0.0
+        score = score_by_task(scored, self.task, _LABEL, "_p").first()["score"]
+        # A candidate without a score must not win.
+        return float("-inf") if score is None else score
 
     def isLargerBetter(self) -> bool:
         return True
@@ -73,27 +74,6 @@ def _search(estimator: Estimator, grid: list, task: str, parallelism: int) -> Cr
     )
 
 
-def _linear(task: str, n_rows: int, label_deviation: float, parallelism: int, values) -> Estimator:
-    if task == REGRESSION:
-        # Spark scales the penalty by the label's deviation and the mean loss by the row count.
-        ridge = LinearRegression(
-            featuresCol=_FEATURES, labelCol=_LABEL, elasticNetParam=0.0, standardization=False
-        )
-        alphas = values or RIDGE_ALPHAS
-        penalties = [a * label_deviation / n_rows for a in alphas]
-        grid = ParamGridBuilder().addGrid(ridge.regParam, penalties).build()
-        return _search(ridge, grid, task, parallelism)
-    logistic = LogisticRegression(
-        featuresCol=_FEATURES, labelCol=_LABEL, elasticNetParam=0.0, standardization=False,
-        maxIter=100,
-    )
-    if task == BINARY:
-        logistic.setWeightCol(_WEIGHT)
-    penalties = [1.0 / (c * n_rows) for c in values or LOGISTIC_CS]
-    grid = ParamGridBuilder().addGrid(logistic.regParam, penalties).build()
-    return _search(_each_class(logistic) if task == MULTICLASS else logistic, grid, task, parallelism)
-
-
 def _each_class(binary: Estimator) -> OneVsRest:
     """One binary model per class, against the rest."""
     return OneVsRest(classifier=binary, featuresCol=_FEATURES, labelCol=_LABEL)
@@ -113,13 +93,44 @@ def _boosting(task: str, seed: int, trees: int, grid: dict | None, parallelism:
     return _search(estimator, builder.build(), task, parallelism)
 
 
+def _linear_prediction(fit: LinearFit):
+    """The prediction, class-1 probability or number of the class of a vector by the model of the first fold."""
+    x = vector_to_array(_FEATURES)
+
+    def margin(output: int):
+        weights = F.array(*[F.lit(float(w)) for w in fit.weights[0, output]])
+        return F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(float(fit.intercepts[0, output])), lambda s, v: s + v)
+
+    if fit.task == REGRESSION:
+        return margin(0)
+    if fit.task == BINARY:
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin(0)))
+    margins = F.array(*[margin(c) for c in range(fit.weights.shape[1])])
+    return (F.array_position(margins, F.array_max(margins)) - 1).cast("double")
+
+
+def _train_linear(rows: DataFrame, task: str, labels: tuple[str, ...], penalties) -> LinearFit:
+    """Fit on the vectors as they are; ``rows`` has the label and the number of the inner fold."""
+    vectors = rows.select(
+        F.col(_LABEL).alias("label"), F.col(_FOLD).alias("part"), vector_to_array(_FEATURES).alias("shared"),
+        F.array(F.lit(False)).alias("test"),
+    )
+    first = vectors.select(F.size("shared")).first()
+    if first is None:
+        raise ValueError("no rows to train on")
+    data = FoldRows(vectors, 1, first[0], (), labels)
+    if task == REGRESSION:
+        return fit_ridge(data, penalties or RIDGE_ALPHAS, scale=False)
+    return fit_logistic(data, penalties or LOGISTIC_CS, balanced=task == BINARY, scale=False)
+
+
 @dataclass(frozen=True)
 class FittedModel:
     """A trained model; ``predict`` adds ``prediction`` (and ``score`` for two classes)."""
 
     name: str
     task: str
-    model: Model | None
+    model: Model | LinearFit | None
     labels: tuple[str, ...]
     train: DataFrame | None = None
     key: str | None = None
@@ -134,6 +145,8 @@ class FittedModel:
         x = df.select(_FEATURES, *[quoted(c).alias(p) for c, p in plain.items()])
         if self.name == "KNN":
             out = self._predict_nearest(x, plain[self.key])
+        elif self.name == LINEAR:
+            out = x.withColumn("prediction", _linear_prediction(self.model))
         else:
             out = self.model.transform(x)
             out = out.withColumn("prediction", _score_column(out, self.task))
@@ -175,17 +188,13 @@ def train_model(
         rows = rows.withColumn(_LABEL, F.col("_y").cast("double"))
     if name == "KNN":
         return FittedModel(name, task, None, labels, rows, key)
-    if task == BINARY and name in (LINEAR, "LGBM"):
+    if task == BINARY and name == "LGBM":
         rows = add_class_weights(rows, _LABEL, _WEIGHT)
     rows = rows.withColumn(_FOLD, fold_of("_key", CV_FOLDS))
     if name == LINEAR:
-        size = rows.agg(
-            F.count(F.lit(1)).alias("n"), F.var_pop(_LABEL).alias("v")
-        ).first()
-        estimator = _linear(task, size["n"], sqrt(size["v"] or 1.0), parallelism, penalties)
-    else:
-        chosen = {BOOSTING: None, "LGBM": grid or LGBM_GRID, "XGB": grid or XGB_GRID}[name]
-        estimator = _boosting(task, seed, trees, chosen, parallelism)
-        if task == BINARY and name == "LGBM":
-            estimator.getEstimator().setWeightCol(_WEIGHT)
+        return FittedModel(name, task, _train_linear(rows, task, labels, penalties), labels)
+    chosen = {BOOSTING: None, "LGBM": grid or LGBM_GRID, "XGB": grid or XGB_GRID}[name]
+    estimator = _boosting(task, seed, trees, chosen, parallelism)
+    if task == BINARY and name == "LGBM":
+        estimator.getEstimator().setWeightCol(_WEIGHT)
     return FittedModel(name, task, estimator.fit(rows), labels)

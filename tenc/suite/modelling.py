@@ -201,10 +201,7 @@ def run_fold(spark: SparkSession, folder: str) -> DataFrame:
     settings = X.Settings()
     prepared = materialise(X.prepare_rows(spark, dataset, settings))
     split = X.make_split(prepared, dataset, settings)
-    results = [
-        X.run_fold(prepared, split, fold, dataset, _BAYES, "L2RegularizedLinearModel", settings)
-        for fold in range(settings.n_splits)
-    ]
+    results = X.run_folds(prepared, split, dataset, _BAYES, "L2RegularizedLinearModel", settings)
     names = list(results[0])
     return spark.createDataFrame([tuple(r[c] for c in names) for r in results], [f"`{c}`" for c in names]).toDF(*names)
 
