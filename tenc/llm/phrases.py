@@ -1,9 +1,12 @@
 """Phrase collocations by stripes: every prefix keys a counter of the words that follow it.
 
-A stripe is a prefix of words with a counter of next words; its own total stands in the same counter
-under a missing word. Stripes are merged elementwise. All that follows is read from this one
-structure: an entry is the count of an extended phrase, the total that of the prefix, the largest
-entry says whether a longer phrase subsumes the prefix.
+A stripe is a prefix of words with a counter of next words. Stripes are merged elementwise. All that follows is
+read from this one structure: an entry is the count of an extended phrase and, one level down, the total of
+that phrase as a prefix; the largest entry of a stripe says whether a longer phrase subsumes its prefix. The stripe of no
+word also holds the number of all words, under a missing word.
+
+Stripes travel whole, by prefix. A prefix before many of all words (there cannot be many such) has its stripes cut
+into segments by the hash of the next word, in every task alike, so that its merging is spread.
 
 Stripes are made level by level, for prefixes of no word, one word, two words. A phrase cannot be
 more frequent than its parts, so a level leaves out prefixes and next words whose parts are rare;
@@ -35,9 +38,12 @@ UNKNOWN_LANGUAGE = "und"
 # Bits of the map of frequent phrases, a power of two: 16 MB. It affects work only.
 FREQUENT_BITS = 1 << 27
 # Words a task gathers before it gives its stripes away, and distinct ones.
-WORDS_HELD, VOCABULARY_HELD = 2_000_000, 400_000
+WORDS_HELD, VOCABULARY_HELD = 2_500_000, 500_000
 # Characters that are cut into words at a time; entries of one row of a stripe.
 PIECE_BYTES, ROW_ENTRIES = 1 << 20, 4096
+# A prefix is hot if it has one in so many of all words, so no more prefixes than this are. Its stripes have
+# so many segments; the stripe of all words has more.
+HOT_SHARE, SEGMENTS, WORD_SEGMENTS = 256, 32, 1024
 # Stands for a cut between pieces; no valid text holds this byte.
 _CUT = b"\xff"
 _SEED = 42
@@ -73,18 +79,20 @@ class _Words:
             self.size += len(words)
         self.parts.append(np.zeros(1, np.int32))
 
-    def stripes(self, lang: str, level: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Prefixes (a row of numbers each), and for every entry its prefix, next word (zero: total) and count, sorted."""
-        ids = np.concatenate(self.parts).astype(np.int64)
+    def stripes(self, lang: str, level: int, frequent: np.ndarray | None, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Prefixes (a row of numbers each), and for every entry its prefix, segment, next word (zero: all) and count."""
+        ids = np.concatenate(self.parts)
+        self.parts.clear()
         width = len(self.numbers)
+        seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.numbers), np.uint64, width)
         if level == 0:
             n = np.bincount(ids, minlength=width)
             n[0] = n.sum() - n[0]
-            return np.empty((1, 0), np.int64), np.arange(width), n
-        seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
-        hashes = np.fromiter(
-            (xxhash.xxh64_intdigest(w, seed) for w in self.numbers), np.uint64, width
-        )
+            segment = (hashes % np.uint64(WORD_SEGMENTS)).astype(np.int64)
+            segment[0] = 0
+            order = np.argsort(segment, kind="stable")
+            return np.empty((1, 0), np.int64), np.zeros(width, np.int64), segment[order], order, n[order]
         places = max(len(ids) - level + 1, 0)
         whole = np.ones(places, bool)
         mixed = np.zeros(places, np.uint64)
@@ -92,32 +100,43 @@ class _Words:
             part = ids[j : j + places]
             whole &= part != 0
             mixed = (mixed << np.uint64(1)) ^ hashes[part]
-        slot = mixed & np.uint64(FREQUENT_BITS - 1)
-        known = (frequent[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+        mixed &= np.uint64(FREQUENT_BITS - 1)
+        known = (frequent[(mixed >> np.uint64(3)).astype(np.int64)] >> (mixed & np.uint64(7)).astype(np.uint8)) & 1
         good = whole & (known == 1)
-        at = np.flatnonzero(good)
+        del mixed, known, whole
+        # Extended by one word where the part without the first word is frequent as well.
+        at = np.flatnonzero(good[:-1] & good[1:])
         prefixes, prefix = np.zeros((1, 0), np.int64), np.zeros(len(at), np.int64)
         for j in range(level):
             found, prefix = np.unique(prefix * width + ids[at + j], return_inverse=True)
             prefixes = np.column_stack([prefixes[found // width], found % width])
-        more = np.append(good[1:], False)[at]
-        following = ids[at[more] + level]
-        keys, n = np.unique(np.concatenate([prefix * width, prefix[more] * width + following]), return_counts=True)
-        return prefixes, keys, n
+        following = ids[at + level]
+        keys, n = np.unique(prefix * width + following, return_counts=True)
+        owner, word = keys // width, keys % width
+        whole_prefix = np.zeros(len(prefixes), np.uint64)
+        for j in range(level):
+            whole_prefix = (whole_prefix << np.uint64(1)) ^ hashes[prefixes[:, j]]
+        cut = np.isin(whole_prefix, hot)[owner]
+        segment = np.where(cut, (hashes[word] % np.uint64(SEGMENTS)).astype(np.int64), 0)
+        if cut.any():
+            order = np.argsort(owner * SEGMENTS + segment, kind="stable")
+            owner, segment, word, n = owner[order], segment[order], word[order], n[order]
+        return prefixes, owner, segment, word, n
 
 
-def _stripe_rows(lang: str, words: list[bytes], prefixes: np.ndarray, keys: np.ndarray, n: np.ndarray):
+def _stripe_rows(lang: str, words: list[bytes], prefixes, owner, segment, following, n):
     """Arrow batches of stripes; long ones are cut into several rows."""
-    width = len(words)
-    owner, following = keys // width, keys % width
-    fresh = np.flatnonzero(np.diff(owner, prepend=-1))
-    lengths = np.diff(np.append(fresh, len(keys)))
+    if not len(owner):
+        return
+    new = np.append(True, (np.diff(owner) != 0) | (np.diff(segment) != 0))
+    fresh = np.flatnonzero(new)
+    lengths = np.diff(np.append(fresh, len(owner)))
     rows = [
-        np.arange(a, a + size, ROW_ENTRIES) if size > ROW_ENTRIES else (a,)
+        np.arange(a, a + size, ROW_ENTRIES)
         for a, size in zip(fresh[lengths > ROW_ENTRIES].tolist(), lengths[lengths > ROW_ENTRIES].tolist())
     ]
     starts = np.unique(np.concatenate([fresh, *rows])) if rows else fresh
-    ends = np.append(starts[1:], len(keys))
+    ends = np.append(starts[1:], len(owner))
     names = pa.array([None, *words[1:]], pa.binary()).cast(pa.string())
     for a in range(0, len(starts), 20_000):
         first, last = starts[a : a + 20_000], ends[a : a + 20_000]
@@ -127,23 +146,24 @@ def _stripe_rows(lang: str, words: list[bytes], prefixes: np.ndarray, keys: np.n
         prefix = pc.binary_join_element_wise(*parts, " ") if parts else pa.array([""] * len(first), pa.string())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([lang] * len(first), pa.string()), prefix,
+                pa.array([lang] * len(first), pa.string()), prefix, pa.array(segment[first].astype(np.int32)),
                 pa.ListArray.from_arrays(offsets, names.take(pa.array(following[low:high]))),
-                pa.ListArray.from_arrays(offsets, pa.array(n[low:high].astype(np.int64))),
+                pa.ListArray.from_arrays(offsets, pa.array(n[low:high].astype(np.int32))),
             ],
-            ["lang", "prefix", "word", "n"],
+            ["lang", "prefix", "segment", "word", "n"],
         )
 
 
 def _level_stripes(batches, level: int, shared) -> Iterator[pa.RecordBatch]:
     """Stripes of all texts of a task; words are held in bounded number."""
-    frequent = None if shared is None else np.frombuffer(shared.value, np.uint8)
+    frequent, hot = (None, None) if shared is None else shared.value
+    frequent = None if shared is None else np.frombuffer(frequent, np.uint8)
     held: dict[str, _Words] = {}
     n_words = n_distinct = 0
 
     def given():
         for lang, words in held.items():
-            yield from _stripe_rows(lang, list(words.numbers), *words.stripes(lang, level, frequent))
+            yield from _stripe_rows(lang, list(words.numbers), *words.stripes(lang, level, frequent, hot))
         held.clear()
 
     for batch in batches:
@@ -160,18 +180,17 @@ def _level_stripes(batches, level: int, shared) -> Iterator[pa.RecordBatch]:
     yield from given()
 
 
-def _slot(lang: Column, phrase: Column) -> Column:
-    """The place of a phrase in the map of frequent ones; ``_Words.stripes`` computes the same."""
-    mixed = F.aggregate(
+def _mixed(lang: Column, phrase: Column) -> Column:
+    """A hash of a phrase from those of its words; ``_Words.stripes`` computes the same."""
+    return F.aggregate(
         F.split(phrase, " "), F.lit(0).cast("long"),
         lambda acc, w: F.shiftleft(acc, 1).bitwiseXOR(F.xxhash64(lang, w)),
     )
-    return mixed.bitwiseAND(F.lit(FREQUENT_BITS - 1).cast("long"))
 
 
 def _frequent_map(phrases: DataFrame) -> bytes:
     """The places of all ``phrases`` as a bitmap of fixed size, put together from a row per 4 KB."""
-    place = _slot(F.col("lang"), F.col("phrase")) + 1
+    place = _mixed(F.col("lang"), F.col("phrase")).bitwiseAND(F.lit(FREQUENT_BITS - 1).cast("long")) + 1
     rows = (
         phrases.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
@@ -185,11 +204,16 @@ def _frequent_map(phrases: DataFrame) -> bytes:
     return whole.tobytes()
 
 
+def _hot_phrases(phrases: DataFrame, n_words: int) -> np.ndarray:
+    """Hashes of the phrases with one in ``HOT_SHARE`` of all words, of which there are no more than that."""
+    hot = phrases.where(F.col("a") * HOT_SHARE >= n_words).select(_mixed(F.col("lang"), F.col("phrase")).alias("h"))
+    return np.array([r["h"] for r in hot.collect()], np.int64).view(np.uint64)
+
+
 def merged_stripes(docs: DataFrame, max_words: int = 3, min_count: int = 10) -> list[DataFrame]:
     """Merged stripes ``lang``, ``prefix``, ``word``, ``n`` of prefixes of 0 to ``max_words - 1`` words.
 
-    A missing ``word`` stands for the total of the prefix. Extensions that come less than ``min_count`` times are left
-    out. Entries are added by prefix and word together, so a prefix before a third of all words is spread like any other.
+    A missing ``word`` stands for all words. Extensions that come less than ``min_count`` times are left out.
     """
     # Bytes are lower-cased and cut in the tasks; only two columns are read.
     plain = docs.select(
@@ -197,17 +221,24 @@ def merged_stripes(docs: DataFrame, max_words: int = 3, min_count: int = 10) ->
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
     levels: list[DataFrame] = []
-    shared = None
+    shared, n_words = None, 0
     for level in range(max_words):
         made = plain.mapInArrow(
             partial(_level_stripes, level=level, shared=shared),
-            "lang string, prefix string, word array<string>, n array<long>",
+            "lang string, prefix string, segment int, word array<string>, n array<int>",
         )
-        entries = made.select("lang", "prefix", F.inline(F.arrays_zip("word", "n")))
-        added = entries.groupBy("lang", "prefix", "word").agg(F.sum("n").alias("n"))
-        levels.append(saved(added.where(F.col("word").isNull() | (F.col("n") >= min_count)), f"stripes-{level}"))
+        # Partitioned by a part of what is grouped by: stripes are unfolded and added where they arrive.
+        entries = made.repartition("lang", "prefix", "segment").select(
+            "lang", "prefix", "segment", F.inline(F.arrays_zip("word", "n"))
+        )
+        added = entries.groupBy("lang", "prefix", "segment", "word").agg(F.sum("n").alias("n"))
+        kept = added.where(F.col("word").isNull() | (F.col("n") >= min_count)).drop("segment")
+        levels.append(saved(kept, f"stripes-{level}"))
+        if level == 0:
+            n_words = levels[0].where("word is null").agg(F.sum("n")).first()[0] or 0
         if level + 1 < max_words:
-            shared = docs.sparkSession.sparkContext.broadcast(_frequent_map(_extensions(levels[-1], level)))
+            phrases = _extensions(levels[-1], level)
+            shared = docs.sparkSession.sparkContext.broadcast((_frequent_map(phrases), _hot_phrases(phrases, n_words)))
     return levels
 
 
@@ -233,7 +264,8 @@ def collocations(
     """
     levels = merged_stripes(docs, max_words, min_count)
     totals = reduce(
-        DataFrame.unionAll, [s.where("word is null").select("lang", F.col("prefix").alias("part"), "n") for s in levels[1:]]
+        DataFrame.unionAll,
+        [_extensions(s, level).select("lang", F.col("phrase").alias("part"), F.col("a").alias("n")) for level, s in enumerate(levels[:-1])],
     )
     n_words = levels[0].where("word is null").select("lang", "n")
     ranked = []
