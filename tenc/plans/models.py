@@ -1,31 +1,26 @@
-"""Models by name, trained by Spark ML, with the settings the benchmark compares."""
+"""Models by name, with the settings the benchmark compares."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.evaluation import Evaluator
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenc.functions.cleaning import quoted
-from tenc.functions.hashing import MODEL_SEED, SPLIT_SEED
 from tenc.operators.encoders.heldout import fold_of
 from tenc.operators.encoders.stats import BINARY, MULTICLASS, REGRESSION
-from tenc.operators.metrics import score_by_task
 from tenc.operators.neighbours import nearest, vote
-from tenc.operators.weights import add_class_weights
+from tenc.plans.boosting import BoostedModel, Growth, candidates, fit_boosting
 from tenc.plans.foldcube import FoldRows
 from tenc.plans.linear import LOGISTIC_CS, RIDGE_ALPHAS, LinearFit, fit_logistic, fit_ridge
 
 # The searched settings.
-LGBM_GRID = {"stepSize": (0.1, 0.05, 0.5), "maxDepth": (3, 4, 5)}
+LGBM_GRID = {"stepSize": (0.1, 0.05, 0.5), "numLeaves": (7, 15, 31)}
 XGB_GRID = {"stepSize": (0.1, 0.05, 0.3), "maxDepth": (3, 6, 9)}
 CV_FOLDS = 3
 N_TREES = 100
@@ -34,63 +29,14 @@ N_NEIGHBOURS = 5
 LINEAR = "L2RegularizedLinearModel"
 BOOSTING = "GradientBoosting"
 MODEL_NAMES = (LINEAR, BOOSTING, "LGBM", "XGB", "KNN")
+# How trees grow where a grid does not say otherwise.
+GROWTHS = {
+    BOOSTING: Growth(rate=0.1, max_depth=3, by_rows=True),
+    "LGBM": Growth(rate=0.1, max_leaves=31, min_rows=20, min_curve=1e-3),
+    "XGB": Growth(rate=0.3, max_depth=6, ridge=1.0, min_curve=1.0),
+}
 
-_FEATURES, _LABEL, _WEIGHT, _FOLD = "features", "label", "_weight", "_cv_fold"
-
-
-class TaskEvaluator(Evaluator):
-    """Scores a prediction table by the metric of the task."""
-
-    def __init__(self, task: str):
-        super().__init__()
-        self.task = task
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        scored = dataset.select(
-            F.col(_LABEL), _score_column(dataset, self.task).alias("_p")
-        )
-        score = score_by_task(scored, self.task, _LABEL, "_p").first()["score"]
-        # A candidate without a score must not win.
-        return float("-inf") if score is None else score
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
-def _score_column(predictions: DataFrame, task: str):
-    """Class-1 probability where there is one, else the decision score, else the prediction."""
-    if task == BINARY:
-        if "probability" in predictions.columns:
-            return vector_to_array("probability")[1]
-        if "rawPrediction" in predictions.columns:
-            return vector_to_array("rawPrediction")[1]
-    return F.col("prediction")
-
-
-def _search(estimator: Estimator, grid: list, task: str, parallelism: int) -> CrossValidator:
-    return CrossValidator(
-        estimator=estimator, estimatorParamMaps=grid, evaluator=TaskEvaluator(task),
-        numFolds=CV_FOLDS, seed=SPLIT_SEED, foldCol=_FOLD, parallelism=parallelism,
-    )
-
-
-def _each_class(binary: Estimator) -> OneVsRest:
-    """One binary model per class, against the rest."""
-    return OneVsRest(classifier=binary, featuresCol=_FEATURES, labelCol=_LABEL)
-
-
-def _boosting(task: str, seed: int, trees: int, grid: dict | None, parallelism: int) -> Estimator:
-    kind = GBTRegressor if task == REGRESSION else GBTClassifier
-    trees_model = kind(
-        featuresCol=_FEATURES, labelCol=_LABEL, maxIter=trees, stepSize=0.1, maxDepth=3, seed=seed
-    )
-    estimator = _each_class(trees_model) if task == MULTICLASS else trees_model
-    if grid is None:
-        return estimator
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(trees_model.getParam(name), list(values))
-    return _search(estimator, builder.build(), task, parallelism)
+_FEATURES, _LABEL, _FOLD = "features", "label", "_cv_fold"
 
 
 def _linear_prediction(fit: LinearFit):
@@ -109,6 +55,25 @@ def _linear_prediction(fit: LinearFit):
     return (F.array_position(margins, F.array_max(margins)) - 1).cast("double")
 
 
+def _boosted_prediction(model: BoostedModel):
+    @F.pandas_udf("double")
+    def predict(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype="float64")
+        return pd.Series(model.predict(np.stack(x.to_numpy())))
+
+    return predict(vector_to_array(_FEATURES))
+
+
+def _train_boosting(rows: DataFrame, name: str, task: str, labels: tuple[str, ...], trees: int, grid) -> BoostedModel:
+    chosen = {BOOSTING: {}, "LGBM": grid or LGBM_GRID, "XGB": grid or XGB_GRID}[name]
+    x = rows.select(F.col(_LABEL).alias("label"), F.col(_FOLD).alias("part"), vector_to_array(_FEATURES).alias("x"))
+    outputs = len(labels) if task == MULTICLASS and len(labels) > 2 else 1
+    # Two classes under names are a single margin as well.
+    kind = BINARY if task == MULTICLASS and outputs == 1 else task
+    return fit_boosting(x, kind, outputs, candidates(GROWTHS[name], chosen), trees, task == BINARY and name == "LGBM")
+
+
 def _train_linear(rows: DataFrame, task: str, labels: tuple[str, ...], penalties) -> LinearFit:
     """Fit on the vectors as they are; ``rows`` has the label and the number of the inner fold."""
     vectors = rows.select(
@@ -130,7 +95,7 @@ class FittedModel:
 
     name: str
     task: str
-    model: Model | LinearFit | None
+    model: BoostedModel | LinearFit | None
     labels: tuple[str, ...]
     train: DataFrame | None = None
     key: str | None = None
@@ -148,10 +113,11 @@ class FittedModel:
         elif self.name == LINEAR:
             out = x.withColumn("prediction", _linear_prediction(self.model))
         else:
-            out = self.model.transform(x)
-            out = out.withColumn("prediction", _score_column(out, self.task))
+            out = x.withColumn("prediction", _boosted_prediction(self.model))
         prediction = F.col("prediction")
         if self.task == MULTICLASS:
+            if isinstance(self.model, BoostedModel) and self.model.task == BINARY:
+                prediction = (prediction > 0.5).cast("int")
             names = F.array(*[F.lit(c) for c in self.labels])
             prediction = F.get(names, prediction.cast("int"))
         return out.select(
@@ -168,11 +134,13 @@ class FittedModel:
 
 
 def train_model(
-    df: DataFrame, name: str, task: str, y: str, key: str, seed: int = MODEL_SEED,
-    trees: int = N_TREES, parallelism: int = 2, penalties: tuple[float, ...] | None = None,
-    grid: dict | None = None,
+    df: DataFrame, name: str, task: str, y: str, key: str, trees: int = N_TREES,
+    penalties: tuple[float, ...] | None = None, grid: dict | None = None,
 ) -> FittedModel:
-    """Train on a table with ``features``; folds of a search follow the row key."""
+    """Train on a table with ``features``; folds of a search follow the row key.
+
+    Nothing is drawn at random, so there is no seed: the same rows give the same model.
+    """
     if name not in MODEL_NAMES:
         raise ValueError(f"unknown model {name!r}, expected one of {MODEL_NAMES}")
     labels: tuple[str, ...] = ()
@@ -188,13 +156,7 @@ def train_model(
         rows = rows.withColumn(_LABEL, F.col("_y").cast("double"))
     if name == "KNN":
         return FittedModel(name, task, None, labels, rows, key)
-    if task == BINARY and name == "LGBM":
-        rows = add_class_weights(rows, _LABEL, _WEIGHT)
     rows = rows.withColumn(_FOLD, fold_of("_key", CV_FOLDS))
     if name == LINEAR:
         return FittedModel(name, task, _train_linear(rows, task, labels, penalties), labels)
-    chosen = {BOOSTING: None, "LGBM": grid or LGBM_GRID, "XGB": grid or XGB_GRID}[name]
-    estimator = _boosting(task, seed, trees, chosen, parallelism)
-    if task == BINARY and name == "LGBM":
-        estimator.getEstimator().setWeightCol(_WEIGHT)
-    return FittedModel(name, task, estimator.fit(rows), labels)
+    return FittedModel(name, task, _train_boosting(rows, name, task, labels, trees, grid), labels)

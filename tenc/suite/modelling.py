@@ -141,7 +141,7 @@ def model_logistic(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     df = table(spark, folder, "documents").join(labels, "doc_id")
     x = _fitted_features(df, QUALITY_ROLES, BINARY, "quality", "doc_id")
-    model = train_model(x, "L2RegularizedLinearModel", BINARY, "quality", "doc_id", parallelism=4)
+    model = train_model(x, "L2RegularizedLinearModel", BINARY, "quality", "doc_id")
     return model.predict(x)
 
 
@@ -163,7 +163,7 @@ def model_gbt(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("model_gbt_multiclass")
 def model_gbt_multiclass(spark: SparkSession, folder: str) -> DataFrame:
-    """Boosted trees per class against the rest; one hundred trees each."""
+    """One hundred rounds of boosted trees on the joint deviance of all classes."""
     df = table(spark, folder, "orders")
     x = _fitted_features(df, STATUS_ROLES, MULTICLASS, "o_orderstatus", "o_orderkey")
     model = train_model(x, "GradientBoosting", MULTICLASS, "o_orderstatus", "o_orderkey")
@@ -172,11 +172,11 @@ def model_gbt_multiclass(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("model_gbt_grid")
 def model_gbt_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Boosting with a searched step size and depth; one hundred trees per candidate."""
+    """Leaf-wise boosting with a searched step size and number of leaves; one hundred trees per candidate."""
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     df = table(spark, folder, "documents").join(labels, "doc_id")
     x = _fitted_features(df, QUALITY_ROLES, BINARY, "quality", "doc_id")
-    model = train_model(x, "LGBM", BINARY, "quality", "doc_id", parallelism=4)
+    model = train_model(x, "LGBM", BINARY, "quality", "doc_id")
     return model.predict(x)
 
 
