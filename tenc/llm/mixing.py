@@ -139,9 +139,18 @@ def _hash_digits(n: int) -> int:
 
 
 def _weighted(docs: DataFrame, weights: DataFrame | None) -> DataFrame:
-    """``source`` and ``weight`` (zero at least) of every source of ``docs``."""
+    """``source`` and ``weight`` (zero at least) of every source of ``docs``.
+
+    Weights given for one source several times are added up; what is no finite number counts as zero.
+    """
     if weights is None:
         weights = default_weights(docs)
+    else:
+        weight = F.col("weight").cast("double")
+        finite = ~F.isnan(weight) & (F.abs(weight) != float("inf"))
+        weights = weights.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
+            F.sum(F.when(finite, weight).otherwise(F.lit(0.0))).alias("weight")
+        )
     return sized(docs).select("source").distinct().join(weights, "source", "left").select(
         "source", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight")
     )

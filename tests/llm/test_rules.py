@@ -211,3 +211,14 @@ def test_mixed_follows_unrounded_weights(spark):
     weights = spark.createDataFrame([("hot", 1 / 3)] + [(f"s{i}", 2 / 1200) for i in range(400)], "source string, weight double")
     order = [r["source"] for r in mixing.mixed(docs, weights, block_chars=10).collect()]
     assert all(abs(order[:t].count("hot") - t / 3) < 1.000001 for t in range(1201))
+
+
+def test_weights_given_twice_or_not_finite(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], "x" * 50) for i in range(20)], "doc_id long, source string, text string")
+    weights = spark.createDataFrame(
+        [("a", 1.0), ("a", 2.0), ("b", float("nan")), ("b", float("inf")), ("b", None), ("b", -1.0), (None, 4.0)], "source string, weight double"
+    )
+    assert sorted(r["doc_id"] for r in mixing.positions(docs, weights, block_chars=100).collect()) == list(range(20))
+    order = [r["source"] for r in mixing.mixed(docs, weights, block_chars=100).collect()]
+    # Only the first source has a weight, so the other comes last.
+    assert order == ["a"] * 10 + ["b"] * 10
