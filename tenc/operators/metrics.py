@@ -19,17 +19,18 @@ SCORE_TYPES = {
 
 
 def r2_score(df: DataFrame, y: str, prediction: str, by: list[str] | None = None) -> DataFrame:
-    """One minus residual over total sum of squares, in one pass."""
+    """One minus residual over total sum of squares, in one pass; rows without a prediction are in neither sum."""
     by = by or []
-    label = quoted(y).cast("double")
+    label = F.when(quoted(prediction).isNotNull(), quoted(y).cast("double"))
     error = label - quoted(prediction).cast("double")
     sums = df.groupBy(*by).agg(
         F.sum(error * error).alias("_sse"),
         (F.var_pop(label) * F.count(label)).alias("_sst"),
+        F.count(label).alias("_rows"),
     )
     score = F.when(F.col("_sst") > 0, F.lit(1.0) - F.try_divide("_sse", "_sst"))
     perfect = F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return sums.select(*by, F.coalesce(score, perfect).alias("score"))
+    return sums.select(*by, F.when(F.col("_rows") > 0, F.coalesce(score, perfect)).alias("score"))
 
 
 def accuracy_score(

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import exp, factorial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenc.functions.hashing import SPLIT_SEED, key_hash, uniform
 from tenc.operators.relate import first_per_key
 
 RUN_GROUP = ["dataset", "encoder", "clf"]
@@ -54,6 +56,38 @@ def score_curve(
     )
 
 
+# How often a row is drawn again: cumulative chances of the Poisson numbers 0, 1, 2, ... of mean one.
+POISSON_CUTS = tuple(sum(exp(-1) / factorial(i) for i in range(k + 1)) for k in range(12))
+
+
+def score_interval(
+    results: DataFrame, condition: str, keys: list[str], time: str = "threshold", value: str = "score",
+    replicates: int = 1000, level: float = 0.95, seed: int = SPLIT_SEED,
+) -> DataFrame:
+    """Mean score per condition and threshold with a bootstrap interval: percentiles of the means of ``replicates``.
+
+    In each replicate a row counts a Poisson number of times that follows from a hash of its ``keys`` and the
+    replicate (four replicates share a digest), so all of them are sums of one aggregate, and the same
+    rows give the same interval on any cluster. A replicate in which a group has no row is left out.
+    """
+    digests = F.transform(F.sequence(F.lit(0), F.lit((replicates - 1) // 4)), lambda b: F.struct(b.alias("b"), key_hash(keys, seed, b).alias("h")))
+    drawn = results.select(condition, time, F.col(value).alias("_value"), F.inline(digests))
+    uniforms = F.array(*[F.struct((F.col("b") * 4 + w).alias("_replicate"), uniform("h", w).alias("_u")) for w in range(4)])
+    spread = drawn.select(condition, time, "_value", F.inline(uniforms)).where(F.col("_replicate") < replicates)
+    times = sum((F.col("_u") >= c).cast("int") for c in POISSON_CUTS)
+    kept = spread.where("_value is not null").select(condition, time, "_value", "_replicate", times.alias("_times"))
+    means = kept.groupBy(condition, time, "_replicate").agg(
+        F.try_divide(F.sum(F.col("_times") * F.col("_value")), F.sum("_times")).alias("_mean")
+    )
+    tail = (1 - level) / 2
+    bounds = means.groupBy(condition, time).agg(F.percentile("_mean", F.array(F.lit(tail), F.lit(1 - tail))).alias("_p"))
+    plain = results.groupBy(condition, time).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (condition, time)]
+    return plain.alias("p").join(bounds.alias("b"), same, "left").select(
+        F.col(f"p.{condition}"), F.col(f"p.{time}"), "mean", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), "n"
+    )
+
+
 def score_range(results: DataFrame, value: str = "score") -> DataFrame:
     return results.agg(
         F.min(value).alias("lowest"), F.max(value).alias("highest"), F.avg(value).alias("mean")

@@ -377,6 +377,36 @@ def score_curve(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(curve, "mean", "low", "high", digits=12)
 
 
+_INTERVAL_KEYS = ["dataset", "encoder", "clf", "fold"]
+_INTERVAL_DIGEST = " || '|' || ".join(
+    f"length({c}::VARCHAR) || ':' || {c}::VARCHAR" for c in _INTERVAL_KEYS
+) + " || '|32|' || (b // 4)::VARCHAR"
+
+
+@query(
+    "score_interval",
+    f"""
+WITH {_THRESHOLDS_SQL},
+drawn AS (
+  SELECT encoder, threshold, score, b, ('0x' || substr(md5({_INTERVAL_DIGEST}), 1 + 8 * (b % 4)::INTEGER, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM (SELECT *, unnest(range(1000)) AS b FROM curve)),
+counted AS (SELECT *, {" + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in reports.POISSON_CUTS)} AS times FROM drawn),
+means AS (
+  SELECT encoder, threshold, b, sum(times * score) / nullif(sum(times), 0)::DOUBLE AS mean FROM counted GROUP BY ALL),
+bounds AS (
+  SELECT encoder, threshold, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM means GROUP BY ALL),
+plain AS (SELECT encoder, threshold, avg(score) AS mean, count(*) AS n FROM curve GROUP BY ALL)
+SELECT encoder, threshold, round(mean + 3e-9::DOUBLE, 7) AS mean, round(low + 3e-9::DOUBLE, 7) AS low, round(high + 3e-9::DOUBLE, 7) AS high, n
+FROM plain JOIN bounds USING (encoder, threshold)""",
+)
+def score_interval(spark: SparkSession, folder: str) -> DataFrame:
+    """The curve of scores with bootstrap intervals of one thousand replicates."""
+    found = reports.score_interval(_thresholds(spark, folder), "encoder", _INTERVAL_KEYS)
+    # Scores are short decimals, so a mean can lie just between two rounded values; a little more decides.
+    moved = found.withColumns({c: F.col(c) + 3e-9 for c in ("mean", "low", "high")})
+    return rounded(moved, "mean", "low", "high", digits=7)
+
+
 @query(
     "score_range",
     f"""

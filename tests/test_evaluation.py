@@ -72,6 +72,9 @@ def test_r2_and_accuracy(spark):
     y, p = np.array([1, 2, 4.0]), np.array([1.5, 2, 3])
     expected = 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert metrics.r2_score(df, "y", "p").first().score == pytest.approx(expected)
+    missing = df.union(spark.createDataFrame([(90.0, None), (None, 3.0)], df.schema))
+    assert metrics.r2_score(missing, "y", "p").first().score == pytest.approx(expected)
+    assert metrics.r2_score(missing.where("p is null"), "y", "p").first().score is None
     constant = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "y double, p double")
     assert metrics.r2_score(constant, "y", "p").first().score == 1.0
     labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", None)], "y string, p string")
@@ -193,3 +196,24 @@ def test_preset_of_drawn_columns(rows):
     row = out.agg(F.max("cat1"), F.max("cat2"), F.max("cat3"), F.count("cat1")).first()
     assert row[0] <= 100 and row[1] <= 10 and row[2] <= 3 and row[3] == 1000
     assert not math.isnan(row[0])
+
+
+def test_bootstrap_intervals(spark):
+    from tenc.plans.reports import POISSON_CUTS, score_interval
+
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i}", i % 2, float(rng.normal(i % 2, 1)), i) for i in range(400)] + [("r0", 0, None, 999)]
+    df = spark.createDataFrame(rows, "name string, threshold int, score double, fold int").withColumn("encoder", F.lit("e"))
+    found = {r["threshold"]: r for r in score_interval(df, "encoder", ["name", "fold"]).collect()}
+    again = score_interval(df.repartition(7), "encoder", ["name", "fold"]).collect()
+    for r in again:
+        assert (r["low"], r["high"]) == pytest.approx((found[r["threshold"]]["low"], found[r["threshold"]]["high"]))
+    for t in (0, 1):
+        values = np.array([s for _, g, s, _ in rows if g == t and s is not None])
+        means = [rng.choice(values, len(values)).mean() for _ in range(4000)]
+        assert found[t]["n"] == len(values) and found[t]["mean"] == pytest.approx(values.mean())
+        assert [found[t]["low"], found[t]["high"]] == pytest.approx(np.percentile(means, [2.5, 97.5]), abs=0.03)
+    one = spark.createDataFrame([("a", 1, 0.5, 1)], "name string, threshold int, score double, fold int").withColumn("encoder", F.lit("e"))
+    only = score_interval(one, "encoder", ["name", "fold"]).first()
+    assert (only["low"], only["mean"], only["high"]) == (0.5, 0.5, 0.5)
+    assert POISSON_CUTS[0] == pytest.approx(math.exp(-1)) and 1 - POISSON_CUTS[-1] < 1e-8
