@@ -125,13 +125,17 @@ OWN_ROLES: dict[str, dict] = {
 
 @dataclass(frozen=True)
 class Recipe:
-    """``path`` is relative to the data folder; ``load`` replaces the plain read if given."""
+    """``path`` is relative to the data folder; ``load`` replaces the plain read if given.
+
+    ``index`` names the column that identifies a row; an empty name is the first column.
+    """
 
     name: str
     path: str
     read: Mapping = field(default_factory=dict)
     clean: Clean | None = None
     load: Load | None = None
+    index: str | None = None
 
     def table(self, spark: SparkSession, data: str) -> DataFrame:
         """The cleaned raw table, all text columns still text."""
@@ -328,7 +332,7 @@ RECIPES: dict[str, Recipe] = {
         ),
         Recipe(
             "colleges", "colleges/raw/Colleges.txt", {"sep": "\t", "encoding": _LATIN1},
-            _colleges,
+            _colleges, index="UNITID",
         ),
         Recipe(
             "beer_reviews", "beer_reviews/raw/beer_reviews.csv",
@@ -354,8 +358,8 @@ RECIPES: dict[str, Recipe] = {
             "intrusion_detection", "intrusion_detection/raw/kddcup.data_10_percent",
             {"names": INTRUSION_COLUMNS}, _replacing(_NO_BREAK_SPACE),
         ),
-        Recipe("emobank", "emobank/raw/emobank.csv"),
-        Recipe("text_emotion", "text_emotion/raw/text_emotion.csv"),
+        Recipe("emobank", "emobank/raw/emobank.csv", index="id"),
+        Recipe("text_emotion", "text_emotion/raw/text_emotion.csv", index="tweet_id"),
         Recipe("open_payments", "docs_payments/tables", load=_open_payments),
         Recipe("road_safety", "road_safety/raw", load=_road_safety),
         Recipe(
@@ -370,14 +374,14 @@ RECIPES: dict[str, Recipe] = {
         Recipe("dating_profiles", "dating_profiles/raw/profiles.csv", {"multiline": True}),
         Recipe("cacao_flavors", "cacao_flavors/raw/flavors_of_cacao.csv", {"multiline": True}, _cacao),
         Recipe("wine_reviews", "wine_reviews/raw/winemag-data_first150k.csv"),
-        Recipe("house_prices", "house_prices/raw/train.csv", clean=_houses),
+        Recipe("house_prices", "house_prices/raw/train.csv", clean=_houses, index=""),
         Recipe(
             "kickstarter_projects", "kickstarter_projects/raw/ks-projects-201612.csv",
-            {"encoding": _LATIN1}, _kickstarter,
+            {"encoding": _LATIN1}, _kickstarter, index="",
         ),
         Recipe("building_permits", "building_permits/raw/building-permits.csv.gz", clean=_permits),
         Recipe("california_housing", "california_housing/raw/housing.csv"),
-        Recipe("house_sales", "house_sales/raw/kc_house_data.csv"),
+        Recipe("house_sales", "house_sales/raw/kc_house_data.csv", index=""),
         Recipe(
             "vancouver_employee",
             "vancouver_employee/raw/2017StaffRemunerationOver75KWithExpenses.csv",
@@ -391,9 +395,9 @@ RECIPES: dict[str, Recipe] = {
 }
 
 
-def typed_by_role(df: DataFrame, roles: Mapping[str, str], task: str) -> DataFrame:
-    """Keep the columns with a role, numbers and numeric targets as doubles, the rest as text."""
-    chosen = []
+def typed_by_role(df: DataFrame, roles: Mapping[str, str], task: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Keep the columns with a role, numbers and numeric targets as doubles, the rest as text; ``keep`` as it is."""
+    chosen = [quoted(c) for c in keep]
     for c, role in roles.items():
         if role == DELETE:
             continue
@@ -417,6 +421,11 @@ def get_dataset(name: str, data: str, catalogue: Mapping[str, dict] | None = Non
     roles, task = entries[name]["col_action"], entries[name]["clf_type"]
 
     def load(spark: SparkSession) -> DataFrame:
-        return with_row_key(typed_by_role(RECIPES[name].table(spark, data), roles, task))
+        recipe = RECIPES[name]
+        raw = recipe.table(spark, data)
+        if recipe.index is None:
+            return with_row_key(typed_by_role(raw, roles, task))
+        keyed = with_row_key(raw, index=recipe.index or raw.columns[0])
+        return typed_by_role(keyed, roles, task, keep=("row_id",))
 
     return Dataset(name, task, roles, "row_id", load)

@@ -145,12 +145,17 @@ def names_from_dictionary(dictionary: DataFrame, column: str = "Column Name") ->
 def with_row_key(df: DataFrame, name: str = "row_id", index: str | None = None) -> DataFrame:
     """Add a key per row that does not depend on how the input was cut into tasks.
 
-    The key is the text of the ``index`` column where there is one. Otherwise it is a hash of the
-    row's contents and, among rows that are equal in all columns and so interchangeable, their number.
+    The key is the text of the ``index`` column where there is one; of rows that share it all but the first, in the
+    order of a hash of their contents, have their number behind it. Without an index, or where it is missing, the key is
+    a hash of the row's contents and, among rows that are equal in all columns and so interchangeable, their number.
     """
-    if index is not None:
-        return df.withColumn(name, quoted(index).cast("string"))
     digest = F.md5(F.to_json(F.struct(*[quoted(c) for c in df.columns]), {"ignoreNullFields": "false"}))
+    if index is not None:
+        held = df.withColumn("_digest", digest).withColumn("_held", F.coalesce(quoted(index).cast("string"), F.col("_digest")))
+        place = F.row_number().over(Window.partitionBy("_held").orderBy("_digest"))
+        numbered = held.withColumn("_place", place)
+        key = F.when(F.col("_place") == 1, F.col("_held")).otherwise(F.concat_ws("#", "_held", "_place"))
+        return numbered.withColumn(name, key).drop("_digest", "_held", "_place")
     within = Window.partitionBy("_digest").orderBy("_digest")
     return (
         df.withColumn("_digest", digest)

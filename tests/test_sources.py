@@ -301,3 +301,23 @@ def test_stored_runs_can_be_filtered_by_reduction(spark, tmp_path):
     path = str(tmp_path / "reduced")
     R.write_runs(spark.createDataFrame([record("one", "e1")], R.RUN_SCHEMA), path)
     assert reports.filter_runs(R.read_runs(spark, path), {"reduction_method": "pca", "n_components": 3}).count() == 0
+
+
+def test_index_columns_are_row_keys(spark, tmp_path):
+    put(tmp_path, "house_sales/raw/kc_house_data.csv", "id,price,grade\n71,9,1\n72,8,2\n71,7,3\n,6,4\n71,7,3\n")
+    roles = {"house_sales": {"clf_type": "regression", "col_action": {"price": "y", "grade": "Numerical"}}}
+    item, df = dataset(spark, tmp_path, "house_sales", roles)
+    rows = df.collect()
+    keys = sorted(r["row_id"] for r in rows)
+    assert item.key == "row_id" and df.columns == ["row_id", "price", "grade"] and len(set(keys)) == 5
+    assert {"71", "72", "71#2", "71#3"} < set(keys)
+    # The same row has the same key however the table is cut.
+    raw = recipes.RECIPES["house_sales"].table(spark, str(tmp_path))
+    one, five = (
+        sorted((r["row_id"], r["price"]) for r in with_row_key(raw.repartition(n), index="id").collect()) for n in (1, 5)
+    )
+    assert one == five
+    put(tmp_path, "emobank/raw/emobank.csv", "id,V,text\n110_1,3.2,Fine day\n110_2,2.0,Rain\n")
+    roles = {"emobank": {"clf_type": "regression", "col_action": {"V": "y", "text": "Special"}}}
+    _, df = dataset(spark, tmp_path, "emobank", roles)
+    assert {r["row_id"]: r["V"] for r in df.collect()} == {"110_1": 3.2, "110_2": 2.0}
