@@ -33,7 +33,7 @@ from tenc.llm.common import map_texts
 FREQUENT = 65_536
 SAMPLE_DOCS = 4_000
 # Bytes of pre-tokens and encodings that a task keeps before it starts its cache afresh.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 64 << 20
 # Characters that a long text is cut to, at white space, before it is split.
 PIECE_CHARS = 1 << 20
 
