@@ -341,6 +341,40 @@ def ball_by_row(spark: SparkSession, folder: str) -> DataFrame:
     return ball_by_value(table(spark, folder, "pages"), "url", [0.0, 0.2, 0.4, 1.0])
 
 
+_EDIT_BINS = [0.0, 0.7, 0.8, 0.9, 1.0]
+_EDIT_SQL = """
+WITH values AS (SELECT url AS value, count(*) AS weight FROM pages WHERE url IS NOT NULL GROUP BY url),
+pairs AS (SELECT a.value, a.weight,
+                 1 - levenshtein(a.value, b.value) / greatest(length(a.value), length(b.value), 1)::DOUBLE AS sim
+          FROM values a CROSS JOIN values b)"""
+
+
+@query(
+    "edit_ball",
+    f"""{_EDIT_SQL},
+bins AS (SELECT unnest([{", ".join(f"{b}::DOUBLE" for b in _EDIT_BINS)}]) AS bin)
+SELECT bin, sum(CASE WHEN sim >= bin - 1e-9 THEN weight ELSE 0 END)::BIGINT AS n_pairs,
+       round(sum(CASE WHEN sim >= bin - 1e-9 THEN weight ELSE 0 END)
+             / (SELECT sum(weight) FROM values)::DOUBLE, 6) AS per_row
+FROM pairs CROSS JOIN bins GROUP BY 1""",
+)
+def edit_ball(spark: SparkSession, folder: str) -> DataFrame:
+    """Addresses within an edit similarity of each other."""
+    return rounded(ball_counts(table(spark, folder, "pages"), "url", _EDIT_BINS, "levenshtein"), "per_row")
+
+
+@query(
+    "edit_ball_by_row",
+    f"""{_EDIT_SQL},
+radii AS (SELECT unnest([0.0::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 1.0::DOUBLE]) AS radius)
+SELECT value, radius, sum(CASE WHEN 1 - sim <= radius + 1e-9 THEN 1 ELSE 0 END)::BIGINT AS n
+FROM pairs CROSS JOIN radii GROUP BY 1, 2""",
+)
+def edit_ball_by_row(spark: SparkSession, folder: str) -> DataFrame:
+    """How many addresses each address has within an edit distance relative to the longer one."""
+    return ball_by_value(table(spark, folder, "pages"), "url", [0.0, 0.2, 0.3, 1.0], "levenshtein")
+
+
 @query(
     "zipf_pmf",
     """

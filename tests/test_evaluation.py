@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenc.functions import similarity as S
-from tenc.operators import metrics, neighbours, similarity, synth
+from tenc.operators import blocks, metrics, neighbours, similarity, synth
 from tenc.operators.encoders.stats import MULTICLASS, REGRESSION
 from tenc.operators.scaling import fit_scaling
 from tenc.operators.splits import class_sizes, shuffle_split, stratified_split
@@ -172,6 +172,70 @@ def test_similar_pairs_need_a_positive_threshold(words):
         similarity.similar_pairs(words[1].select(F.col("w").alias("value")), 0.0)
 
 
+def brute_edit_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return 1 - row[-1] / max(len(a), len(b), 1)
+
+
+def edited_texts():
+    """Names with none to several edits, short and long ones, wide characters, and one common beginning."""
+    rng, texts = random.Random(5), {"", "a", "ab", "ba", "日本語", "日本", "e\u0301tude"}
+    for n in (1, 2, 3, 5, 8, 13, 21):
+        for _ in range(6):
+            name = [rng.choice("abc") for _ in range(n)]
+            texts.add("".join(name))
+            for _ in range(4):
+                where, what = rng.randrange(len(name)), rng.randrange(3)
+                name[where:where + (what != 0)] = [rng.choice("abcd")] if what != 1 else []
+                name = name or ["a"]
+                texts.add("".join(name))
+    return sorted(texts | {f"https://x.example/{i % 7}/{i}" for i in range(60)})
+
+
+@pytest.mark.parametrize("threshold", [0.51, 0.6, 0.75, 0.9, 1.0])
+@pytest.mark.parametrize("block_rows", [3, 2000])
+def test_edit_pairs_equal_all_pairs(spark, threshold, block_rows):
+    texts = edited_texts()
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    rows = similarity.similar_pairs(df, threshold, "levenshtein", block_rows).collect()
+    expected = {
+        (a, b): s for a in texts for b in texts
+        if a != b and (s := brute_edit_similarity(a, b)) >= threshold - 1e-9
+    }
+    assert len(rows) == len(expected)
+    assert {(r.left, r.right): r.sim for r in rows} == pytest.approx(expected)
+
+
+def test_gram_pairs_in_blocks_come_out_once(spark):
+    texts = [f"https://shared.example/{i % 5}/{i}" for i in range(80)]
+    df = spark.createDataFrame([(t,) for t in texts], "value string")
+    for block_rows in (4, 2000):
+        rows = similarity.similar_pairs(df, 0.5, block_rows=block_rows).collect()
+        assert len(rows) == len({(r.left, r.right) for r in rows})
+        assert {(r.left, r.right) for r in rows} == {
+            (a, b) for a in texts for b in texts if a != b and brute_similarity(a, b) >= 0.5 - 1e-9
+        }
+
+
+def test_blocks_bound_the_rows_of_a_hot_key(spark):
+    """One key in every row: no group of the join is larger than a few blocks."""
+    left = spark.range(300).select(F.lit("k").alias("key"), F.col("id").alias("a"))
+    right = spark.range(300).select(F.lit("k").alias("key"), F.col("id").alias("b"))
+    joined = blocks.join_in_blocks(left, right, "key", "a", "b", 20)
+    assert joined.count() == 90_000 and joined.distinct().count() == 90_000
+    dealt = left.groupBy(F.pmod(F.xxhash64("a"), F.lit(15))).count().agg(F.max("count")).first()[0]
+    assert dealt < 60
+
+
+def test_edit_similarity_needs_more_than_a_half(words):
+    with pytest.raises(ValueError):
+        similarity.similar_pairs(words[1].select(F.col("w").alias("value")), 0.5, "levenshtein")
+
+
 def test_zipf_law(spark):
     rows = synth.zipf_pmf(spark, 50, 1.5).orderBy("category").collect()
     total = sum(i**-1.5 for i in range(1, 51))
