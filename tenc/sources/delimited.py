@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenc.functions.cleaning import quoted
+from tenc.session import written
 
 # Texts that stand for a missing value in the raw files.
 NULL_MARKERS = (
@@ -40,7 +41,7 @@ def read_delimited(
     sep: str = ",",
     encoding: str = "UTF-8",
     names: list[str] | None = None,
-    multiline: bool = False,
+    multiline: bool | str = False,
     preamble: int = 0,
     markers: Iterable[str] | None = NULL_MARKERS,
 ) -> DataFrame:
@@ -48,7 +49,16 @@ def read_delimited(
 
     ``names`` reads a file without header. ``preamble`` skips that many lines before the header
     of each file. Gzip and bzip2 files are read as they are; zip archives need repacking first.
+
+    ``multiline=True`` lets cells hold line breaks; one task then reads a whole file. With
+    ``multiline="split"`` many tasks read a file (``read_split``): for UTF-8 without a preamble,
+    where quotes occur in quoted cells only.
     """
+    if multiline == "split":
+        if preamble or encoding.upper().replace("-", "") != "UTF8":
+            raise ValueError("a split read needs UTF-8 and no preamble")
+        df = read_split(spark, path, sep, names)
+        return null_markers_to_null(df, markers) if markers is not None else df
     reader = (
         spark.read.option("sep", sep)
         .option("encoding", encoding)
@@ -93,12 +103,16 @@ def _header_names(
     )
     if len(headers) != 1:
         raise ValueError("the files have different headers" if headers else "no header line")
-    header = headers[0]["value"]
+    return _cells(spark, headers[0]["value"], sep)
+
+
+def _cells(spark: SparkSession, header: str, sep: str) -> list[str]:
+    """The cells of a header as column names; empty ones are named by their place."""
     width = header.count(sep) + 1
     cells = (
         spark.createDataFrame([(header,)], "value string")
         .select(F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)), {
-            "sep": sep, "quote": '"', "escape": '"', "nullValue": "",
+            "sep": sep, "quote": '"', "escape": '"', "nullValue": "", "multiLine": "true",
         }).alias("r")).first()["r"]
     )
     found = list(cells)
@@ -137,6 +151,63 @@ def _skip_lines(
     )
 
 
+def read_split(
+    spark: SparkSession, path: str | list[str], sep: str = ",", names: list[str] | None = None
+) -> DataFrame:
+    """Delimited text with line breaks in quoted cells, each file read by as many tasks as it has blocks.
+
+    A line starts a record if an even number of quotes lies before it in its file. Quotes are counted
+    by block, a row for each block is summed up over the file, and lines are numbered inside their
+    block only. Lines that are whole records are parsed where they are; only the lines of longer
+    records meet by record. Lines end in a line feed, with or without a carriage return before it.
+    Empty lines between records are left out. Without ``names`` the first record of every file is the
+    header, which must be the same in all.
+    """
+    lines = _numbered(spark.read.option("lineSep", "\n").text(path)).withColumn(
+        "_odd", F.length(F.regexp_replace("value", '[^"]', "")) % 2
+    )
+    block, inside = ["_file", "_start"], Window.partitionBy("_file", "_start").orderBy("_at")
+    before = F.sum("_odd").over(inside) - F.col("_odd")
+    numbered = lines.withColumn("_before", before)
+    # A row a block: its quotes, and its last record start for either state that it may begin in.
+    per_block = numbered.groupBy(*block).agg(
+        F.sum("_odd").alias("_quotes"),
+        F.max(F.when(F.col("_before") % 2 == 0, F.col("_at"))).alias("_last0"),
+        F.max(F.when(F.col("_before") % 2 == 1, F.col("_at"))).alias("_last1"),
+    )
+    along = Window.partitionBy("_file").orderBy("_start")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    states = per_block.withColumn(
+        "_state", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2
+    ).withColumn("_last", F.when(F.col("_state") == 0, F.col("_last0")).otherwise(F.col("_last1")))
+    carried = states.select(*block, "_state", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    placed = numbered.join(carried, block)
+    starts = (F.col("_before") + F.col("_state")) % 2 == 0
+    # A line inside a record belongs to the last start of its block or else of the blocks before.
+    record = F.coalesce(F.last(F.when(starts, F.col("_at")), ignorenulls=True).over(inside), F.col("_carried"))
+    marked = placed.select("_file", "_at", "value", record.alias("_record"), (starts & (F.col("_odd") == 0)).alias("_whole"))
+    whole = marked.where("_whole").select("_file", "_record", "value")
+    folded = marked.where("NOT _whole").groupBy("_file", "_record").agg(
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), "\n"
+        ).alias("value")
+    )
+    records = whole.unionByName(folded).withColumn("value", F.regexp_replace("value", r"\r\z", "")).where("value <> ''")
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    if names is None:
+        # One record a file, and of equal ones one reaches the driver.
+        tops = records.groupBy("_file").agg(F.min("_record").alias("_record"))
+        records = written(records, "records")
+        heads = records.join(tops, ["_file", "_record"]).select("value").distinct().limit(2).collect()
+        if len(heads) != 1:
+            raise ValueError("the files have different headers" if heads else "no header line")
+        names = _cells(spark, heads[0]["value"], sep)
+        records = records.join(tops.withColumnRenamed("_record", "_top"), "_file").where("_record > _top")
+    schema = text_schema(f"c{i}" for i in range(len(names)))
+    parsed = records.select(F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "), options).alias("r"))
+    return parsed.select(*[F.col("r")[f"c{i}"].alias(n) for i, n in enumerate(names)])
+
+
 def names_from_dictionary(dictionary: DataFrame, column: str = "Column Name") -> list[str]:
     """Column names listed in a data dictionary file, in file order (one row per column)."""
     return [r[0] for r in dictionary.select(quoted(column)).collect()]
@@ -165,6 +236,6 @@ def with_row_key(df: DataFrame, name: str = "row_id", index: str | None = None)
 
 
 __all__ = [
-    "NULL_MARKERS", "names_from_dictionary", "null_markers_to_null", "read_delimited",
+    "NULL_MARKERS", "names_from_dictionary", "null_markers_to_null", "read_delimited", "read_split",
     "text_schema", "with_row_key",
 ]

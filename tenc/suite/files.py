@@ -123,6 +123,18 @@ def src_csv_multiline(spark: SparkSession, folder: str) -> DataFrame:
     return back.withColumnRenamed("Reply\nText", "reply_text")
 
 
+@query(
+    "src_csv_multiline_split",
+    "SELECT conv_id, turn, role, text AS reply_text FROM conversations",
+)
+def src_csv_multiline_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Line breaks inside quoted values, in files that are read by many tasks."""
+    turns = table(spark, folder, "conversations").withColumnRenamed("text", "Reply\nText")
+    path = _write(turns, "multiline_split", quoteAll=True)
+    back = _cast(read_delimited(spark, path, multiline="split", markers=None), turns)
+    return back.withColumnRenamed("Reply\nText", "reply_text")
+
+
 @query("src_key_column", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def src_key_column(spark: SparkSession, folder: str) -> DataFrame:
     """The index column of a file stays an ordinary key column."""

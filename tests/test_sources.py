@@ -321,3 +321,39 @@ def test_index_columns_are_row_keys(spark, tmp_path):
     roles = {"emobank": {"clf_type": "regression", "col_action": {"V": "y", "text": "Special"}}}
     _, df = dataset(spark, tmp_path, "emobank", roles)
     assert {r["row_id"]: r["V"] for r in df.collect()} == {"110_1": 3.2, "110_2": 2.0}
+
+
+def test_split_read_equals_the_whole_file_read(spark, tmp_path):
+    """Records over many lines and blocks, doubled quotes, empty lines and cells, both line ends."""
+    import csv
+
+    rows = [["id", "a\nb", "c,d"]]
+    for i in range(400):
+        rows.append([str(i), "line\n" * (i % 40) + 'say ""\n"' * (i % 3), ["", "x, y", 'q"', "\n\n", "é"][i % 5]])
+    for end in ("\n", "\r\n"):
+        path = tmp_path / f"rows{len(end)}.csv"
+        with open(path, "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator=end).writerows(rows)
+            out.write(end)
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        try:
+            assert spark.read.text(str(path)).rdd.getNumPartitions() > 50
+            split = read_delimited(spark, str(path), multiline="split", markers=None)
+            assert split.columns == ["id", "a\nb", "c,d"]
+            got = {r[0]: [x or "" for x in r] for r in split.collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == {r[0]: r for r in rows[1:]}
+
+
+def test_split_read_of_several_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"x\ny"\n')
+    (tmp_path / "b.csv").write_text('k,v\n2,z\n')
+    rows = read_delimited(spark, str(tmp_path), multiline="split").collect()
+    assert sorted((r.k, r.v) for r in rows) == [("1", "x\ny"), ("2", "z")]
+    (tmp_path / "c.csv").write_text("k,w\n3,z\n")
+    with pytest.raises(ValueError):
+        read_delimited(spark, str(tmp_path), multiline="split")
+    named = read_delimited(spark, str(tmp_path / "b.csv"), multiline="split", names=["p", "q"])
+    assert sorted(map(tuple, named.collect())) == [("2", "z"), ("k", "v")]
