@@ -6,7 +6,8 @@ have similar sizes, and still be able to reach the needed overlap from the posit
 ``levenshtein`` is one minus the edit distance over the longer length: the shorter of two texts at
 most k edits apart is cut into k + 1 segments, one of which the longer text holds unchanged and
 shifted by little. Neither compares all pairs; a gram or segment that very many categories share
-is joined in blocks.
+is joined in blocks. Where so many pairs are similar that a list of them would be the cost, and for few
+categories, all are compared in blocks instead and only the counts come out.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tenc.functions.cleaning import quoted
 from tenc.functions.similarity import gram_set, jaccard_of_sets
+from tenc.operators.allpairs import count_partners, sampled_share
 from tenc.operators.blocks import BLOCK_ROWS, join_in_blocks
 from tenc.operators.lookup import lookup
 from tenc.session import materialise
@@ -23,6 +25,9 @@ from tenc.session import materialise
 _TOLERANCE = 1e-9
 # At or below this, segments can be empty: nearly all pairs of similar length would be candidates.
 EDIT_FLOOR = 0.5
+# Up to so many values, or from so large a share of similar pairs on, all pairs are compared and none is listed.
+FEW_VALUES = 20_000
+DENSE_SHARE = 0.002
 
 
 def _gram_pairs(values: DataFrame, threshold: float, size: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -190,6 +195,18 @@ def _weighted_values(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _partners(values: DataFrame, n: int, levels: list[float], similarity: str) -> DataFrame:
+    """``id, _0, _1, ...``: how many of the other values are at least as similar as each of ``levels``."""
+    least = min(*levels, 1.0)
+    if similarity == "levenshtein" and not EDIT_FLOOR < least:
+        raise ValueError(f"the edit similarity must lie in ({EDIT_FLOOR}, 1]")
+    if n <= FEW_VALUES or sampled_share(values, least, similarity) >= DENSE_SHARE:
+        return count_partners(values, n, levels, similarity)
+    pairs = _PAIRS[similarity](values, least)
+    reached = [F.sum((F.col("sim") >= t - _TOLERANCE).cast("long")).alias(f"_{i}") for i, t in enumerate(levels)]
+    return _both_ways(pairs).groupBy(F.col("l_id").alias("id")).agg(*reached)
+
+
 def _counts_at(values: DataFrame, levels: dict[float, float], similarity: str) -> DataFrame:
     """``value, weight, level, n``: distinct values with ``sim >= levels[level]``.
 
@@ -202,12 +219,7 @@ def _counts_at(values: DataFrame, levels: dict[float, float], similarity: str) -
     everyone: Column = F.col("level").isin(*[float(n) for n in levels if n not in positive])
     if not positive:
         return grid.withColumn("n", F.lit(k).cast("long"))
-    pairs = _PAIRS[similarity](values.select("id", "value"), min(min(positive.values()), 1.0))
-    reached = [
-        F.sum((F.col("sim") >= t - _TOLERANCE).cast("long")).alias(f"_{i}")
-        for i, t in enumerate(positive.values())
-    ]
-    wide = _both_ways(pairs).groupBy(F.col("l_id").alias("id")).agg(*reached)
+    wide = _partners(values.select("id", "value"), k, list(positive.values()), similarity)
     per_level = F.inline(
         F.array(
             *[

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenc.functions import similarity as S
-from tenc.operators import blocks, metrics, neighbours, similarity, synth
+from tenc.operators import allpairs, blocks, metrics, neighbours, similarity, synth
 from tenc.operators.encoders.stats import MULTICLASS, REGRESSION
 from tenc.operators.scaling import fit_scaling
 from tenc.operators.splits import class_sizes, shuffle_split, stratified_split
@@ -281,3 +281,50 @@ def test_bootstrap_intervals(spark):
     only = score_interval(one, "encoder", ["name", "fold"]).first()
     assert (only["low"], only["mean"], only["high"]) == (0.5, 0.5, 0.5)
     assert POISSON_CUTS[0] == pytest.approx(math.exp(-1)) and 1 - POISSON_CUTS[-1] < 1e-8
+
+
+def _addresses(n: int) -> list[str]:
+    return [f"http{'s' * (i % 2)}://h{i % 3}.example.com/{'é' if i % 5 else '😀'}/{i * 37}{'#top' * (i % 4)}" for i in range(n)]
+
+
+@pytest.mark.parametrize("similarity_name, levels", [("3-gram", [0.6, 0.8, 1.0]), ("levenshtein", [0.7, 0.9, 1.0])])
+def test_crowded_balls_are_counted_without_a_list_of_pairs(spark, monkeypatch, similarity_name, levels):
+    """Nearly every address is near many others: listing the pairs is the square of the rows on disk."""
+    texts = [*_addresses(330), "", "a", "ab", "x" * 70, "x" * 64 + "y", "x" * 130]
+    df = spark.createDataFrame([(t,) for t in texts], "w string").withColumn("id", F.monotonically_increasing_id())
+    values = df.select("id", F.col("w").alias("value"))
+    listed = similarity._both_ways(similarity._PAIRS[similarity_name](values, levels[0]))
+    expected = {
+        r["l_id"]: [r[f"n{k}"] for k in range(3)]
+        for r in listed.groupBy("l_id").agg(
+            *[F.sum((F.col("sim") >= t - 1e-9).cast("long")).alias(f"n{k}") for k, t in enumerate(levels)]
+        ).collect()
+    }
+    for block_texts in (16_384, 50):
+        found = allpairs.count_partners(values, len(texts), levels, similarity_name, block_texts).collect()
+        assert len(found) == len(texts)
+        assert {r["id"]: [r["_0"], r["_1"], r["_2"]] for r in found if r["_0"]} == expected
+    monkeypatch.setattr(similarity, "_PAIRS", {})
+    monkeypatch.setattr(similarity, "FEW_VALUES", 0)
+    rows = similarity.ball_counts(df, "w", levels, similarity_name).collect()
+    assert {r.bin: r.n_pairs for r in rows} == {
+        t: sum(e[k] for e in expected.values()) + len(texts) for k, t in enumerate(levels)
+    }
+
+
+def test_edit_distances_of_shared_beginnings_and_long_texts():
+    texts = ["", "kitten", "sitting", *["ab" * 40 + c for c in "abcdefghij"], *["ab" * 32 + c for c in "xyz"], "ba" * 70]
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(texts)), np.arange(len(texts))))
+    table = allpairs.EditTable(allpairs.Texts(texts), allpairs.Texts(texts))
+    assert table.depth.max() >= 64
+    assert table.distances(i, j).tolist() == [plain(texts[a], texts[b]) for a, b in zip(i, j)]
