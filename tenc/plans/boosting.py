@@ -1,14 +1,15 @@
 """Boosted trees on binned features, all candidates and inner folds of a search in the same scans.
 
-Columns are cut at quantiles into bins, once. A scan gives, for every node of every model that is being looked at,
+Columns are cut at quantiles into bins, once, and rows that agree in all bins (and in label and inner fold, where these
+matter) become one cell with their number: trees cannot tell them apart. A scan of the cells gives, for every node of every model that is being looked at,
 sums of gradients, second derivatives and rows by feature and bin; the best cuts follow from these small tables,
 and of two siblings only the smaller is summed, the other is the difference to its parent. Trees grow best-first to
 a number of leaves, or level by level to a depth. For several classes a round grows a tree for each class on
 the gradients of the joint deviance. Leaves get Newton values.
 
-Between scans the rows' margins stand in a written table, which is renewed every few rounds; trees made since
-are added on the way. Nothing but tables of bins reaches the driver: their size depends on features, bins and
-models, not on rows.
+The first scan of a round adds the last trees to the cells' margins, which stay with the executors; every few rounds
+they are written. Leaves that nothing can cut any more are not scanned: their sums are known from their parent.
+Nothing but tables of bins reaches the driver: their size depends on features, bins and models, not on rows.
 """
 
 from __future__ import annotations
@@ -20,18 +21,23 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenc.operators.encoders.stats import BINARY, MULTICLASS, REGRESSION
 from tenc.operators.metrics import accuracy_score, average_precision, r2_score
 from tenc.plans.foldcube import INNER_FOLDS
-from tenc.session import written
+from tenc.session import materialise
 
 MAX_BINS = 64
 # Rounds after which the margins are written again.
 RENEW = 10
+# Cells taken at a time, and margins that are worth a task.
 _ROWS = 8192
+_TASK_MARGINS = 100_000
+# Tables of so many tasks are added up on the driver; those of more are added by Spark first.
+_FEW_TASKS = 16
 
 
 @dataclass(frozen=True)
@@ -127,34 +133,48 @@ class Growing:
 
     def _open(self, i: int) -> bool:
         node = self.nodes[i]
-        return node.best is not None and (self.growth.max_depth is None or node.depth < self.growth.max_depth)
+        return node.best is not None and not self._deep(i)
 
     def _advance(self) -> None:
         """Choose cuts best-first as far as gains are known; then ask for the nodes that may come next."""
         leaves, chosen = [0], set()
         while True:
             limit = self.growth.max_leaves
-            left = len(self.nodes) if limit is None else limit - len(leaves)
+            left = None if limit is None else limit - len(leaves)
             able = [i for i in leaves if self._open(i)]
-            if not able or left <= 0:
+            if not able or left == 0:
                 self.done = self._built(chosen)
                 return
             top = max(able, key=lambda i: (self.nodes[i].best[0], -i))
             if self.nodes[top].children is None:
-                break
+                if left != 1:
+                    break
+                # The last cut: nothing is asked about its leaves but their sums.
+                self._cut(top)
             chosen.add(top)
             leaves.remove(top)
             leaves += self.nodes[top].children
         ahead = [i for i, n in enumerate(self.nodes) if n.children is None and n.sums is not None and self._open(i)]
         for i in sorted(ahead, key=lambda i: -self.nodes[i].best[0])[:left]:
-            node = self.nodes[i]
-            _, feature, cut = node.best
-            pair = (len(self.nodes), len(self.nodes) + 1)
-            self.nodes += [_Node(node.depth + 1), _Node(node.depth + 1)]
-            node.children = pair
-            n_left = node.table[feature, : cut + 1, 2].sum()
-            small, large = pair if 2 * n_left <= node.sums[2] else pair[::-1]
+            small, large = self._cut(i)
+            if self._deep(small):
+                continue
             self.waiting.append((small, large, i))
+        if not self.waiting:
+            self._advance()
+
+    def _deep(self, i: int) -> bool:
+        return self.growth.max_depth is not None and self.nodes[i].depth >= self.growth.max_depth
+
+    def _cut(self, i: int) -> tuple[int, int]:
+        """Make the two children of a node; the one with fewer rows comes first."""
+        node = self.nodes[i]
+        _, feature, cut = node.best
+        pair = (len(self.nodes), len(self.nodes) + 1)
+        below = node.table[feature, : cut + 1].sum(axis=0)
+        self.nodes += [_Node(node.depth + 1, below), _Node(node.depth + 1, node.sums - below)]
+        node.children = pair
+        return pair if 2 * below[2] <= node.sums[2] else pair[::-1]
 
     def tree(self) -> Tree:
         """The tree with all cuts made so far, also those in advance."""
@@ -237,31 +257,33 @@ def _edges(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     return [np.array(sorted({v for v in row[f"q{i}"] or [] if v < row[f"m{i}"]})) for i in range(width)]
 
 
-def _prepare(batches, edges, start: np.ndarray):
+def _prepare(batches, edges):
     for batch in batches:
         n = batch.num_rows
         x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, len(edges))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("label"), batch.column("part"),
-                pa.array([r.tobytes() for r in _binned(x, edges)], pa.binary()),
-                pa.array([start.tobytes()] * n, pa.binary()),
-            ],
-            ["label", "part", "bins", "margins"],
-        )
+        bins = pa.array([r.tobytes() for r in _binned(x, edges)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("part"), bins], ["label", "part", "bins"])
+
+
+def _matrix(column: pa.Array, dtype, shape: tuple) -> np.ndarray:
+    """Binary values of one length, as one array without a step per row."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, ends, data = column.buffers()
+    first = int(np.frombuffer(ends, kind)[column.offset])
+    count = int(np.prod(shape))
+    return np.frombuffer(data, dtype, count, first).reshape(shape)
 
 
 def _pieces(batches, width: int, shape: tuple[int, int]):
-    """Label, part, bins and margins (rows by model by output) of some rows at a time."""
+    """Label, part, number of rows, bins and margins (cells by model by output) of some cells at a time."""
     for whole in batches:
         for at in range(0, whole.num_rows, _ROWS):
             piece = whole.slice(at, _ROWS)
             n = piece.num_rows
-            bins = np.frombuffer(b"".join(piece.column("bins").to_pylist()), np.uint8).reshape(n, width)
-            margins = np.frombuffer(b"".join(piece.column("margins").to_pylist())).reshape(n, *shape)
+            label, part, rows = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("label", "part", "n"))
             yield (
-                piece, piece.column("label").to_numpy(zero_copy_only=False),
-                piece.column("part").to_numpy(zero_copy_only=False), bins, margins,
+                piece, label, part, rows, _matrix(piece.column("bins"), np.uint8, (n, width)),
+                _matrix(piece.column("margins"), np.float64, (n, *shape)),
             )
 
 
@@ -275,19 +297,18 @@ def _with_recent(margins, bins, recent, rates) -> np.ndarray:
     return total
 
 
-def _tables(batches, width, shape, bins_of, task, left_out, balance, rates, recent, growing):
+def _tables(batches, width, shape, bins_of, task, left_out, balance, growing):
     """Sums by model, output, node, feature and bin; only entries that have a row."""
     sums: dict[tuple[int, int], np.ndarray] = {
         key: np.zeros((len(nodes), width * bins_of, 3)) for key, (_, nodes) in growing.items()
     }
-    for _, label, part, bins, margins in _pieces(batches, width, shape):
-        total = _with_recent(margins, bins, recent, rates)
+    for _, label, part, rows_of, bins, total in _pieces(batches, width, shape):
         place = bins.astype(np.int64) + np.arange(width)[None, :] * bins_of
         slopes = {}
         for (m, k), (tree, nodes) in growing.items():
             if m not in slopes:
                 slope, curve = gradients(task, label, total[:, m])
-                weight = np.ones(len(label)) if balance is None else balance[m][label.astype(int)]
+                weight = rows_of if balance is None else rows_of * balance[m][label.astype(int)]
                 slopes[m] = (slope * weight[:, None], curve * weight[:, None])
             slot = np.full(len(tree.feature), -1)
             slot[nodes] = np.arange(len(nodes))
@@ -296,7 +317,7 @@ def _tables(batches, width, shape, bins_of, task, left_out, balance, rates, rece
             if not len(rows):
                 continue
             code = (mine[rows][:, None] * (width * bins_of) + place[rows]).ravel()
-            for i, values in enumerate((slopes[m][0][rows, k], slopes[m][1][rows, k], np.ones(len(rows)))):
+            for i, values in enumerate((slopes[m][0][rows, k], slopes[m][1][rows, k], rows_of[rows])):
                 counted = np.bincount(code, np.repeat(values, width), len(nodes) * width * bins_of)
                 sums[m, k][..., i] += counted.reshape(len(nodes), -1)
     columns = defaultdict(list)
@@ -314,25 +335,33 @@ def _tables(batches, width, shape, bins_of, task, left_out, balance, rates, rece
 
 
 def _renewed(batches, width, shape, rates, recent):
-    for piece, _, _, bins, margins in _pieces(batches, width, shape):
+    for piece, _, _, _, bins, margins in _pieces(batches, width, shape):
         total = _with_recent(margins, bins, recent, rates)
         yield pa.RecordBatch.from_arrays(
-            [*piece.columns[:3], pa.array([r.tobytes() for r in total], pa.binary())], ["label", "part", "bins", "margins"]
+            [*piece.columns[:4], pa.array([r.tobytes() for r in total], pa.binary())],
+            ["label", "part", "n", "bins", "margins"],
         )
 
 
 def _held(batches, width, shape, rates, recent, task, left_out, inner):
     """Answers of each model for the rows it did not learn from."""
-    for _, label, part, bins, margins in _pieces(batches, width, shape):
+    for _, label, part, rows, bins, margins in _pieces(batches, width, shape):
         total = _with_recent(margins, bins, recent, rates)
         for m in inner:
-            own = part == left_out[m]
-            n = int(own.sum())
-            if n:
+            own = np.flatnonzero(part == left_out[m])
+            answers = _answers(task, total[own, m])
+            # A cell stands for that many rows; a large one comes out in several batches.
+            times = rows[own].astype(np.int64)
+            while times.any():
+                now = np.minimum(times, _ROWS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, m, np.int32)), pa.array(label[own]), pa.array(_answers(task, total[own, m]))],
+                    [
+                        pa.array(np.full(int(now.sum()), m, np.int32)), pa.array(np.repeat(label[own], now)),
+                        pa.array(np.repeat(answers, now)),
+                    ],
                     ["model", "label", "answer"],
                 )
+                times = times - now
 
 
 def _starts(counts, task, outputs, left_out, balanced) -> tuple[np.ndarray, list[np.ndarray] | None]:
@@ -357,6 +386,48 @@ def _starts(counts, task, outputs, left_out, balanced) -> tuple[np.ndarray, list
     return np.array(starts, float), balance if balanced and task == BINARY else None
 
 
+def _cells(rows: DataFrame, edges: list[np.ndarray], start: np.ndarray, task: str, searched: bool) -> tuple[DataFrame, int]:
+    """``label, part, n, bins, margins`` of the rows that agree, in as many tasks as their margins are worth; and these."""
+    binned = rows.select("label", "part", "x").mapInArrow(
+        partial(_prepare, edges=edges), "label double, part int, bins binary"
+    )
+    # Without a search no part is left out; the squared error then needs nothing of a cell but its mean.
+    keys = ["bins", "label", "part"] if searched else ["bins"] if task == REGRESSION else ["bins", "label"]
+    known = binned.groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        *([] if "label" in keys else [F.avg("label").alias("label")]),
+        *([] if "part" in keys else [F.lit(0).alias("part")]),
+    )
+    found = materialise(known.select("label", "part", "n", "bins"))
+    limit = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-found.count() * start.size // _TASK_MARGINS))
+    # Cells are dealt by a hash, so that tasks are alike; beyond the usual number of tasks they only get larger.
+    tasks = min(tasks, max(limit, found.rdd.getNumPartitions()))
+    dealt = found.repartition(tasks, "bins", "label").withColumn("margins", F.lit(bytearray(start.tobytes())))
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK), tasks
+
+
+def _scanned(state: DataFrame, tasks: int, asked: dict, width: int, bins: int, known: dict) -> dict:
+    """The tables of all nodes that are asked for, by model and output, then by node."""
+    scan = partial(_tables, width=width, bins_of=bins, growing=asked, **known)
+    cells = state.mapInArrow(scan, "model int, output int, node int, pos int, g double, h double, n double")
+    keys = ["model", "output", "node", "pos"]
+    if tasks > _FEW_TASKS:
+        cells = cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+    found = cells.toArrow()
+    m, k, node, pos = (found.column(c).to_numpy().astype(np.int64) for c in keys)
+    place = {key: i for i, key in enumerate((*pair, n) for pair, (_, nodes) in asked.items() for n in nodes)}
+    most = [max(key[i] for key in place) + 1 for i in range(3)]
+    slot = np.zeros(most, np.int64)
+    for key, i in place.items():
+        slot[key] = i
+    at = slot[m, k, node] * (width * bins) + pos
+    size = len(place) * width * bins
+    tables = np.stack([np.bincount(at, found.column(c).to_numpy(), size) for c in ("g", "h", "n")], axis=-1)
+    tables = tables.reshape(len(place), width, bins, 3)
+    return {pair: {n: tables[place[(*pair, n)]] for n in nodes} for pair, (_, nodes) in asked.items()}
+
+
 def fit_boosting(
     rows: DataFrame, task: str, outputs: int, growths: list[Growth], trees: int, balanced: bool = False,
     bins: int = MAX_BINS, rounds: list | None = None,
@@ -379,37 +450,30 @@ def fit_boosting(
     start, balance = _starts(counts, task, outputs, left_out, balanced)
     shape = start.shape
     edges = _edges(rows, width, bins)
-    kinds = "label double, part int, bins binary, margins binary"
-    state = written(
-        rows.select("label", "part", "x").mapInArrow(partial(_prepare, edges=edges, start=start), kinds), "boosted-rows"
-    )
+    state, tasks = _cells(rows, edges, start, task, len(growths) > 1)
+    kinds = "label double, part int, n double, bins binary, margins binary"
     made: list[list[list[Tree]]] = []
     recent: list[list[list[Tree]]] = []
     for number in range(trees):
+        kept = state
+        if recent:
+            renew = partial(_renewed, width=width, shape=shape, rates=rates, recent=recent)
+            state = state.mapInArrow(renew, kinds)
+            # The plan is cut now and then; between, the first scan of the round fills the memory.
+            state = (materialise(state) if number % RENEW == 0 else state).persist(StorageLevel.MEMORY_AND_DISK)
         growing = {(m, k): Growing(g) for m, (g, _) in enumerate(models) for k in range(outputs)}
         while todo := {key: t for key, t in growing.items() if t.done is None}:
             asked = {key: (t.tree(), [w[0] for w in t.waiting]) for key, t in todo.items()}
-            scan = partial(
-                _tables, width=width, shape=shape, bins_of=bins, task=task, left_out=left_out, balance=balance,
-                rates=rates, recent=recent, growing=asked,
+            found = _scanned(
+                state, tasks, asked, width, bins, dict(shape=shape, task=task, left_out=left_out, balance=balance)
             )
-            cells = state.mapInArrow(scan, "model int, output int, node int, pos int, g double, h double, n double")
-            found = cells.groupBy("model", "output", "node", "pos").agg(
-                F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")
-            ).toArrow()
-            tables: dict = defaultdict(dict)
-            at = [found.column(c).to_numpy() for c in ("model", "output", "node", "pos", "g", "h", "n")]
-            for m, k, node, pos, g, h, n in zip(*at):
-                table = tables[m, k].setdefault(int(node), np.zeros((width * bins, 3)))
-                table[pos] = g, h, n
+            if kept is not state:
+                kept.unpersist()
+                kept = state
             for key, t in todo.items():
-                t.receive({i: x.reshape(width, bins, 3) for i, x in tables[key].items()}, (width, bins))
-        round_trees = [[growing[m, k].done for k in range(outputs)] for m in range(len(models))]
-        made.append(round_trees)
-        recent = [*recent, round_trees]
-        if len(recent) == RENEW and number + 1 < trees:
-            renew = partial(_renewed, width=width, shape=shape, rates=rates, recent=recent)
-            state, recent = written(state.mapInArrow(renew, kinds), "boosted-rows"), []
+                t.receive(found[key], (width, bins))
+        recent = [[[growing[m, k].done for k in range(outputs)] for m in range(len(models))]]
+        made += recent
     best = 0
     if len(growths) > 1:
         inner = [m for m, j in enumerate(left_out) if j >= 0]
@@ -426,6 +490,7 @@ def fit_boosting(
             # A candidate without a score must not win.
             means.append(np.mean(known) if known else -np.inf)
         best = int(np.argmax(np.round(means, 12))) * len(parts) + INNER_FOLDS
+    state.unpersist()
     if rounds is not None:
         rounds.extend(made)
     return BoostedModel(

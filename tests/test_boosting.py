@@ -153,3 +153,28 @@ def test_constant_features_missing_values_and_no_rows(spark):
         boosting.fit_boosting(frame(spark, np.full((5, 1), np.nan), y[:5], np.zeros(5)), REGRESSION, 1, [LEVELS], 1)
     with pytest.raises(ValueError, match="no rows"):
         boosting.fit_boosting(frame(spark, x, y, np.zeros(30)).limit(0), REGRESSION, 1, [LEVELS], 1)
+
+
+def test_rows_that_agree_are_one_cell_and_last_leaves_are_not_scanned(spark, monkeypatch):
+    """Fifty copies of the rows give the same trees from as many cells, in three scans a tree of depth three."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 9, 60), rng.integers(0, 5, 60)]).astype(float)
+    y, scans, cells = x[:, 0] * x[:, 1] + rng.normal(size=60), [], []
+    scanned, made = boosting._scanned, boosting._cells
+    monkeypatch.setattr(boosting, "_scanned", lambda *args: scans.append(1) or scanned(*args))
+
+    def counted(*args):
+        state, tasks = made(*args)
+        cells.append((state.count(), state.agg({"n": "sum"}).first()[0]))
+        return state, tasks
+
+    monkeypatch.setattr(boosting, "_cells", counted)
+    for label, task in ((y, REGRESSION), ((y > y.mean()).astype(float), BINARY)):
+        scans.clear(), cells.clear()
+        one = boosting.fit_boosting(frame(spark, x, label, np.zeros(60)), task, 1, [LEVELS], 3)
+        assert len(scans) <= 9
+        many = boosting.fit_boosting(
+            frame(spark, np.tile(x, (50, 1)), np.tile(label, 50), np.arange(3000) % 3), task, 1, [LEVELS], 3
+        )
+        assert cells[0][0] == cells[1][0] <= 60 and (cells[0][1], cells[1][1]) == (60, 3000)
+        assert np.allclose(one.margins(x), many.margins(x))
