@@ -1,9 +1,11 @@
 """Exact k nearest neighbours as a partitioned join.
 
 Training vectors are assigned to their nearest of a few pivots and, within a pivot's cell, to a
-ring of similar distance. The triangle inequality then tells each query which rings can hold one
-of its neighbours; the others are never compared. Crowded rings are cut into blocks of bounded
-size on both sides, and each block yields at most k rows per query.
+ring of similar distance. Cells lie in blocks of bounded size in order of their cell, and so do the
+queries. Every two blocks meet once; there the triangle inequality tells each query which rings can
+hold one of its neighbours, and only queries and rings that need each other are compared. Distances
+come from a matrix product; those that its rounding leaves in doubt are computed again from the
+differences. Each meeting yields at most k rows per query.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from tenc.functions.hashing import MODEL_SEED, key_hash
 from tenc.operators.encoders.stats import REGRESSION
 from tenc.session import materialise
 
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 16_384
+_LEAST_ROWS = 256
+# Queries whose bounds to all rings are held at once.
+_ROUTED = 512
 MAX_PIVOTS = 256
 _RINGS = 64
 
@@ -39,6 +44,41 @@ def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
+def _closest(queries: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest rows of each query with their distances; of equal distances the earlier row.
+
+    Squared distances from a product of matrices are off by a bounded rounding error. All rows that may be among the
+    k nearest by that bound get their distance from the differences.
+    """
+    k = min(k, len(rows))
+    centre = rows.mean(axis=0)
+    q, r = queries - centre, rows - centre
+    q_size, r_size = (q * q).sum(axis=1), (r * r).sum(axis=1)
+    places = np.empty((len(q), k), np.int64)
+    found = np.empty((len(q), k))
+    scale = 8 * (q.shape[1] + 8) * np.finfo(float).eps
+    strip = max(1, 8_000_000 // len(r))
+    for low in range(0, len(q), strip):
+        part = slice(low, min(low + strip, len(q)))
+        square = q[part] @ r.T
+        square *= -2
+        square += r_size
+        square += q_size[part, None]
+        slack = scale * (q_size[part] + r_size.max())
+        kth = np.partition(square, k - 1, axis=1)[:, k - 1] if k < len(r) else square.max(axis=1)
+        near = square <= (kth + 2 * slack)[:, None]
+        i, j = np.nonzero(near)
+        exact = np.empty(len(i))
+        for at in range(0, len(i), 100_000):
+            gap = queries[low + i[at : at + 100_000]] - rows[j[at : at + 100_000]]
+            exact[at : at + 100_000] = np.sqrt((gap * gap).sum(axis=1))
+        order = np.lexsort((j, exact, i))
+        first = np.searchsorted(i[order], np.arange(part.stop - low))
+        chosen = order[first[:, None] + np.arange(k)[None, :]]
+        places[part], found[part] = j[chosen], exact[chosen]
+    return places, found
+
+
 def _pivots(train: DataFrame, n: int) -> np.ndarray:
     """A fixed number of distinct training vectors, the first in hash order of their id."""
     drawn = (
@@ -80,7 +120,7 @@ def _assign(train: DataFrame, pivots: np.ndarray, width: float) -> DataFrame:
 
 
 def _route(test: DataFrame, pivots: np.ndarray, rings: np.ndarray, k: int) -> DataFrame:
-    """For each query the rings that may hold a neighbour.
+    """For each query the rings that may hold a neighbour, a bit for each ring.
 
     ``rings`` has columns id, rows, smallest and largest distance to its pivot.
     """
@@ -89,9 +129,7 @@ def _route(test: DataFrame, pivots: np.ndarray, rings: np.ndarray, k: int) -> Da
     counts, low, high = rings[:, 1], rings[:, 2], rings[:, 3]
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (whole.iloc[i : i + _ROUTED] for whole in batches for i in range(0, len(whole), _ROUTED)):
             to_pivot = _distances(_matrix(batch["vector"]), pivots)[:, cells]
             farthest = to_pivot + high
             order = farthest.argsort(axis=1)
@@ -102,9 +140,9 @@ def _route(test: DataFrame, pivots: np.ndarray, rings: np.ndarray, k: int) -> Da
             bound = np.where(counts.sum() < k, np.inf, bound)
             nearest = np.maximum(np.maximum(to_pivot - high, low - to_pivot), 0.0)
             wanted = nearest <= bound[:, None] * (1 + 1e-9) + 1e-9
-            yield batch.assign(rings=[ids[w] for w in wanted])
+            yield batch.assign(wanted=[w.tobytes() for w in np.packbits(wanted, axis=1)])
 
-    return test.mapInPandas(visit, "id bigint, vector array<double>, rings array<bigint>")
+    return test.mapInPandas(visit, "id bigint, vector array<double>, wanted binary")
 
 
 def nearest(
@@ -126,7 +164,7 @@ def nearest(
         quoted(vector).cast("array<double>").alias("vector"),
     )
     spark = train.sparkSession
-    base = materialise(_without_spare_copies(base, k))
+    base, queries = materialise(_without_spare_copies(base, k)), materialise(queries)
     if n_pivots is None:
         n_pivots = min(max(base.count() // block_rows, 1), MAX_PIVOTS)
     pivots = _pivots(base, n_pivots)
@@ -139,63 +177,67 @@ def nearest(
         .collect()
     )
     ring_table = np.asarray([list(r) for r in ring_rows], dtype=np.float64)
-    routed = materialise(_route(queries, pivots, ring_table, k))
-    asked = {
-        r["ring"]: r["n"]
-        for r in routed.select(F.explode("rings").alias("ring"))
-        .groupBy("ring")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
-    }
-    blocks = spark.createDataFrame(
-        [
-            (int(r), -(-int(n) // block_rows), -(-asked[int(r)] // block_rows))
-            for r, n in ((row[0], row[1]) for row in ring_rows)
-            if int(r) in asked
-        ],
-        "ring bigint, train_blocks int, test_blocks int",
+    routed = _route(queries, pivots, ring_table, k)
+    # Few blocks: every one travels to all blocks of the other side. Rows of a cell lie in as few blocks as they fill.
+    n_rows, n_queries = int(ring_table[:, 1].sum()), queries.count()
+    share = int((4 * spark.sparkContext.defaultParallelism) ** 0.5)
+    train_blocks = max(1, -(-n_rows // block_rows), min(share, n_rows // _LEAST_ROWS))
+    test_blocks = max(1, -(-n_queries // block_rows), min(share, n_queries // _LEAST_ROWS))
+
+    def every(count: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    ends = np.cumsum(ring_table[:, 1])
+    starts = spark.createDataFrame(
+        [(int(r[0]), int(e - r[1]), int(r[1])) for r, e in zip(ring_table, ends)], "ring bigint, before bigint, rows bigint"
     )
-
-    def block(count: str):
-        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-
-    def every(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
+    # A row's place: those of the rings before, and a hash within its own.
+    spread = F.pmod(F.xxhash64("id"), F.col("rows"))
     train_side = (
-        placed.join(F.broadcast(blocks), "ring")
-        .withColumn("train_block", block("train_blocks"))
-        .withColumn("test_block", every("test_blocks"))
-        .select("ring", "train_block", "test_block", "id", "label", "vector")
+        placed.join(F.broadcast(starts), "ring")
+        .withColumn("train_block", F.floor((F.col("before") + spread) * train_blocks / n_rows).cast("int"))
+        .withColumn("test_block", every(test_blocks))
+        .select("train_block", "test_block", "ring", "id", "label", "vector")
     )
     test_side = (
-        routed.select("id", "vector", F.explode("rings").alias("ring"))
-        .join(F.broadcast(blocks), "ring")
-        .withColumn("test_block", block("test_blocks"))
-        .withColumn("train_block", every("train_blocks"))
-        .select("ring", "train_block", "test_block", "id", "vector")
+        routed.withColumn("test_block", F.pmod(F.xxhash64("id"), F.lit(test_blocks)).cast("int"))
+        .withColumn("train_block", every(train_blocks))
+        .select("train_block", "test_block", "id", "vector", "wanted")
     )
+    ring_ids = ring_table[:, 0].astype(np.int64)
 
     def closest(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": [], "neighbour": [], "label": [], "dist": []})
         if not len(queries) or not len(rows):
-            return pd.DataFrame({"query": [], "neighbour": [], "label": [], "dist": []})
+            return empty
         rows = rows.sort_values("id", ignore_index=True)
-        dist = _distances(_matrix(queries["vector"]), _matrix(rows["vector"]))
-        best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        width = best.shape[1]
+        number = np.searchsorted(ring_ids, rows["ring"].to_numpy())
+        bits = np.frombuffer(b"".join(queries["wanted"]), np.uint8).reshape(len(queries), -1)
+        wanted = np.unpackbits(bits, axis=1, count=len(ring_ids)).astype(bool)
+        here = np.unique(number)
+        wanted = wanted[:, here]
+        asked = np.flatnonzero(wanted.any(axis=1))
+        if not len(asked):
+            return empty
+        needed = np.flatnonzero(np.isin(number, here[wanted.any(axis=0)]))
+        left, right = _matrix(queries["vector"].iloc[asked]), _matrix(rows["vector"].iloc[needed])
+        best, dist = _closest(left, right, k)
+        best = needed[best]
         return pd.DataFrame(
             {
-                "query": np.repeat(queries["id"].to_numpy(), width),
+                "query": np.repeat(queries["id"].to_numpy()[asked], best.shape[1]),
                 "neighbour": rows["id"].to_numpy()[best].ravel(),
                 "label": rows["label"].to_numpy()[best].ravel(),
-                "dist": np.take_along_axis(dist, best, axis=1).ravel(),
+                "dist": dist.ravel(),
             }
         )
 
-    groups = ["ring", "train_block", "test_block"]
+    # A number of its own for each meeting, so that the meetings go to as many tasks.
+    groups = ["train_block", "test_block"]
+    tasks = train_blocks * test_blocks
     candidates = (
-        test_side.groupBy(*groups)
-        .cogroup(train_side.groupBy(*groups))
+        test_side.repartition(tasks, *groups).groupBy(*groups)
+        .cogroup(train_side.repartition(tasks, *groups).groupBy(*groups))
         .applyInPandas(closest, "query bigint, neighbour bigint, label double, dist double")
     )
     order = Window.partitionBy("query").orderBy("dist", "neighbour")

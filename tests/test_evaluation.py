@@ -328,3 +328,33 @@ def test_edit_distances_of_shared_beginnings_and_long_texts():
     table = allpairs.EditTable(allpairs.Texts(texts), allpairs.Texts(texts))
     assert table.depth.max() >= 64
     assert table.distances(i, j).tolist() == [plain(texts[a], texts[b]) for a, b in zip(i, j)]
+
+
+def test_nearest_of_a_block_by_products_and_by_differences():
+    """Far from the origin products of vectors round away what the differences still tell."""
+    rng = np.random.default_rng(11)
+    for shift in (0.0, 1e7):
+        rows = np.round(rng.normal(size=(300, 6)), 2) + shift
+        rows[100:120] = rows[7]
+        queries = np.concatenate([rows[:40], np.round(rng.normal(size=(20, 6)), 2) + shift])
+        dist = np.sqrt(((queries[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2))
+        expected = np.argsort(dist, axis=1, kind="stable")[:, :5]
+        places, found = neighbours._closest(queries, rows, 5)
+        assert (places == expected).all() and np.array_equal(found, np.take_along_axis(dist, expected, axis=1))
+    assert neighbours._closest(queries[:2], rows[:3], 5)[0].shape == (2, 3)
+
+
+def test_a_query_travels_once_to_a_block_and_not_to_each_ring(spark):
+    """Vectors without structure leave out no ring; each side is still dealt to the other's few blocks only."""
+    rng = np.random.default_rng(2)
+    rows = [(i, float(i % 3), rng.normal(size=8).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, label double, v array<double>")
+    nearest = neighbours.nearest(df.where("id >= 300"), df.where("id < 300"), "id", "v", "label", 5, 16, 300)
+    assert "explode(rings" not in nearest._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for r in nearest.collect():
+        found.setdefault(r["query"], []).append((r["place"], r["neighbour"]))
+    v = np.array([r[2] for r in rows])
+    for q in range(300):
+        dist = np.sqrt(((v[300:] - v[q]) ** 2).sum(axis=1))
+        assert [n for _, n in sorted(found[q])] == (300 + np.argsort(dist, kind="stable")[:5]).tolist()
