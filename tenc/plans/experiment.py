@@ -204,7 +204,11 @@ def run_grid(
         try:
             if dataset.name not in ready:
                 prepared = materialise(prepare_rows(spark, dataset, settings))
-                ready[dataset.name] = prepared, make_split(prepared, dataset, settings)
+                split = make_split(prepared, dataset, settings)
+                if settings.fit_rows is None and LINEAR in models:
+                    # The encoders of a dataset share the marks of its folds.
+                    prepared = foldcube.marked(prepared, split)
+                ready[dataset.name] = prepared, split
             prepared, split = ready[dataset.name]
             if _too_wide(prepared, dataset, encoder, settings):
                 outcome.append((*label, "skipped", "too many categories for one-hot encoding"))

@@ -28,6 +28,8 @@ from tenc.session import written
 # Feature columns beyond which matrices of all folds would grow too large; such runs go fold by fold.
 MAX_WIDTH = 256
 INNER_FOLDS = 3
+# Holds for each fold whether a row is a test row.
+MARKS = "_test_of_folds"
 
 
 @dataclass(frozen=True)
@@ -124,6 +126,14 @@ def _encoded(rule: FoldRule, folds, outputs: int, own: bool) -> Column:
     return F.array(*values)
 
 
+def marked(df: DataFrame, split: SplitPlan) -> DataFrame:
+    """``df`` with its folds' marks, written once: a mark costs a digest of the key for each fold."""
+    if MARKS in df.columns:
+        return df
+    marks = F.array(*[split.is_test(i) for i in range(split.n_splits)])
+    return written(df.withColumn(MARKS, marks), "marked-rows")
+
+
 def build(
     df: DataFrame, split: SplitPlan, roles: Mapping[str, str], encoder: str, task: str, y: str, key: str,
     one_hot_limit: int | None = None,
@@ -160,10 +170,10 @@ def build(
     if len(shared) + outputs * len(rules) > MAX_WIDTH:
         return None
     n_folds = split.n_splits
-    base = df.where(quoted(y).isNotNull()).select(
+    base = marked(df, split).where(quoted(y).isNotNull()).select(
         quoted(key).alias("key"), label.alias("label"), fold_of(key, INNER_FOLDS).alias("part"),
         (F.array(*shared) if shared else F.array().cast("array<double>")).alias("shared"),
-        F.array(*[split.is_test(i) for i in range(n_folds)]).alias("test"),
+        F.col(MARKS).alias("test"),
         *[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(rules)],
     )
     rows = base

@@ -250,3 +250,18 @@ def test_grid_scores_equal_fold_by_fold(spark, data, tmp_path):
 def test_wide_tables_and_other_models_go_fold_by_fold(data, monkeypatch):
     monkeypatch.setattr(foldcube, "MAX_WIDTH", 2)
     assert cube_of(data, "price", REGRESSION)[2] is None
+
+
+def test_marks_of_folds_are_digested_once_for_all_encoders(data, monkeypatch):
+    df, calls = table(data, "price"), []
+    plan = plan_shuffle_split(df, "k", FOLDS)
+    alone = foldcube.build(df, plan, ROLES, "TargetEncoder", REGRESSION, "y", "k")
+    plain = type(plan).is_test
+    monkeypatch.setattr(type(plan), "is_test", lambda self, fold: calls.append(fold) or plain(self, fold))
+    both = foldcube.marked(df, plan)
+    for encoder in ("Delete", "TargetEncoder"):
+        found = foldcube.build(both, plan, ROLES, encoder, REGRESSION, "y", "k")
+    assert len(calls) == FOLDS
+    assert {r["key"]: (r["test"], r["e0"]) for r in found.rows.collect()} == {
+        r["key"]: (r["test"], r["e0"]) for r in alone.rows.collect()
+    }
