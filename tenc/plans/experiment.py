@@ -17,12 +17,12 @@ from tenc.operators.metrics import score_by_task
 from tenc.operators.prepare import ONE_HOT, prepare, resolve_roles
 from tenc.operators.rank import first_by_hash
 from tenc.operators.relate import pending
-from tenc.operators.splits import SplitPlan, plan_shuffle_split, plan_stratified_split
+from tenc.operators.splits import SplitPlan, marked_split, plan_shuffle_split, plan_stratified_split
 from tenc.plans import foldcube
 from tenc.plans.features import fit_features
 from tenc.plans.linear import LOGISTIC_CS, RIDGE_ALPHAS, fit_logistic, fit_ridge, fold_scores
 from tenc.plans.models import LINEAR, train_model
-from tenc.session import materialise
+from tenc.session import materialise, written
 from tenc.sources.runs import RESULT_FIELDS, RUN_SCHEMA, parameter_key, read_runs, write_runs
 
 @dataclass(frozen=True)
@@ -57,6 +57,18 @@ def make_split(df: DataFrame, dataset: Dataset, settings: Settings) -> SplitPlan
     return plan_stratified_split(df, dataset.key, y, settings.n_splits, settings.test_size)
 
 
+def prepare_folds(spark: SparkSession, dataset: Dataset, settings: Settings) -> tuple[DataFrame, SplitPlan]:
+    """The prepared rows, written with the marks of their folds, and the split."""
+    prepared = written(prepare_rows(spark, dataset, settings), "prepared-rows")
+    if settings.n_splits < 1:
+        return prepared, make_split(prepared, dataset, settings)
+    y = None if dataset.task == REGRESSION else resolve_roles(dataset.roles).target
+    split, marked = marked_split(
+        prepared, dataset.key, settings.n_splits, settings.test_size, y=y, name=foldcube.MARKS
+    )
+    return marked, split
+
+
 def run_fold(
     prepared: DataFrame, split: SplitPlan, fold: int, dataset: Dataset, encoder: str, model: str,
     settings: Settings,
@@ -203,12 +215,8 @@ def run_grid(
             continue
         try:
             if dataset.name not in ready:
-                prepared = materialise(prepare_rows(spark, dataset, settings))
-                split = make_split(prepared, dataset, settings)
-                if settings.fit_rows is None and LINEAR in models:
-                    # The encoders of a dataset share the marks of its folds.
-                    prepared = foldcube.marked(prepared, split)
-                ready[dataset.name] = prepared, split
+                # The encoders of a dataset share the marks of its folds.
+                ready[dataset.name] = prepare_folds(spark, dataset, settings)
             prepared, split = ready[dataset.name]
             if _too_wide(prepared, dataset, encoder, settings):
                 outcome.append((*label, "skipped", "too many categories for one-hot encoding"))

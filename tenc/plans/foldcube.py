@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tenc.functions.cleaning import quoted
 from tenc.functions.hashing import SPLIT_SEED
 from tenc.operators.encoders.heldout import add_noise, fold_of
-from tenc.operators.encoders.stats import MULTICLASS, FeatureMeta
+from tenc.operators.encoders.stats import MULTICLASS, REGRESSION, FeatureMeta
 from tenc.operators.lookup import lookup
 from tenc.operators.prepare import DELETE, ONE_HOT, resolve_roles
 from tenc.operators.profile import one_hot_guard
@@ -47,6 +47,8 @@ class FoldRows:
     classes: tuple[str, ...] = ()
     # Whether a shared column is a 0/1 flag of a category.
     flags: tuple[bool, ...] = ()
+    # Near the means of columns and label, where they are known without reading the rows.
+    centres: tuple[float, ...] | None = None
 
     @property
     def width(self) -> int:
@@ -87,8 +89,11 @@ def _cube(base: DataFrame, category: str, n_folds: int, n_classes: int) -> DataF
     return written(grouped.select("category", "total", "n", sums.alias("sums")), "cube")
 
 
-def _totals(cube: DataFrame, n_folds: int, outputs: int) -> list[tuple[float, int, list[float]]]:
-    """Training rows, observed categories and priors of every fold: one row reaches the driver."""
+def _totals(cube: DataFrame, n_folds: int, outputs: int) -> tuple[list[tuple[float, int, list[float]]], int, int, float]:
+    """Training rows, observed categories and priors of every fold, categories, the longest one's bytes, and a row's mean ``n``.
+
+    One row reaches the driver.
+    """
     row = cube.agg(
         F.array(*[F.sum(F.col("n")[i]) for i in range(n_folds)]).alias("n"),
         F.array(*[F.count_if((F.col("n")[i] > 0) & F.col("category").isNotNull()) for i in range(n_folds)]).alias("k"),
@@ -96,12 +101,13 @@ def _totals(cube: DataFrame, n_folds: int, outputs: int) -> list[tuple[float, in
             *[F.array(*[F.sum(F.col("sums")[c][i]) for c in range(outputs)]) for i in range(n_folds)]
         ).alias("s"),
         F.count("category").alias("rows"), F.max(F.octet_length("category")).alias("longest"),
+        F.try_divide(F.sum(F.col("total") * F.col("n")[0]), F.sum("total")).alias("mean_n"),
     ).first()
     n = row["n"] or [0.0] * n_folds
     found = [
         (n[i] or 0.0, row["k"][i], [(s or 0.0) / n[i] if n[i] else 0.0 for s in row["s"][i]]) for i in range(n_folds)
     ]
-    return found, row["rows"] or 0, row["longest"] or 0
+    return found, row["rows"] or 0, row["longest"] or 0, row["mean_n"] or 0.0
 
 
 def _encoded(rule: FoldRule, folds, outputs: int, own: bool) -> Column:
@@ -138,7 +144,10 @@ def build(
     df: DataFrame, split: SplitPlan, roles: Mapping[str, str], encoder: str, task: str, y: str, key: str,
     one_hot_limit: int | None = None,
 ) -> FoldRows | None:
-    """All folds' features of a prepared table, or None if an encoder or the width does not allow it."""
+    """All folds' features of a prepared table, or None if an encoder or the width does not allow it.
+
+    Models of classes read the features many times, so they are written. Those of numbers read them once.
+    """
     columns = resolve_roles(roles)
     actions = {c: resolve(roles[c], encoder) for c in columns.features}
     used = {c: a for c, a in actions.items() if a != DELETE}
@@ -177,11 +186,13 @@ def build(
         *[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(rules)],
     )
     rows = base
-    sizes = []
+    sizes, means = [], []
     for i, rule in enumerate(rules.values()):
         cube = _cube(base, f"c{i}", n_folds, len(classes))
-        folds, n_categories, longest = _totals(cube, n_folds, outputs)
+        folds, n_categories, longest, mean_n = _totals(cube, n_folds, outputs)
         size = 1 if rule.kind == "count" else outputs
+        # Encoded targets lie about their prior.
+        means += [mean_n] if rule.kind == "count" else folds[0][2]
         row_bytes = longest + 8 * n_folds * (outputs + 1) + 64
         known = cube.where("category is not null")
         if rule.kind == "left_out":
@@ -202,4 +213,8 @@ def build(
         rows = joined.withColumn(f"e{i}", found).drop(*values, f"c{i}")
         sizes.append(size)
     rows = rows.select("key", "label", "part", "shared", "test", *[f"e{i}" for i in range(len(rules))])
-    return FoldRows(written(rows, "fold-features"), n_folds, len(shared), tuple(sizes), classes, tuple(flags))
+    if task != REGRESSION:
+        return FoldRows(written(rows, "fold-features"), n_folds, len(shared), tuple(sizes), classes, tuple(flags))
+    plain = [F.avg(F.col("shared")[i]).alias(f"m{i}") for i in range(len(shared))]
+    *own, middle = (x or 0.0 for x in base.agg(*plain, F.avg("label").alias("label")).first())
+    return FoldRows(rows, n_folds, len(shared), tuple(sizes), classes, tuple(flags), (*own, *means, middle))

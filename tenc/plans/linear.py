@@ -35,6 +35,8 @@ TOLERANCE = 1e-9
 _TEST = INNER_FOLDS
 # Numbers that one step of a scan holds in a matrix of products.
 _CELLS = 4_000_000
+# Rows whose margins by all penalties stay in a core's cache.
+_NEAR = 4_096
 
 
 @dataclass(frozen=True)
@@ -74,8 +76,9 @@ class _Batch:
         return np.hstack([self.shared, *[e[:, fold] for e in self.encoded]])
 
 
-def _pieces(batches, shape: FoldRows, cells_a_row: int):
+def _pieces(batches, shape: FoldRows, cells_a_row: int, most: int | None = None):
     rows = max(16, _CELLS // max(cells_a_row, 1))
+    rows = min(rows, most or rows)
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             piece = whole.slice(at, rows)
@@ -99,7 +102,9 @@ def _added(rows: DataFrame, by: list[str]) -> dict[tuple, np.ndarray]:
 
 
 def _centres(data: FoldRows) -> np.ndarray:
-    """Means of columns and label by fold, about which products are summed, against cancellation."""
+    """Means of columns and label, about which products are summed, against cancellation."""
+    if data.centres is not None:
+        return np.array(data.centres)
     means = [F.avg(F.col("shared")[i]) for i in range(data.n_shared)]
     # The encodings of a column have much the same mean in every fold.
     coded = [F.avg(F.col(f"e{i}")[c]) for i, k in enumerate(data.outputs) for c in range(k)]
@@ -109,15 +114,31 @@ def _centres(data: FoldRows) -> np.ndarray:
 
 def _products(batches, shape: FoldRows, centres: np.ndarray):
     size = shape.width + 2
-    sums = np.zeros((shape.n_folds, INNER_FOLDS + 1, size, size))
-    for b in _pieces(batches, shape, size * 4):
-        for f in range(shape.n_folds):
-            z = np.hstack([b.columns(f), b.label[:, None]]) - centres
-            z = np.hstack([z[:, :-1], np.ones((len(z), 1)), z[:, -1:]])
-            part = np.where(b.test[:, f], _TEST, b.part)
-            for p in range(INNER_FOLDS + 1):
-                own = z[part == p]
-                sums[f, p] += own.T @ own
+    parts = INNER_FOLDS + 1
+    # Columns that all folds share, one and the label: their products are taken once and added up by fold and part.
+    plain = [*range(shape.n_shared), size - 2, size - 1]
+    coded = list(range(shape.n_shared, size - 2))
+    left, right = np.triu_indices(len(plain))
+    both = np.zeros((shape.n_folds * parts, len(left)))
+    sums = np.zeros((shape.n_folds, parts, size, size))
+    ends = np.array([*centres[: shape.n_shared], 0.0, centres[-1]])
+    for b in _pieces(batches, shape, len(left) + shape.n_folds * parts + size):
+        n = len(b.label)
+        z = np.hstack([b.shared, np.ones((n, 1)), b.label[:, None]]) - ends
+        own = np.zeros((n, shape.n_folds, parts))
+        np.put_along_axis(own, np.where(b.test, _TEST, b.part[:, None])[:, :, None], 1.0, axis=2)
+        both += own.reshape(n, -1).T @ (z[:, left] * z[:, right])
+        for f in range(shape.n_folds if coded else 0):
+            e = np.hstack([x[:, f] for x in b.encoded]) - centres[shape.n_shared : -1]
+            every = np.hstack([z, e])
+            for i, c in enumerate(coded):
+                sums[f, :, c, plain + coded] += ((own[:, f] * e[:, i : i + 1]).T @ every).T
+    for c in coded:
+        sums[:, :, plain, c] = sums[:, :, c, plain]
+    both = both.reshape(shape.n_folds, parts, -1)
+    at = np.array(plain)
+    sums[:, :, at[left], at[right]] = both
+    sums[:, :, at[right], at[left]] = both
     n = shape.n_folds * (INNER_FOLDS + 1)
     yield pa.RecordBatch.from_arrays(
         [
@@ -222,21 +243,31 @@ def _newton_sums(batches, shape: FoldRows, centres, deviations, state):
     size = shape.width + 1
     upper = np.triu_indices(size)
     sums = {m: np.zeros(2 + size + len(upper[0])) for s in state.values() for m in s[0]}
-    for b in _pieces(batches, shape, size * size):
-        for f in sorted({f for f, _ in state}):
-            x = np.hstack([(b.columns(f) - centres[:-1]) / deviations[f], np.ones((len(b.label), 1))])
-            pairs = x[:, upper[0]] * x[:, upper[1]]
+    # Models of one fold and output that learn from the same rows, alike weighted, go together.
+    groups: dict[int, list] = {}
+    for (f, c), (models, left_out, weights, balance) in state.items():
+        kinds, kind = np.unique(np.column_stack([left_out, balance]), axis=0, return_inverse=True)
+        for i, (part, *by_label) in enumerate(kinds):
+            some = np.flatnonzero(kind.ravel() == i)
+            groups.setdefault(f, []).append((c, int(part), by_label, [models[j] for j in some], weights[some].T))
+    for b in _pieces(batches, shape, size * size, _NEAR):
+        for f, ready in groups.items():
             train = ~b.test[:, f]
-            for (_, c), (models, left_out, weights, balance) in ((k, s) for k, s in state.items() if k[0] == f):
-                t = (b.label == c).astype(float)[:, None]
-                margin = x @ weights.T
-                chance = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
-                own = train[:, None] & (b.part[:, None] != left_out[None, :])
-                share = own * np.where(t > 0, balance[:, 1], balance[:, 0])
-                loss = (share * np.logaddexp(0, np.where(t > 0, -margin, margin))).sum(axis=0)
-                right = (train[:, None] & (b.part[:, None] == left_out[None, :]) & ((margin > 0) == (t > 0))).sum(axis=0)
-                slope = (share * (chance - t)).T @ x
-                curve = (share * chance * (1 - chance)).T @ pairs
+            label, part = b.label[train], b.part[train]
+            x = np.hstack([(b.columns(f)[train] - centres[:-1]) / deviations[f], np.ones((len(label), 1))])
+            pairs = x[:, upper[0]] * x[:, upper[1]]
+            for c, out, by_label, models, weights in ready:
+                own = part != out
+                held, hit = x[~own] @ weights > 0, (label[~own] == c)[:, None]
+                right = (held == hit).sum(axis=0)
+                near, is_class = x[own], label[own] == c
+                share = np.where(is_class, by_label[1], by_label[0])
+                margin = near @ weights
+                small = np.exp(-np.abs(margin))
+                loss = share @ (np.log1p(small) + np.maximum(np.where(is_class[:, None], -margin, margin), 0))
+                chance = np.where(margin >= 0, 1.0, small) / (1 + small)
+                slope = (chance - is_class[:, None]).T @ (near * share[:, None])
+                curve = (chance * (1 - chance)).T @ (pairs[own] * share[:, None])
                 for i, m in enumerate(models):
                     sums[m] += np.concatenate([[loss[i], right[i]], slope[i], curve[i]])
     yield pa.RecordBatch.from_arrays(

@@ -199,8 +199,7 @@ def run_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Every one of the twenty folds from encoding to scores, with its times."""
     dataset = _price_dataset(folder)
     settings = X.Settings()
-    prepared = materialise(X.prepare_rows(spark, dataset, settings))
-    split = X.make_split(prepared, dataset, settings)
+    prepared, split = X.prepare_folds(spark, dataset, settings)
     results = X.run_folds(prepared, split, dataset, _BAYES, "L2RegularizedLinearModel", settings)
     names = list(results[0])
     return spark.createDataFrame([tuple(r[c] for c in names) for r in results], [f"`{c}`" for c in names]).toDF(*names)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tenc.operators.encoders.heldout import fold_of
 from tenc.operators.encoders.stats import BINARY, MULTICLASS, REGRESSION
-from tenc.operators.splits import plan_shuffle_split, plan_stratified_split
+from tenc.operators.splits import marked_split, plan_shuffle_split, plan_stratified_split
 from tenc.plans import experiment as X
 from tenc.plans import foldcube, linear, models, registry
 from tenc.plans.features import fit_features
@@ -265,3 +265,24 @@ def test_marks_of_folds_are_digested_once_for_all_encoders(data, monkeypatch):
     assert {r["key"]: (r["test"], r["e0"]) for r in found.rows.collect()} == {
         r["key"]: (r["test"], r["e0"]) for r in alone.rows.collect()
     }
+
+
+@pytest.mark.parametrize("y", [None, "cls"])
+@pytest.mark.parametrize("width", [6.0, 1e-4])
+def test_marks_and_plan_come_from_one_digest(data, y, width):
+    """Also where the cuts lie outside the window, and where rows have no class."""
+    df = table(data, "cls").withColumn("cls", F.when(F.col("k") % 11 > 0, F.col("y")))
+    plain = plan_shuffle_split(df, "k", FOLDS) if y is None else plan_stratified_split(df, "k", y, FOLDS)
+    plan, rows = marked_split(df, "k", FOLDS, y=y, name="m", width=width)
+    assert plan == plain and rows.columns == [*df.columns, "m"]
+    expected = df.select("k", F.array(*[plain.is_test(i) for i in range(FOLDS)]).alias("m")).collect()
+    assert {r["k"]: r["m"] for r in rows.collect()} == {r["k"]: r["m"] for r in expected}
+
+
+def test_folds_of_a_small_file_have_work_for_every_core(spark, data, tmp_path):
+    table(data, "flag").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    dataset = X.Dataset("flag", BINARY, ROLES, "k", lambda spark: spark.read.parquet(str(tmp_path / "rows")))
+    rows, split = X.prepare_folds(spark, dataset, X.Settings(n_splits=FOLDS))
+    found = foldcube.build(rows, split, ROLES, "TargetEncoder", BINARY, "y", "k")
+    assert found.rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.rows.count() == 600
