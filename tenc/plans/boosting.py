@@ -10,10 +10,14 @@ the gradients of the joint deviance. Leaves get Newton values.
 The first scan of a round adds the last trees to the cells' margins, which stay with the executors; every few rounds
 they are written. Leaves that nothing can cut any more are not scanned: their sums are known from their parent.
 Nothing but tables of bins reaches the driver: their size depends on features, bins and models, not on rows.
+
+Cells that a task can hold need no scans where candidates are searched: every task gets them all and fits a model
+of the search by itself, with the same cuts. What is held is limited in bytes; cells beyond that are scanned.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import partial
@@ -38,6 +42,11 @@ _ROWS = 8192
 _TASK_MARGINS = 100_000
 # Tables of so many tasks are added up on the driver; those of more are added by Spark first.
 _FEW_TASKS = 16
+# What the cells of a search may take in a task that holds them all: their bins, and this for each cell besides.
+_HELD_BYTES = 128 << 20
+_CELL_BYTES = 64
+# Entries of cells by feature that are summed at a time.
+_ENTRIES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -90,9 +99,13 @@ class _Node:
 
 @dataclass
 class Growing:
-    """A tree under way: known nodes, cut in advance where their gain may be wanted, and those to be summed."""
+    """A tree under way: known nodes, cut in advance where their gain may be wanted, and those to be summed.
+
+    ``ahead`` is how many may be cut in advance at a time; without a limit a tree needs the fewest scans.
+    """
 
     growth: Growth
+    ahead: int | None = None
     nodes: list[_Node] = field(default_factory=lambda: [_Node(0)])
     waiting: list[tuple[int, int | None, int | None]] = field(default_factory=lambda: [(0, None, None)])
     done: Tree | None = None
@@ -160,6 +173,8 @@ class Growing:
             if self._deep(small):
                 continue
             self.waiting.append((small, large, i))
+            if len(self.waiting) == self.ahead:
+                break
         if not self.waiting:
             self._advance()
 
@@ -349,19 +364,25 @@ def _held(batches, width, shape, rates, recent, task, left_out, inner):
         total = _with_recent(margins, bins, recent, rates)
         for m in inner:
             own = np.flatnonzero(part == left_out[m])
-            answers = _answers(task, total[own, m])
-            # A cell stands for that many rows; a large one comes out in several batches.
-            times = rows[own].astype(np.int64)
-            while times.any():
-                now = np.minimum(times, _ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(int(now.sum()), m, np.int32)), pa.array(np.repeat(label[own], now)),
-                        pa.array(np.repeat(answers, now)),
-                    ],
-                    ["model", "label", "answer"],
-                )
-                times = times - now
+            yield from _repeated(np.full(len(own), m, np.int32), label[own], _answers(task, total[own, m]), rows[own])
+
+
+def _repeated(model, label, answer, rows):
+    """A cell stands for that many rows; a large one comes out in several batches."""
+    times = rows.astype(np.int64)
+    while times.any():
+        now = np.minimum(times, _ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(column, now)) for column in (model, label, answer)], ["model", "label", "answer"]
+        )
+        times = times - now
+
+
+def _spread(batches):
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            piece = whole.slice(at, _ROWS)
+            yield from _repeated(*(piece.column(c).to_numpy(zero_copy_only=False) for c in ("model", "label", "answer", "n")))
 
 
 def _starts(counts, task, outputs, left_out, balanced) -> tuple[np.ndarray, list[np.ndarray] | None]:
@@ -386,8 +407,8 @@ def _starts(counts, task, outputs, left_out, balanced) -> tuple[np.ndarray, list
     return np.array(starts, float), balance if balanced and task == BINARY else None
 
 
-def _cells(rows: DataFrame, edges: list[np.ndarray], start: np.ndarray, task: str, searched: bool) -> tuple[DataFrame, int]:
-    """``label, part, n, bins, margins`` of the rows that agree, in as many tasks as their margins are worth; and these."""
+def _merged(rows: DataFrame, edges: list[np.ndarray], task: str, searched: bool) -> DataFrame:
+    """``label, part, n, bins`` of the rows that agree."""
     binned = rows.select("label", "part", "x").mapInArrow(
         partial(_prepare, edges=edges), "label double, part int, bins binary"
     )
@@ -398,9 +419,13 @@ def _cells(rows: DataFrame, edges: list[np.ndarray], start: np.ndarray, task: st
         *([] if "label" in keys else [F.avg("label").alias("label")]),
         *([] if "part" in keys else [F.lit(0).alias("part")]),
     )
-    found = materialise(known.select("label", "part", "n", "bins"))
-    limit = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, -(-found.count() * start.size // _TASK_MARGINS))
+    return materialise(known.select("label", "part", "n", "bins"))
+
+
+def _cells(found: DataFrame, count: int, start: np.ndarray) -> tuple[DataFrame, int]:
+    """The ``count`` cells with their margins, in as many tasks as these are worth; and the number of tasks."""
+    limit = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, -(-count * start.size // _TASK_MARGINS))
     # Cells are dealt by a hash, so that tasks are alike; beyond the usual number of tasks they only get larger.
     tasks = min(tasks, max(limit, found.rdd.getNumPartitions()))
     dealt = found.repartition(tasks, "bins", "label").withColumn("margins", F.lit(bytearray(start.tobytes())))
@@ -428,6 +453,175 @@ def _scanned(state: DataFrame, tasks: int, asked: dict, width: int, bins: int, k
     return {pair: {n: tables[place[(*pair, n)]] for n in nodes} for pair, (_, nodes) in asked.items()}
 
 
+def _fit_by_scans(found: DataFrame, count: int, models, trees: int, start: np.ndarray, width: int, bins: int, known: dict):
+    """The trees by round, model and output; answers for the rows left out; and what is to be let go at last."""
+    shape, outputs, rates = start.shape, start.shape[1], [g.rate for g, _ in models]
+    state, tasks = _cells(found, count, start)
+    kinds = "label double, part int, n double, bins binary, margins binary"
+    made: list[list[list[Tree]]] = []
+    recent: list[list[list[Tree]]] = []
+    for number in range(trees):
+        kept = state
+        if recent:
+            renew = partial(_renewed, width=width, shape=shape, rates=rates, recent=recent)
+            state = state.mapInArrow(renew, kinds)
+            # The plan is cut now and then; between, the first scan of the round fills the memory.
+            state = (materialise(state) if number % RENEW == 0 else state).persist(StorageLevel.MEMORY_AND_DISK)
+        growing = {(m, k): Growing(g) for m, (g, _) in enumerate(models) for k in range(outputs)}
+        while todo := {key: t for key, t in growing.items() if t.done is None}:
+            asked = {key: (t.tree(), [w[0] for w in t.waiting]) for key, t in todo.items()}
+            tables = _scanned(state, tasks, asked, width, bins, known)
+            if kept is not state:
+                kept.unpersist()
+                kept = state
+            for key, t in todo.items():
+                t.receive(tables[key], (width, bins))
+        recent = [[[growing[m, k].done for k in range(outputs)] for m in range(len(models))]]
+        made += recent
+    inner = [m for m, (_, j) in enumerate(models) if j >= 0]
+    answers = partial(
+        _held, width=width, shape=shape, rates=rates, recent=recent, task=known["task"], left_out=known["left_out"], inner=inner
+    )
+    return made, state.mapInArrow(answers, "model int, label double, answer double"), state
+
+
+@dataclass(frozen=True)
+class _HeldCells:
+    """All cells in a task: the bins that occur, and of each cell its row of these, label, part and number of rows."""
+
+    bins: np.ndarray
+    at: np.ndarray
+    label: np.ndarray
+    part: np.ndarray
+    rows: np.ndarray
+
+    @staticmethod
+    def of(table: pa.Table, width: int) -> _HeldCells:
+        cells = np.concatenate([_matrix(b.column("bins"), np.uint8, (b.num_rows, width)) for b in table.to_batches()])
+        occurring, at = np.unique(cells.view(f"V{width}").ravel(), return_inverse=True)
+        label, part, rows = (table.column(c).to_numpy() for c in ("label", "part", "n"))
+        # In one order, whichever way the cells came in: sums then come out alike.
+        order = np.lexsort((part, label, at))
+        return _HeldCells(occurring.view(np.uint8).reshape(-1, width), at[order], label[order], part[order], rows[order])
+
+    def boosted(self, task: str, growth: Growth, left_out: int, trees: int, start, balance, bins: int) -> list[list[Tree]]:
+        """The trees by round and output of the model that does not learn from the part ``left_out``."""
+        own = np.flatnonzero(self.part != left_out)
+        used, at = np.unique(self.at[own], return_inverse=True)
+        label, rows = self.label[own], self.rows[own]
+        weight = rows if balance is None else rows * balance[label.astype(int)]
+
+        def total(values):
+            return np.bincount(at, values, len(used))
+
+        k = len(start)
+        if task == MULTICLASS:
+            aims = np.column_stack([total(weight * (label == c)) for c in range(k)])
+        else:
+            aims = total(weight * label)[:, None]
+        n, weights = total(rows), total(weight)[:, None]
+        cells, margins = self.bins[used], np.tile(np.asarray(start, float), (len(used), 1))
+        made = []
+        for _ in range(trees):
+            # Sums over the rows of a cell, which have one margin.
+            if task == REGRESSION:
+                slope, curve = aims - weights * margins, np.broadcast_to(weights, margins.shape)
+            else:
+                p = _chances(task, margins)
+                slope, curve = aims - weights * p, weights * p * (1 - p) * (k / (k - 1) if k > 1 else 1)
+            grown = [_grown(growth, cells, np.stack([slope[:, c], curve[:, c], n]), bins) for c in range(k)]
+            for c, (_, values) in enumerate(grown):
+                margins[:, c] += growth.rate * values
+            made.append([tree for tree, _ in grown])
+        return made
+
+
+def _grown(growth: Growth, cells: np.ndarray, sums: np.ndarray, bins: int) -> tuple[Tree, np.ndarray]:
+    """A tree on cells with these sums (gradient, second derivative, rows), and its value for each cell."""
+    width = cells.shape[1]
+    offset = np.arange(width) * bins
+    step = max(1, _ENTRIES // width)
+
+    def table(own):
+        out = np.zeros((width * bins, 3))
+        for low in range(0, len(own), step):
+            some = own[low : low + step]
+            place = (cells[some] + offset).ravel()
+            for i in range(3):
+                out[:, i] += np.bincount(place, np.repeat(sums[i, some], width), width * bins)
+        return out.reshape(width, bins, 3)
+
+    growing = Growing(growth, ahead=1)
+    rows = {0: np.arange(len(cells))}
+
+    def part(node: int) -> None:
+        """Deal the cells of a node to its children."""
+        if node in rows:
+            _, feature, cut = growing.nodes[node].best
+            own, pair = rows.pop(node), growing.nodes[node].children
+            left = cells[own, feature] <= cut
+            rows[pair[0]], rows[pair[1]] = own[left], own[~left]
+
+    while growing.done is None:
+        for _, _, parent in growing.waiting:
+            if parent is not None:
+                part(parent)
+        growing.receive({w[0]: table(rows[w[0]]) for w in growing.waiting}, (width, bins))
+    tree, values, open_nodes = growing.done, np.zeros(len(cells)), [0]
+    while open_nodes:
+        node = open_nodes.pop()
+        if tree.feature[node] < 0:
+            values[rows[node]] = tree.value[node]
+        else:
+            part(node)
+            open_nodes += growing.nodes[node].children
+    return tree, values
+
+
+def _fitted(batches, shared, order, models, trees, start, bins, known):
+    """Trees of each model, and its answers for the cells it did not learn from."""
+    names = ["model", "trees", "label", "answer", "n"]
+    kinds = [pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64()]
+    for batch in batches:
+        for number in batch.column(0).to_pylist():
+            m, cells = order[number], shared.value
+            growth, left_out = models[m]
+            balance = None if known["balance"] is None else known["balance"][m]
+            made = cells.boosted(known["task"], growth, left_out, trees, start[m], balance, bins)
+            first = [pa.array(v, kind) for v, kind in zip(([m], [pickle.dumps(made)], [None], [None], [None]), kinds)]
+            yield pa.RecordBatch.from_arrays(first, names)
+            own = np.flatnonzero(cells.part == left_out)
+            for low in range(0, len(own), _ROWS):
+                some = own[low : low + _ROWS]
+                place, back = np.unique(cells.at[some], return_inverse=True)
+                margins = np.tile(np.asarray(start[m], float), (len(place), 1))
+                for row in made:
+                    for c, tree in enumerate(row):
+                        margins[:, c] += growth.rate * tree.value[tree.nodes(cells.bins[place])]
+                answers = _answers(known["task"], margins)[back]
+                values = (np.full(len(some), m), [None] * len(some), cells.label[some], answers, cells.rows[some])
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(values, kinds)], names)
+
+
+def _fit_held(found: DataFrame, count: int, models, trees: int, start: np.ndarray, width: int, bins: int, known: dict):
+    """As ``_fit_by_scans``, a task for each model; each holds all cells."""
+    spark = found.sparkSession
+    shared = spark.sparkContext.broadcast(_HeldCells.of(found.toArrow(), width))
+    # The longest first: large trees, on all parts.
+    order = sorted(range(len(models)), key=lambda m: (-(models[m][0].max_leaves or 2 ** (models[m][0].max_depth or 30)), models[m][1]))
+    work = partial(_fitted, shared=shared, order=order, models=models, trees=trees, start=start, bins=bins, known=known)
+    fitted = materialise(
+        spark.range(0, len(models), 1, len(models)).mapInArrow(
+            work, "model int, trees binary, label double, answer double, n double"
+        )
+    )
+    shared.unpersist()
+    by_model = {r["model"]: pickle.loads(r["trees"]) for r in fitted.where("trees IS NOT NULL").select("model", "trees").collect()}
+    made = [[by_model[m][number] for m in range(len(models))] for number in range(trees)]
+    answers = fitted.where("trees IS NULL").select("model", "label", "answer", "n")
+    return made, answers.mapInArrow(_spread, "model int, label double, answer double"), fitted
+
+
 def fit_boosting(
     rows: DataFrame, task: str, outputs: int, growths: list[Growth], trees: int, balanced: bool = False,
     bins: int = MAX_BINS, rounds: list | None = None,
@@ -444,45 +638,20 @@ def fit_boosting(
     parts = [*range(INNER_FOLDS), -1] if len(growths) > 1 else [-1]
     models = [(g, j) for g in growths for j in parts]
     left_out = [j for _, j in models]
-    rates = [g.rate for g, _ in models]
     label = F.lit(0.0) if task == REGRESSION else F.col("label")
     counts = rows.groupBy("part", label.alias("label")).agg(F.count("*").alias("n"), F.sum("label").alias("s")).collect()
     start, balance = _starts(counts, task, outputs, left_out, balanced)
-    shape = start.shape
     edges = _edges(rows, width, bins)
-    state, tasks = _cells(rows, edges, start, task, len(growths) > 1)
-    kinds = "label double, part int, n double, bins binary, margins binary"
-    made: list[list[list[Tree]]] = []
-    recent: list[list[list[Tree]]] = []
-    for number in range(trees):
-        kept = state
-        if recent:
-            renew = partial(_renewed, width=width, shape=shape, rates=rates, recent=recent)
-            state = state.mapInArrow(renew, kinds)
-            # The plan is cut now and then; between, the first scan of the round fills the memory.
-            state = (materialise(state) if number % RENEW == 0 else state).persist(StorageLevel.MEMORY_AND_DISK)
-        growing = {(m, k): Growing(g) for m, (g, _) in enumerate(models) for k in range(outputs)}
-        while todo := {key: t for key, t in growing.items() if t.done is None}:
-            asked = {key: (t.tree(), [w[0] for w in t.waiting]) for key, t in todo.items()}
-            found = _scanned(
-                state, tasks, asked, width, bins, dict(shape=shape, task=task, left_out=left_out, balance=balance)
-            )
-            if kept is not state:
-                kept.unpersist()
-                kept = state
-            for key, t in todo.items():
-                t.receive(found[key], (width, bins))
-        recent = [[[growing[m, k].done for k in range(outputs)] for m in range(len(models))]]
-        made += recent
+    found = _merged(rows, edges, task, len(growths) > 1)
+    count = found.count()
+    fit = _fit_held if len(growths) > 1 and count * (width + _CELL_BYTES) <= _HELD_BYTES else _fit_by_scans
+    known = dict(shape=start.shape, task=task, left_out=left_out, balance=balance)
+    made, held, state = fit(found, count, models, trees, start, width, bins, known)
     best = 0
     if len(growths) > 1:
-        inner = [m for m, j in enumerate(left_out) if j >= 0]
-        held = state.mapInArrow(
-            partial(_held, width=width, shape=shape, rates=rates, recent=recent, task=task, left_out=left_out, inner=inner),
-            "model int, label double, answer double",
-        )
         metric = {REGRESSION: r2_score, BINARY: average_precision, MULTICLASS: accuracy_score}[task]
         scores = {r["model"]: r["score"] for r in metric(held, "label", "answer", ["model"]).collect()}
+        inner = [m for m, j in enumerate(left_out) if j >= 0]
         means = []
         for c in range(len(growths)):
             own = [scores.get(m) for m in inner if m // len(parts) == c]
@@ -494,7 +663,7 @@ def fit_boosting(
     if rounds is not None:
         rounds.extend(made)
     return BoostedModel(
-        task, [r[best] for r in made], start[best], rates[best], edges, models[best][0]
+        task, [r[best] for r in made], start[best], models[best][0].rate, edges, models[best][0]
     )
 
 

@@ -178,3 +178,35 @@ def test_rows_that_agree_are_one_cell_and_last_leaves_are_not_scanned(spark, mon
         )
         assert cells[0][0] == cells[1][0] <= 60 and (cells[0][1], cells[1][1]) == (60, 3000)
         assert np.allclose(one.margins(x), many.margins(x))
+
+
+@pytest.mark.parametrize("task", [REGRESSION, BINARY, MULTICLASS])
+def test_models_of_a_search_are_fitted_without_scans_where_a_task_holds_the_cells(spark, monkeypatch, task):
+    x, signal, label, part = table(n=150, seed=5)
+    y = {REGRESSION: signal, BINARY: (label > 0).astype(float), MULTICLASS: label}[task]
+    outputs = 3 if task == MULTICLASS else 1
+    growths = boosting.candidates(Growth(min_rows=3), {"stepSize": (0.1, 0.5), "numLeaves": (3, 7)})
+    if task != MULTICLASS:
+        # With several classes these meet cuts that are equally good, and either may be made.
+        growths += [RIDGED, LEVELS]
+    scans, scanned = [], boosting._scanned
+    monkeypatch.setattr(boosting, "_scanned", lambda *args: scans.append(1) or scanned(*args))
+
+    def fitted():
+        rounds = []
+        balanced = task == BINARY
+        rows = frame(spark, np.tile(x, (3, 1)), np.tile(y, 3), np.tile(part, 3))
+        return boosting.fit_boosting(rows, task, outputs, growths, 4, balanced=balanced, rounds=rounds), rounds
+
+    held, held_rounds = fitted()
+    assert not scans
+    monkeypatch.setattr(boosting, "_HELD_BYTES", 0)
+    found, found_rounds = fitted()
+    assert scans and held.growth == found.growth
+    assert np.allclose(held.margins(x), found.margins(x))
+    bins = boosting._binned(x, found.edges)
+    for a, b in zip(held_rounds, found_rounds, strict=True):
+        for m, (one, other) in enumerate(zip(a, b, strict=True)):
+            own = part != [0, 1, 2, -1][m % 4]
+            for s, t in zip(one, other, strict=True):
+                assert np.allclose(s.value[s.nodes(bins[own])], t.value[t.nodes(bins[own])])
