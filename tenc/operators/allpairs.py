@@ -3,6 +3,9 @@
 Texts are dealt to blocks by their id, and every two blocks meet in a group of their own. A group compares strips of
 its texts by matrix products and keeps only each text's number of partners by level: no pair leaves a task. Shared
 frequent tokens come out of one product, rare ones are added by their lists.
+
+By edit distance blocks are of about one length, and a block meets the texts that are not shorter, in parts
+(``editballs``).
 """
 
 from __future__ import annotations
@@ -12,59 +15,33 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tenc.operators.editballs import LANES, EditTable, Texts, count_hits, most_edits  # noqa: F401
+
 TOLERANCE = 1e-9
 # Texts of a block; groups hold two blocks.
 BLOCK_TEXTS = 16_384
 # Fewer texts than this are not worth a group of their own.
 _LEAST_TEXTS = 256
 _LEFT, _RIGHT = 1024, 8192
-# Pairs whose edit distance is computed side by side, and those whose state is held at once.
-_LANES = 8192
-_PAIRS = 1 << 21
-# Right texts that must begin alike for their beginning to be computed once.
-_BEGINNING = 8
 # A token that this share of the pairs of a strip has in common is multiplied, not listed.
 _FREQUENT = 0.005
-_WORD = 64
-
-
-class Texts:
-    """The characters of some texts, one after the other."""
+# Lanes of a block unless texts are very many; and right texts that meet them at a time.
+_MOST_OF_FEW = 4096
+_RIGHT_TEXTS = 1 << 17
 
-    def __init__(self, texts: list[str]):
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        raw = "".join(texts).encode("utf-32-le", "surrogatepass")
-        self.chars = np.frombuffer(raw, np.uint32).astype(np.int64) + 1
-        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
 
-    def place(self) -> np.ndarray:
-        return np.arange(len(self.chars)) - self.starts[self.owner]
-
-
-def _tokens(texts: Texts, similarity: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """Text and token number of every distinct token: 3-grams, or characters counted through in their text."""
+def _tokens(texts: Texts) -> tuple[np.ndarray, np.ndarray, int]:
+    """Text and token number of every distinct 3-gram."""
     n = len(texts.sizes)
-    if similarity == "3-gram":
-        c = np.concatenate([texts.chars, [0, 0]])
-        left = texts.sizes[texts.owner] - texts.place()
-        second, third = np.where(left > 1, c[1:-1], 0), np.where(left > 2, c[2:], 0)
-        # A text shorter than three characters is its own only gram.
-        used = (left > 2) | (texts.place() == 0)
-        code = ((c[:-2] << 42) | (second << 21) | third)[used]
-        empty = np.flatnonzero(texts.sizes == 0)
-        known, number = np.unique(np.concatenate([code, np.zeros(len(empty), np.int64)]), return_inverse=True)
-        owner = np.concatenate([texts.owner[used], empty])
-    else:
-        _, symbol = np.unique(texts.chars, return_inverse=True)
-        symbols = int(symbol.max()) + 1 if len(symbol) else 1
-        both = texts.owner * symbols + symbol
-        order = np.argsort(both, kind="stable")
-        run = both[order]
-        new = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
-        ordinal = np.arange(len(run)) - np.maximum.accumulate(np.where(new, np.arange(len(run)), 0))
-        known, number = np.unique(ordinal * symbols + symbol[order], return_inverse=True)
-        owner = texts.owner[order]
+    c = np.concatenate([texts.chars, [0, 0]])
+    left = texts.sizes[texts.owner] - texts.place()
+    second, third = np.where(left > 1, c[1:-1], 0), np.where(left > 2, c[2:], 0)
+    # A text shorter than three characters is its own only gram.
+    used = (left > 2) | (texts.place() == 0)
+    code = ((c[:-2] << 42) | (second << 21) | third)[used]
+    empty = np.flatnonzero(texts.sizes == 0)
+    known, number = np.unique(np.concatenate([code, np.zeros(len(empty), np.int64)]), return_inverse=True)
+    owner = np.concatenate([texts.owner[used], empty])
     vocabulary = max(len(known), 1)
     pairs = np.unique(owner * vocabulary + number)
     return pairs // vocabulary, pairs % vocabulary, vocabulary
@@ -109,109 +86,6 @@ def _shared(a, b, n_a: int, n_b: int, vocabulary: int) -> np.ndarray:
     return found
 
 
-class EditTable:
-    """Edit distances between two strips of texts, by bit vectors over the left text.
-
-    A column of the distance table is two bit vectors of its steps up and down. Right texts that begin alike share the
-    columns of their beginning: these are computed once for every left text and beginning.
-    """
-
-    def __init__(self, left: Texts, right: Texts):
-        self.left, self.right = left, right
-        symbols, coded = np.unique(left.chars, return_inverse=True)
-        self.symbols = len(symbols) + 1
-        self.words = max(1, -(-int(left.sizes.max(initial=0)) // _WORD))
-        place = left.place()
-        # By word, text and symbol the places of the symbol; the last symbol stands for all that no left text has.
-        where = np.zeros((self.words, len(left.sizes), self.symbols), np.uint64)
-        bit = np.uint64(1) << (place % _WORD).astype(np.uint64)
-        np.bitwise_or.at(where, (place // _WORD, left.owner, coded), bit)
-        self.where = where.reshape(self.words, -1)
-        seen = np.searchsorted(symbols, right.chars)
-        known = seen < len(symbols)
-        known[known] = symbols[seen[known]] == right.chars[known]
-        self.wide = np.full((int(right.sizes.max(initial=0)), len(right.sizes)), self.symbols - 1, np.int32)
-        self.wide[right.place(), right.owner] = np.where(known, seen, self.symbols - 1)
-        self._find_beginnings()
-
-    def _find_beginnings(self) -> None:
-        """For each right text the longest beginning that enough others share."""
-        n = len(self.right.sizes)
-        self.depth, self.node = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        group, alive = np.zeros(n, np.int64), np.ones(n, bool)
-        for step, line in enumerate(self.wide):
-            alive &= self.right.sizes > step
-            # Symbols unknown on the left are alike to the table, and so to a beginning.
-            _, inverse, size = np.unique(
-                np.where(alive, group * self.symbols + line, -1), return_inverse=True, return_counts=True
-            )
-            group = inverse
-            alive &= size[inverse] >= _BEGINNING
-            if not alive.any():
-                break
-            self.depth[alive], self.node[alive] = step + 1, group[alive]
-        key, self.first, self.node = np.unique(
-            self.depth * (n + 1) + self.node, return_index=True, return_inverse=True
-        )
-        x, y = np.meshgrid(np.arange(len(self.left.sizes)), self.first, indexing="ij")
-        x, y = x.ravel(), y.ravel()
-        up = np.full((self.words, len(x)), ~np.uint64(0))
-        down = np.zeros((self.words, len(x)), np.uint64)
-        self._advance(x, y, np.zeros(len(y), np.int64), self.depth[y], up, down)
-        self.begun = up, down
-
-    def _advance(self, x, y, begin, steps, up, down) -> None:
-        """Go on by ``steps`` characters of texts ``y`` from ``begin``; changes ``up`` and ``down`` (word by pair)."""
-        one = np.uint64(1)
-        # Short numbers are sorted by their digits.
-        short = steps.astype(np.int16) if int(steps.max(initial=0)) < 1 << 15 else steps
-        by_steps = np.argsort(-short, kind="stable")
-        width = len(self.right.sizes)
-        flat = self.wide.ravel()
-        for low in range(0, len(x), _LANES):
-            lanes = by_steps[low : low + _LANES]
-            base, at, left = x[lanes] * self.symbols, begin[lanes] * width + y[lanes], steps[lanes]
-            pairs = [(up[w][lanes], down[w][lanes]) for w in range(self.words)]
-            active = np.searchsorted(-left, -np.arange(int(left.max(initial=0))), side="left")
-            for step, k in enumerate(active):
-                place = base[:k] + flat[at[:k] + step * width]
-                more, less = one, np.uint64(0)
-                for w, (pv_all, mv_all) in enumerate(pairs):
-                    pv, mv = pv_all[:k], mv_all[:k]
-                    eq = self.where[w][place]
-                    xv = eq | mv
-                    if w:
-                        eq |= less
-                    xh = (((eq & pv) + pv) ^ pv) | eq
-                    ph = mv | ~(xh | pv)
-                    mh = pv & xh
-                    shifted_up, shifted_down = (ph << one) | more, (mh << one) | less
-                    if w + 1 < self.words:
-                        more, less = ph >> np.uint64(63), mh >> np.uint64(63)
-                    pv_all[:k] = shifted_down | ~(xv | shifted_up)
-                    mv_all[:k] = shifted_up & xv
-            for w, (pv, mv) in enumerate(pairs):
-                up[w][lanes], down[w][lanes] = pv, mv
-
-    def distances(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Of the pairs of left texts ``i`` and right texts ``j``."""
-        out = np.empty(len(i), np.int64)
-        for low in range(0, len(i), _PAIRS):
-            x, y = i[low : low + _PAIRS], j[low : low + _PAIRS]
-            begun = x * len(self.first) + self.node[y]
-            up, down = self.begun[0][:, begun], self.begun[1][:, begun]
-            self._advance(x, y, self.depth[y], self.right.sizes[y] - self.depth[y], up, down)
-            found = self.right.sizes[y].copy()
-            for w in range(self.words):
-                bits = np.clip(self.left.sizes[x] - w * _WORD, 0, _WORD).astype(np.uint64)
-                # A shift by all 64 bits is not defined.
-                mask = np.where(bits > 0, ~np.uint64(0) >> (np.uint64(_WORD) - np.maximum(bits, np.uint64(1))), np.uint64(0))
-                found += np.bitwise_count(up[w] & mask).astype(np.int64)
-                found -= np.bitwise_count(down[w] & mask).astype(np.int64)
-            out[low : low + _PAIRS] = found
-        return out
-
-
 def _needed(level: float, most: int) -> np.ndarray:
     """The least overlap that gives the level, by the sum of two set sizes."""
     total = np.arange(most + 1, dtype=np.float64)
@@ -232,13 +106,13 @@ def _gram_strip(shared, sizes_a, sizes_b, needed, hits):
         low = high
 
 
-def _group_counts(frame: pd.DataFrame, levels: list[float], similarity: str) -> pd.DataFrame:
+def _group_counts(frame: pd.DataFrame, levels: list[float]) -> pd.DataFrame:
     """Partners by level for the texts of two blocks, from this meeting of theirs only."""
     same = frame["p"].iloc[0] == frame["q"].iloc[0]
     second = np.zeros(len(frame), bool) if same else (frame["own"] == frame["q"]).to_numpy()
     texts = frame["value"].tolist()
     all_texts = Texts(texts)
-    owner, token, vocabulary = _tokens(all_texts, similarity)
+    owner, token, vocabulary = _tokens(all_texts)
     sizes = np.bincount(owner, minlength=len(texts))
     # Rows in order of block, then of size, so that rows of equal size lie side by side.
     order = np.lexsort((sizes, second))
@@ -249,9 +123,7 @@ def _group_counts(frame: pd.DataFrame, levels: list[float], similarity: str) ->
     n_first = int((~second).sum())
     counts = np.zeros((len(levels), len(texts)), np.int64)
     most = int(sizes.max(initial=0))
-    needed = [_needed(t, 2 * most) for t in levels] if similarity == "3-gram" else []
-    lengths = np.arange(most + 1)
-    near = (lengths - np.floor(lengths * (1 - levels[0]) + TOLERANCE)).astype(np.float32)
+    needed = [_needed(t, 2 * most) for t in levels]
     rights = range(0, n_first, _RIGHT) if same else range(n_first, len(texts), _RIGHT)
     for r in rights:
         r_end = min(r + _RIGHT, n_first if same else len(texts))
@@ -266,24 +138,12 @@ def _group_counts(frame: pd.DataFrame, levels: list[float], similarity: str) ->
             if same and a_end > r:
                 # Each pair of a block once: the left text before the right one.
                 shared[np.arange(a, a_end)[:, None] >= np.arange(r, r_end)[None, :]] = -1
-            if similarity == "3-gram":
-                def hits(number, rows, hit):
-                    counts[number, a + rows.start : a + rows.stop] += np.count_nonzero(hit, axis=1)
-                    counts[number, r:r_end] += np.count_nonzero(hit, axis=0)
 
-                _gram_strip(shared, size_a, size_r, needed, hits)
-                continue
-            # An edit changes one character: fewer in common than this cannot be near enough.
-            i, j = np.nonzero((shared >= near[size_a][:, None]) & (shared >= near[size_r][None, :]))
-            if not len(i):
-                continue
-            table = EditTable(Texts([texts[x] for x in order[a:a_end]]), Texts([texts[x] for x in order[r:r_end]]))
-            distance = table.distances(i, j)
-            sim = 1 - distance / np.maximum(size_a[i], size_r[j])
-            for number, level in enumerate(levels):
-                hit = sim >= level - TOLERANCE
-                counts[number, a:a_end] += np.bincount(i[hit], minlength=a_end - a)
-                counts[number, r:r_end] += np.bincount(j[hit], minlength=r_end - r)
+            def hits(number, rows, hit):
+                counts[number, a + rows.start : a + rows.stop] += np.count_nonzero(hit, axis=1)
+                counts[number, r:r_end] += np.count_nonzero(hit, axis=0)
+
+            _gram_strip(shared, size_a, size_r, needed, hits)
     columns = {f"_{k}": counts[k] for k in range(len(levels))}
     return pd.DataFrame({"id": frame["id"].to_numpy()[order], **columns})
 
@@ -292,6 +152,8 @@ def count_partners(
     values: DataFrame, n: int, levels: list[float], similarity: str, block_texts: int = BLOCK_TEXTS
 ) -> DataFrame:
     """``id, _0, _1, ...``: other texts of ``id, value`` (``n`` distinct ones) with similarity ``levels[0], ...`` or more."""
+    if similarity == "levenshtein":
+        return _count_edit_partners(values, levels, block_texts)
     spark = values.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     # As many groups as keep all tasks busy, no block above its size.
@@ -306,7 +168,7 @@ def count_partners(
     )
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        return _group_counts(frame, ordered, similarity)
+        return _group_counts(frame, ordered)
 
     counted = dealt.repartition(blocks * (blocks + 1) // 2, "p", "q").groupBy("p", "q").applyInPandas(
         meet, ", ".join(["id long", *[f"_{k} long" for k in range(len(levels))]])
@@ -314,11 +176,81 @@ def count_partners(
     return counted.groupBy("id").agg(*[F.sum(f"_{ordered.index(t)}").alias(f"_{k}") for k, t in enumerate(levels)])
 
 
+def _edit_meetings(lengths: dict[int, int], edits: np.ndarray, most_lanes: int, groups: int):
+    """How texts are dealt, from their number by length: blocks by length, and whom a block meets.
+
+    Returns the number of blocks; by length the texts before it, their number and the first block it meets; and by block into how many
+    parts those who meet it are dealt.
+    """
+    sizes, total = sorted(lengths), sum(lengths.values())
+    lanes = min(LANES, most_lanes, max(_LEAST_TEXTS, min(_MOST_OF_FEW, -(-total // 4)), -(-total // 16)))
+    blocks = -(-total // lanes)
+    share = blocks / total
+    before = dict(zip(sizes, np.cumsum([0, *[lengths[s] for s in sizes]]).tolist()))
+    lowest = [int(before[s] * share) for s in sizes]
+    # The longest text that a block can hold.
+    longest = np.zeros(blocks, np.int64)
+    np.maximum.at(longest, np.minimum(lowest, blocks - 1), sizes)
+    longest = np.maximum.accumulate(longest)
+    first = {s: int(np.searchsorted(longest, s - int(edits[s]), side="left")) for s in sizes}
+    met = np.zeros(blocks)
+    for s in sizes:
+        at = np.arange(first[s], blocks)
+        met[at] += np.clip(before[s] + lengths[s] - at / share, 0, lengths[s])
+    part = min(_RIGHT_TEXTS, max(4 * _LEAST_TEXTS, -(-int(met.sum()) // groups)))
+    return blocks, [(s, before[s], lengths[s], first[s]) for s in sizes], np.maximum(1, np.ceil(met / part)).astype(int).tolist()
+
+
+def _count_edit_partners(values: DataFrame, levels: list[float], most_lanes: int) -> DataFrame:
+    spark = values.sparkSession
+    sized = values.select("id", "value", F.length("value").alias("size"))
+    lengths = {r["size"]: r["n"] for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    longest = max(lengths, default=0)
+    # Distinct texts are an edit apart at least: where none is allowed there are no partners.
+    used = [t for t in levels if most_edits(longest, t)[-1] > 0]
+    if not used:
+        return values.select("id", *[F.lit(0).cast("long").alias(f"_{k}") for k in range(len(levels))])
+    blocks, dealing, parts = _edit_meetings(
+        lengths, most_edits(longest, min(used)), most_lanes, 4 * spark.sparkContext.defaultParallelism
+    )
+    by_size = spark.createDataFrame(dealing, "size int, before long, n long, first int")
+    by_block = spark.createDataFrame(list(enumerate(parts)), "p int, parts int")
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
+    block = F.least(F.floor((F.col("before") + drawn * F.col("n")) * (blocks / sum(lengths.values()))), F.lit(blocks - 1)).cast("int")
+    placed = sized.join(F.broadcast(by_size), "size").select("id", "value", block.alias("own"), "first")
+    lanes = placed.withColumn("p", F.col("own")).join(F.broadcast(by_block), "p").select(
+        "id", "value", "own", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("c"), F.lit(True).alias("lane")
+    )
+    # Whole blocks that are too short to be near are left out; a text meets those of its own block, too.
+    others = placed.withColumn("p", F.explode(F.sequence(F.least("first", "own"), "own"))).join(F.broadcast(by_block), "p").select(
+        "id", "value", "own", "p", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int").alias("c"), F.lit(False).alias("lane")
+    )
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["lane"]], frame[~frame["lane"]]
+        # Both orders of a pair of one block come up by themselves.
+        both = (right["own"] != right["p"]).to_numpy(bool)
+        hits, others_hits = count_hits(left["value"].tolist(), right["value"].tolist(), both, used)
+        kept = np.flatnonzero(others_hits.any(axis=0))
+        ids = np.concatenate([left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)[kept]])
+        return pd.DataFrame({"id": ids, **{f"_{k}": np.concatenate([hits[k], others_hits[k][kept]]) for k in range(len(used))}})
+
+    counted = lanes.unionByName(others).repartition(sum(parts), "p", "c").groupBy("p", "c").applyInPandas(
+        meet, ", ".join(["id long", *[f"_{k} long" for k in range(len(used))]])
+    )
+    # Every text has met itself once.
+    sums = {t: F.sum(f"_{used.index(t)}") - 1 for t in used}
+    return counted.groupBy("id").agg(*[sums.get(t, F.lit(0).cast("long")).alias(f"_{k}") for k, t in enumerate(levels)])
+
+
 def sampled_share(values: DataFrame, threshold: float, similarity: str, n: int = 512) -> float:
     """The share of similar pairs among the first ``n`` texts in order of a hash of the text; it decides on speed only."""
     drawn = [r["value"] for r in values.select("value").orderBy(F.xxhash64("value"), "value").limit(n).collect()]
     if len(drawn) < 2:
         return 0.0
-    frame = pd.DataFrame({"id": range(len(drawn)), "value": drawn, "own": 0, "p": 0, "q": 0})
-    found = _group_counts(frame, [threshold], similarity)["_0"].sum()
+    if similarity == "levenshtein":
+        found = count_hits(drawn, drawn, np.zeros(len(drawn), bool), [threshold])[0].sum() - len(drawn)
+    else:
+        frame = pd.DataFrame({"id": range(len(drawn)), "value": drawn, "own": 0, "p": 0, "q": 0})
+        found = _group_counts(frame, [threshold])["_0"].sum()
     return float(found) / (len(drawn) * (len(drawn) - 1))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tenc.functions import similarity as S
-from tenc.operators import allpairs, blocks, metrics, neighbours, similarity, synth
+from tenc.operators import allpairs, blocks, editballs, metrics, neighbours, similarity, synth
 from tenc.operators.encoders.stats import MULTICLASS, REGRESSION
 from tenc.operators.scaling import fit_scaling
 from tenc.operators.splits import class_sizes, shuffle_split, stratified_split
@@ -358,3 +358,43 @@ def test_a_query_travels_once_to_a_block_and_not_to_each_ring(spark):
     for q in range(300):
         dist = np.sqrt(((v[300:] - v[q]) ** 2).sum(axis=1))
         assert [n for _, n in sorted(found[q])] == (300 + np.argsort(dist, kind="stable")[:5]).tolist()
+
+
+def _edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("longest, few, levels", [(12, 1, [0.55, 0.8]), (40, 1, [0.55, 0.7, 1.0]), (90, 1, [0.7, 0.9]), (40, 999, [0.7, 0.9])])
+def test_hits_by_edit_distance_of_lanes_of_any_length(monkeypatch, longest, few, levels):
+    """Lanes of mixed lengths against texts of any, with shared beginnings and endings; few lanes go pair by pair."""
+    monkeypatch.setattr(editballs, "_FEW_LANES", few)
+    monkeypatch.setattr(editballs, "_ENDING_BYTES", 4000)
+    if few == 1:
+        monkeypatch.setattr(editballs, "_by_pairs", None)
+    rng = np.random.default_rng(longest)
+    texts = sorted({
+        "".join(rng.choice(list("ab"), rng.integers(0, longest + 1))) + rng.choice(["", "#top", "/é😀"]) for _ in range(110)
+    })
+    rights, both = texts[::2] + ["", "b" * 3 * longest], np.arange(len(texts[::2]) + 2) % 3 > 0
+    sim = np.array([[1 - _edit_distance(a, b) / max(len(a), len(b), 1) for b in rights] for a in texts])
+    left_hits, right_hits = editballs.count_hits(texts, rights, both, levels)
+    for k, level in enumerate(levels):
+        near = sim >= level - 1e-9
+        assert left_hits[k].tolist() == near.sum(axis=1).tolist()
+        assert right_hits[k].tolist() == (near.sum(axis=0) * both).tolist()
+
+
+def test_blocks_of_one_length_meet_only_blocks_that_are_near_in_length():
+    lengths = {10: 3000, 11: 3000, 30: 3000, 31: 3000}
+    blocks, dealing, parts = allpairs._edit_meetings(lengths, editballs.most_edits(31, 0.8), 1500, 8)
+    assert blocks == 8 and len(parts) == 8
+    first = {size: block for size, _, _, block in dealing}
+    # Texts of 30 characters meet none of the four blocks of texts of 10 and 11.
+    assert first == {10: 0, 11: 0, 30: 4, 31: 4}
+    assert sum(n for _, _, n, _ in dealing) == 12000 and min(parts) >= 1
